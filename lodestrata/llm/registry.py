@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import mixing
+from lodestrata.llm import exact_topk, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op9_exact_topk": exact_topk.op9_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": mixing.OP1_SQL,
+        "op9_exact_topk": exact_topk.OP9_SQL,
     }
