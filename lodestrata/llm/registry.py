@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import exact_topk, mixing
+from lodestrata.llm import ann, exact_topk, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op8_nearest": ann.op8_nearest,
         "op9_exact_topk": exact_topk.op9_exact_topk,
     }
 
