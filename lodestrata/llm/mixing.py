@@ -36,7 +36,7 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("v"), source), F.lit("w"))
 
 
-def _attached(rows: DataFrame, per_source: DataFrame, n_sources: int, how: str = "inner") -> DataFrame:
+def attached(rows: DataFrame, per_source: DataFrame, n_sources: int, how: str = "inner") -> DataFrame:
     few = F.broadcast(per_source) if n_sources <= FEW_SOURCES else per_source.hint("merge")
     return rows.join(few, "_mix_key", how)
 
@@ -65,7 +65,7 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceilin
     return per.select("_mix_key", "source_size", F.coalesce(F.least(F.col("stop").cast("double"), F.col("level") * F.col("weight")), F.lit(0.0)).alias("target"))
 
 
-def _thresholds(rows: DataFrame, budgets: DataFrame, n_sources: int) -> DataFrame:
+def thresholds(rows: DataFrame, budgets: DataFrame, n_sources: int) -> DataFrame:
     """Per source key with rows beyond its budget: the range of hashes [low, high) at which they pass it, the words
     below it and in it. The range holds one hash that occurs, or none of its rows can be told apart.
 
@@ -73,11 +73,11 @@ def _thresholds(rows: DataFrame, budgets: DataFrame, n_sources: int) -> DataFram
     """
     at = budgets.select("_mix_key", "budget", F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("below"))
     for shift in range(BITS - STEP, -1, -STEP):
-        inside = rows if shift == BITS - STEP else _attached(rows, at.select("_mix_key", "hit"), n_sources).filter(F.shiftright("hash", shift + STEP) == F.col("hit"))
+        inside = rows if shift == BITS - STEP else attached(rows, at.select("_mix_key", "hit"), n_sources).filter(F.shiftright("hash", shift + STEP) == F.col("hit"))
         sums = inside.groupBy("_mix_key", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         run = W.partitionBy("_mix_key").orderBy("bucket")
         upto = F.col("below") + F.col("upto")
-        over = _attached(sums.withColumn("upto", F.sum("words").over(run)), at.select("_mix_key", "budget", "below"), n_sources).filter(upto > F.col("budget"))
+        over = attached(sums.withColumn("upto", F.sum("words").over(run)), at.select("_mix_key", "budget", "below"), n_sources).filter(upto > F.col("budget"))
         first = F.min_by(F.struct("bucket", "words", "n", (upto - F.col("words")).alias("below")), "bucket")
         found = over.groupBy("_mix_key").agg(F.first("budget").alias("budget"), first.alias("f"))
         at = settle(found.select("_mix_key", "budget", F.col("f.bucket").alias("hit"), F.col("f.below").alias("below"), F.col("f.words").alias("words"), F.col("f.n").alias("n")), "mix-level")
@@ -98,8 +98,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceiling: int = 3
     for fill in range(1, FILLS + 1):
         cap = F.lit(2**62) if fill == 1 else F.floor(F.col("left") / SHARE)
         per = per.withColumn(f"cap{fill}", cap.cast("long"))
-        untaken = _attached(left, per, n_sources).filter((F.col("size") <= F.col(f"cap{fill}")) & ~_taken_once_more(fill - 1)).select("_mix_key", "hash", "size")
-        hits = _thresholds(untaken, per.select("_mix_key", F.col("left").alias("budget")), n_sources).withColumnRenamed("budget", "_budget")
+        untaken = attached(left, per, n_sources).filter((F.col("size") <= F.col(f"cap{fill}")) & ~_taken_once_more(fill - 1)).select("_mix_key", "hash", "size")
+        hits = thresholds(untaken, per.select("_mix_key", F.col("left").alias("budget")), n_sources).withColumnRenamed("budget", "_budget")
         sums = untaken.groupBy("_mix_key").agg(F.sum("size").alias("_all"))
         nearer = F.col("words") - (F.col("_budget") - F.col("below")) < F.col("_budget") - F.col("below")
         t = F.when(F.col("low").isNull(), F.lit(2**60)).otherwise(F.when(nearer, F.col("high")).otherwise(F.col("low")) if fill == FILLS else F.col("low"))
@@ -123,7 +123,7 @@ def _copies() -> Column:
 def mix_report(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceiling: int = 3) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, taken (words that the mix takes of it)."""
     rows, per, n = plan(docs, weights, ceiling)
-    return _attached(rows, per, n).select("doc_id", "size", "source_size", "target", (_copies() * F.col("size")).alias("taken"))
+    return attached(rows, per, n).select("doc_id", "size", "source_size", "target", (_copies() * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceiling: int = 3) -> DataFrame:
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceiling: int = 3)
     for fill in range(1, FILLS + 1):
         more = more | ((F.col("_mix_size") <= F.col(f"_mix_cap{fill}")) & (F.col("_mix_hash") < F.col(f"_mix_t{fill}")))
     copies = (F.col("_mix_times") + more.cast("long")).cast("int")
-    taken = _attached(keyed, per, n).withColumn("_mix_copies", copies).filter("_mix_copies > 0")
+    taken = attached(keyed, per, n).withColumn("_mix_copies", copies).filter("_mix_copies > 0")
     return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
 
 
