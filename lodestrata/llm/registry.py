@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import ann, exact_topk, mixing, sharding, token_files
+from lodestrata.llm import ann, exact_topk, mixing, sharding, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op4_token_files": token_files.op4_token_files,
         "op6_kd_shards": sharding.op6_kd_shards,
         "op8_nearest": ann.op8_nearest,
