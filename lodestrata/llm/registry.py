@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import ann, exact_topk, mixing, sharding, token_files, toxicity
+from lodestrata.llm import ann, exact_topk, jaccard_join, mixing, sharding, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op4_token_files": token_files.op4_token_files,
         "op6_kd_shards": sharding.op6_kd_shards,
+        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_nearest": ann.op8_nearest,
         "op9_exact_topk": exact_topk.op9_exact_topk,
     }

@@ -9,12 +9,12 @@ from lodestrata.llm import shingles, toxicity
 
 
 def brute_segments(scores):
-    """Recursively: the best segment (first and shortest among equals), then left and right of it."""
+    """Recursively: the best segment (the shortest, then the first among equals), then left and right of it."""
     best = None
     for a in range(len(scores)):
         for z in range(a + 1, len(scores) + 1):
             s = sum(scores[a:z])
-            if s > 0 and (best is None or s > best[2]):
+            if s > 0 and (best is None or (s, a - z) > (best[2], best[0] - best[1])):
                 best = (a, z, s)
     if best is None:
         return []
