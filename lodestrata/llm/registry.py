@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import ann, exact_topk, jaccard_join, mixing, sharding, token_files, toxicity
+from lodestrata.llm import ann, exact_topk, jaccard_join, mixing, ngram_lm, sharding, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op6_kd_shards": sharding.op6_kd_shards,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_nearest": ann.op8_nearest,
+        "op10_ngram_lm": ngram_lm.op10_ngram_lm,
         "op9_exact_topk": exact_topk.op9_exact_topk,
     }
 
