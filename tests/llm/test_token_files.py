@@ -23,9 +23,10 @@ def whole():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from("  \n\t 　ab'sé.1<|>"), st.characters(blacklist_categories=("Cs",))), max_size=40))
+@given(st.text(alphabet=st.one_of(st.sampled_from("  \n\t 　ab'sé.,!1²<|>"), st.characters(blacklist_categories=("Cs",))), max_size=40))
 def test_pieces_encode_as_the_whole(text):
     enc = token_files.encoder(PATH)
+    enc.cache.clear()
     assert "".join(enc.pieces(text)) == text
     assert np.frombuffer(enc.encode([text])[0], dtype=enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
