@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import ann, exact_topk, jaccard_join, mixing, ngram_lm, sharding, token_files, toxicity
+from lodestrata.llm import ann, chat, exact_topk, jaccard_join, mixing, ngram_lm, sharding, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_toxicity": toxicity.op2_toxicity,
         "op4_token_files": token_files.op4_token_files,
+        "op5_chat_format": chat.op5_chat_format,
         "op6_kd_shards": sharding.op6_kd_shards,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_nearest": ann.op8_nearest,
