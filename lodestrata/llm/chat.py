@@ -7,8 +7,8 @@ attachment the reference and the number of tokens that its placeholder stands fo
 recorded: units times the type's tokens a unit (image: patches, audio: seconds, document: pages).
 
 The template is ``<|turn|>role``, a line feed, the content, ``<|end|>`` and a line feed. Inside texts and roles ``\\``,
-``<`` and ``[`` get a backslash, so neither the template's marks nor such as ``</s>`` or
-``[INST]`` can occur in them, and the text is got back by dropping the backslashes. The output
+``<`` and ``[`` are followed by a backslash, so neither the template's marks nor such as ``</s>`` or
+``[INST]`` can occur in them, and the text is got back by dropping it; a line feed in a role is ``<n``. The output
 has a row for each turn, with its place in the conversation's text and the spans, as code points, on which a loss
 is taken: the texts of assistant turns. A conversation of any length is thus never one value.
 
@@ -32,16 +32,16 @@ from lodestrata.llm.common import settle, table
 TURN, END = "<|turn|>", "<|end|>\n"
 TOKENS_A_UNIT = {"image": 1, "audio": 25, "document": 500}
 PART = "struct<type: string, text: string, uri: string, units: int>"
-_PIECE = re.compile(r"<\|turn\|>((?:[^\\\n]|\\.)*)\n(.*)<\|end\|>\n", re.S)
-_ESCAPED = re.compile(r"\\(.)", re.S)
+_PIECE = re.compile(r"<\|turn\|>([^\n]*)\n(.*)<\|end\|>\n", re.S)
+_ESCAPED = re.compile(r"([\\<\[])\\|<n")
 
 
 def escaped(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"([\\<\[])", r"\\$1")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"([\\<\[])", r"$1\\")
 
 
 def escaped_role(role: Column) -> Column:
-    return F.regexp_replace(escaped(role), "\n", "\\\\\n")
+    return F.replace(escaped(role), F.lit("\n"), F.lit("<n"))
 
 
 def text_parts(text: Column) -> Column:
@@ -87,7 +87,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(lambda m: m[1] or "\n", text)
 
 
 def digests(formatted: DataFrame) -> DataFrame:

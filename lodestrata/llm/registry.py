@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import ann, chat, exact_topk, jaccard_join, mixing, ngram_lm, sharding, token_files, toxicity
+from lodestrata.llm import ann, chat, exact_topk, jaccard_join, mixing, ngram_lm, pieces, sharding, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_sentence_pieces": pieces.op3_sentence_pieces,
         "op4_token_files": token_files.op4_token_files,
         "op5_chat_format": chat.op5_chat_format,
         "op6_kd_shards": sharding.op6_kd_shards,

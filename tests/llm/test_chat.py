@@ -48,8 +48,8 @@ def test_typed_parts(spark):
     a, b, c = chat.format_chat(df).orderBy("place").collect()
     assert a.piece == "<|turn|>user\nsee <|image:0|><|document:1|><|end|>\n" and a.loss == []
     assert [tuple(x) for x in a.attachments] == [(0, "image", "s3://a.png", 196), (1, "document", "b.pdf", 1500)]
-    assert b.piece == "<|turn|>assistant\nit's \\<<|audio:2|> ok<|end|>\n" and b.at == len(a.piece)
+    assert b.piece == "<|turn|>assistant\nit's <\\<|audio:2|> ok<|end|>\n" and b.at == len(a.piece)
     whole = a.piece + b.piece + c.piece
-    assert [whole[s.start : s.stop] for s in b.loss] == ["it's \\<", " ok"]
+    assert [whole[s.start : s.stop] for s in b.loss] == ["it's <\\", " ok"]
     assert [tuple(x) for x in b.attachments] == [(2, "audio", "c.wav", 25)]
     assert c.piece == "<|turn|>user\n<|end|>\n"
