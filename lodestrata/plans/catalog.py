@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from lodestrata.plans import q_text  # noqa: F401
+from lodestrata.plans import q_retrieval, q_text  # noqa: F401

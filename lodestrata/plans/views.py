@@ -30,12 +30,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
     "queries": ((), "SELECT item_id AS query_id, text AS query_text FROM benchmark", None),
     "variant_rows": (
         (),
-        "SELECT item_id AS query_id, 'original' AS variant_type, 0 AS variant_ord, text AS query_text FROM benchmark UNION ALL SELECT item_id, 'multi_query', 1, upper(text) FROM benchmark UNION ALL SELECT item_id, 'step_back', 2, concat('overview ', text) FROM benchmark",
-        None,
-    ),
-    "matches_in": (
-        ("scored",),
-        "SELECT sub_query_id, variant_ord, chunk_no, score, rk FROM (SELECT *, row_number() OVER (PARTITION BY sub_query_id, variant_ord ORDER BY score DESC, chunk_no) AS rk FROM scored) t WHERE rk <= 6",
+        "SELECT item_id AS query_id, 'original' AS variant_type, 0 AS variant_ord, text AS query_text FROM benchmark UNION ALL SELECT item_id, 'multi_query', 1, concat('more ', text) FROM benchmark UNION ALL SELECT item_id, 'step_back', 2, concat('overview ', text) FROM benchmark",
         None,
     ),
     "scored": (
@@ -43,6 +38,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
         None,
         "SELECT q.vec_id // 60 AS sub_query_id, CAST(q.vec_id // 20 % 3 AS BIGINT) AS variant_ord, d.vec_id AS chunk_no, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0",
     ),
+    "matches": (
+        ("scored",),
+        None,
+        "SELECT sub_query_id, variant_ord, chunk_no, score, rk FROM (SELECT *, row_number() OVER (PARTITION BY sub_query_id, variant_ord ORDER BY score DESC, chunk_no) AS rk FROM scored) t WHERE rk <= 6",
+    ),
     "entity_mentions": (
         (),
         "SELECT l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_linenumber % 3 = 0 THEN upper(n_name) WHEN l_linenumber % 3 = 1 THEN concat(n_name, ' (', upper(substring(n_name, 1, 3)), ')') ELSE n_name END AS name, CASE WHEN l_linenumber % 2 = 0 THEN 'geography' ELSE 'organization' END AS entity_type, concat(l_returnflag, l_linestatus) AS evidence, concat('o', CAST(l_orderkey % 50 AS VARCHAR(20))) AS source_parent_id, l_linestatus AS section_title, l_linenumber AS page_start, l_linenumber + 1 AS page_end FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT l_orderkey * 10 + l_linenumber, s_name, 'organization', concat(l_returnflag, l_linestatus), concat('o', CAST(l_orderkey % 50 AS VARCHAR(20))), l_linestatus, l_linenumber, l_linenumber + 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
@@ -89,7 +89,7 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if text is None:
         from lodestrata.operators import retrieval
 
-        return retrieval.scored_pairs(load(spark, sf_dir, "embeddings"))
+        return {"matches": retrieval.variant_matches}[name](load(spark, sf_dir, "embeddings"))
     used = [t for t in TABLES if t in text.replace(",", " ").replace(")", " ").split()]
     return spark.sql(_named(text, [*needs, *used]), **{n: spark_view(spark, sf_dir, n) for n in [*needs, *used]})
 
