@@ -8,7 +8,7 @@ out in the order of their scores, N of them for N results.
 
 No piece of the model has a space mark after another character (this is checked when it is
 loaded), so the lattice falls apart before each run of spaces, and a segment is searched once a
-process while it is in a cache. The N best of a whole text differ from the best in the N - 1 segments, at most,
+process while it is in a cache; a last character that no piece joins to the one before is a part of its own. The N best of a whole text differ from the best in the N - 1 segments, at most,
 whose second-best is nearest; those are merged exactly.
 
 The only vocabulary file here is of the BPE kind, whose scores are merge ranks. The best lattice path
@@ -54,10 +54,12 @@ class PieceModel:
                 self.bytes_id[self.byte_of[i]] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.id_of[piece], self.text_of[i], self.score[i] = i, piece, sp.get_score(i)
-        self.longest = max(map(len, self.id_of))
+        #: Every prefix of a piece: the piece's edge, or None where the prefix is no piece.
+        self.node: dict[str, tuple[float, tuple[int, ...]] | None] = {p[:k]: None for p in self.id_of for k in range(1, len(p))}
+        self.node |= {p: (self.score[i], (i,)) for p, i in self.id_of.items()}
+        self.pairs = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}
         self.unknown = min(self.score.values()) - 10
         self.cuts = not any(MARK in p.lstrip(MARK) for p in self.id_of)
-        self.edge = {p: (self.score[i], i) for p, i in self.id_of.items()}
         self.cache: dict[str, tuple[bytes, float, float]] = {}
         self.nbest = lru_cache(maxsize=50_000)(self._nbest)
 
@@ -73,22 +75,22 @@ class PieceModel:
 
     def lattice(self, seg: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """(for each end position the edges (start, score, ids), the best score from the start to each position)."""
-        n, edge, longest = len(seg), self.edge, self.longest
+        n, node = len(seg), self.node
         into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         best = [float("-inf")] * (n + 1)
         best[0] = 0.0
         for a in range(n):
-            here, alone = best[a], True
-            for z in range(a + 1, min(a + longest, n) + 1):
-                got = edge.get(seg[a:z])
+            here = best[a]
+            for z in range(a + 1, n + 1):
+                got = node.get(seg[a:z], 0)
+                if got == 0:
+                    break
                 if got is not None:
-                    s, i = got
-                    into[z].append((a, s, (i,)))
+                    s, ids = got
+                    into[z].append((a, s, ids))
                     if here + s > best[z]:
                         best[z] = here + s
-                    if z == a + 1:
-                        alone = False
-            if alone:
+            if node.get(seg[a]) is None:
                 into[a + 1].append((a, self.unknown, tuple(self.bytes_id[b] for b in seg[a].encode("utf-8", "surrogatepass"))))
                 best[a + 1] = max(best[a + 1], here + self.unknown)
         return into, best
@@ -112,6 +114,10 @@ class PieceModel:
         if got is None:
             if len(self.cache) > CACHED:
                 self.cache.clear()
+            if len(seg) > 1 and seg[-2:] not in self.pairs:  # no piece spans the last character and the one before
+                (x, s, g), (y, t, h) = self.best_two(seg[:-1]), self.best_two(seg[-1])
+                got = self.cache[seg] = (x + y, s + t, min(g, h))
+                return got
             found = self._nbest(seg, 2)
             got = (np.array(found[0][1], dtype=np.int32).tobytes(), found[0][0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
             self.cache[seg] = got
