@@ -120,7 +120,7 @@ def clause_count(text: Column) -> Column:
 def with_routing_signals(rows: DataFrame, query: str) -> DataFrame:
     """Adds how many patterns of each family a query has, and what follows from that. The counts are a step of their own, made once."""
     text = F.lower(F.trim(query))
-    hits = {f"{k}_signal_count": sum((F.when(text.rlike(p), 1).otherwise(0) for p in ps), F.lit(0)) for k, ps in ROUTING.items()}
+    hits = {f"{k}_signal_count": F.size(F.filter(F.array(*[text.rlike(p) for p in ps]), lambda x: x)) for k, ps in ROUTING.items()}
     rows = rows.withColumns(hits | {"word_count": F.size(words(text)), "clause_count": clause_count(text), "_segment": text.rlike(r"\b(segment|reporting segment)\b")})
     kinds = sum((F.when(F.col(f"{k}_signal_count") > 0, 1).otherwise(0) for k in ("numeric", "relationship", "narrative")), F.lit(0))
     return rows.withColumns({"membership": F.col("_segment") & (F.col("relationship_signal_count") > 0), "looks_multi_source": kinds >= 2}).drop("_segment")
