@@ -57,10 +57,9 @@ def q_rank_by_metric(spark, sf_dir):
     return _rows(spark, sf_dir).select("fiscal_year", "segment_name", F.rank().over(W.partitionBy("fiscal_year").orderBy(F.col("revenue").desc())).alias("rk"))
 
 
-@register("sql_execute_limited", _year("SELECT fiscal_year, sum(order_count) AS orders FROM segment_year GROUP BY fiscal_year ORDER BY fiscal_year LIMIT 50"))
+@register("sql_execute_limited", _year("SELECT fiscal_year, CAST(sum(order_count) AS BIGINT) AS orders FROM segment_year GROUP BY fiscal_year ORDER BY fiscal_year LIMIT 50"))
 def sql_execute_limited(spark, sf_dir):
-    got = S.execute_limited(spark, "SELECT fiscal_year, sum(order_count) AS orders FROM segment_year GROUP BY fiscal_year ORDER BY fiscal_year", {"segment_year": _rows(spark, sf_dir)})
-    return got.select("fiscal_year", F.col("orders").cast("decimal(38,0)").alias("orders"))
+    return S.execute_limited(spark, "SELECT fiscal_year, CAST(sum(order_count) AS BIGINT) AS orders FROM segment_year GROUP BY fiscal_year ORDER BY fiscal_year", {"segment_year": _rows(spark, sf_dir)})
 
 
 _TEXTS = "CASE conv_id % 4 WHEN 0 THEN 'select * from t where x = ''' || replace(t, ';', ',') || '''' WHEN 1 THEN 'select 1; ' || t WHEN 2 THEN t ELSE 'with a as (select 1) select * from a where update_ts > 1;' END"

@@ -267,7 +267,7 @@ def event_tail(spark, sf_dir):
     return load(spark, sf_dir, "events").withColumn("n", n).filter("n > 3").select("user_id", "event_id", "n")
 
 
-@register("session_quota", "SELECT user_id, event_id, used, used <= 25 AND event_type <> 'error' AS allowed FROM (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM events)")
+@register("session_quota", "SELECT user_id, event_id, CAST(used AS BIGINT) AS used, used <= 25 AND event_type <> 'error' AS allowed FROM (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM events)")
 def session_quota(spark, sf_dir):
     """25 questions a session; blocked ones use up nothing."""
     used = F.sum(F.when(F.col("event_type") != "error", 1).otherwise(0)).over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0))

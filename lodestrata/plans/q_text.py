@@ -81,7 +81,7 @@ def layout_block_filter(spark, sf_dir):
       (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '1. ' || text ELSE text END AS text FROM conversations)),
     m AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS bare FROM l),
     h AS (SELECT *, regexp_matches(bare, '^([0-9]+\.\s+.+|Appendix\s+[A-Z]\.\s+.+)$') AS is_header, starts_with(first_value(bare) OVER (PARTITION BY doc_id, page ORDER BY line_no), 'Contents') AS contents FROM m),
-    s AS (SELECT *, sum(CASE WHEN is_header THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page, line_no) AS section_index FROM h WHERE NOT (contents AND is_header)),
+    s AS (SELECT *, CAST(sum(CASE WHEN is_header THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page, line_no) AS BIGINT) AS section_index FROM h WHERE NOT (contents AND is_header)),
     g AS (SELECT doc_id, section_index, coalesce(max(CASE WHEN is_header THEN bare END), 'Document Overview') AS section_title, min(page) AS page_start, max(page) AS page_end,
       regexp_replace(string_agg(CASE WHEN is_header THEN bare ELSE line END, chr(10) ORDER BY page, line_no), '^\s+|\s+$', '', 'g') AS text FROM s GROUP BY doc_id, section_index)
     SELECT * FROM g WHERE text <> ''""",
