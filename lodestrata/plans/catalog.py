@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from lodestrata.plans import q_evaluation, q_fusion, q_graph, q_retrieval, q_rules, q_streaming, q_text  # noqa: F401
+from lodestrata.plans import q_evaluation, q_fusion, q_graph, q_more, q_retrieval, q_rules, q_streaming, q_text  # noqa: F401
