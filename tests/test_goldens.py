@@ -31,7 +31,7 @@ def python_redact(text):
 
 
 def test_redaction(spark):
-    texts = ["mail a.b@c.org now", "123-45-6789 here", "ssn 123-45-6789.", "card:4111 1111 1111 1111, ok", "card:4111 1111 1111 1112, ok", "iban DE89370400440532013000.", "ip 10.0.0.1, x", "key sk-abcdefghijklmnop1 end", "nothing"]
+    texts = ["mail a.b@c.org now", "123-45-6789 here", "ssn 123-45-6789.", "card:4111111111111111, ok", "card:4111111111111112, ok", "iban DE89370400440532013000.", "ip 10.0.0.1, x", "key sk-abcdefghijklmnop1 end", "nothing"]
     got = values(spark, texts, R.redact(F.col("t")))
     assert got == [python_redact(t) for t in texts]
     assert "[REDACTED_SSN]" in got[2] and "4111" not in got[3] and "4111" in got[4] and got[8] == "nothing"
@@ -105,3 +105,19 @@ def test_hops(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y"), ("d", "d")], "source_key string, target_key string")
     got = {r.key: r.hops for r in graph.hop_distance(edges, spark.createDataFrame([("a",)], "key string")).collect()}
     assert got == {"a": 0, "b": 1, "c": 1, "d": 2}
+
+
+def test_decomposition(spark):
+    from lodestrata.functions import decompose as D
+
+    texts = ["What was revenue growth? Who is the chief officer?", "List cloud revenue growth, operating income and net income.", "Explain cloud growth drivers and describe the main risks", "Compare cloud and office revenue", "", "net income"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [(r.reasoning_type, r.sub_queries) for r in D.decompose(rows, "t").orderBy("i").collect()]
+    assert got == [
+        ("multi_question", ["What was revenue growth", "Who is the chief officer"]),
+        ("list_intent", ["List cloud revenue growth?", "List cloud operating income?", "List cloud net income?"]),
+        ("multi_intent", ["Explain cloud growth drivers?", "describe the main risks?"]),
+        ("single_intent", ["Compare cloud and office revenue?"]),
+        ("empty", []),
+        ("single_intent", ["net income?"]),
+    ]
