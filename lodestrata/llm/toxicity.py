@@ -35,6 +35,8 @@ from lodestrata.llm.shingles import shingle_hashes
 PREFIXES = (4, 5, 6, 7, 8)
 PRIOR, LEAST_ODDS, LEAST_Z, LEAST_SHARE, LEAST_DOCS = 0.5, 2.0, 3.0, 0.01, 3
 THRESHOLD = 0.7
+#: Up to so many labels (some 24 bytes each) are broadcast; more are joined by shuffling the texts.
+FEW_LABELS = 1_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -211,7 +213,8 @@ def passages_of(docs: DataFrame, model: Model) -> DataFrame:
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text and label of the rows that may teach: labelled, and not held out."""
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(marks.hint("merge"), "doc_id")
+    marks = F.broadcast(marks) if labels.count() <= FEW_LABELS else marks.hint("merge")
+    return docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(marks, "doc_id")
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
