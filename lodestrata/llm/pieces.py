@@ -59,6 +59,9 @@ class PieceModel:
         self.node |= {p: (self.score[i], (i,)) for p, i in self.id_of.items()}
         self.pairs = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}
         self.unknown = min(self.score.values()) - 10
+        top = max([*self.text_of, *self.byte_of]) + 1
+        self.pieces = [self.text_of.get(i, "") for i in range(top)]
+        self.is_byte = np.array([i in self.byte_of for i in range(top)])
         self.cuts = not any(MARK in p.lstrip(MARK) for p in self.id_of)
         self.cache: dict[str, tuple[bytes, float, float]] = {}
         self.nbest = lru_cache(maxsize=50_000)(self._nbest)
@@ -149,12 +152,13 @@ class PieceModel:
             out.append((score, [i for k, s in enumerate(segs) for i in self.nbest(s, n)[which.get(k, 0)][1]]))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        if not self.byte_of.keys().isdisjoint(ids):
-            raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.text_of[i].encode("utf-8", "surrogatepass") for i in ids)
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        ids = np.asarray(ids, dtype=np.int32)
+        if len(ids) and self.is_byte[ids].any():
+            raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode("utf-8", "surrogatepass") for i in ids.tolist())
             text = raw.decode("utf-8", "surrogatepass")
         else:
-            text = "".join(map(self.text_of.__getitem__, ids))
+            text = "".join(map(self.pieces.__getitem__, ids.tolist()))
         return text.replace(MARK, " ").removeprefix(" ")
 
 
@@ -165,12 +169,14 @@ def piece_model(path: str) -> PieceModel:
     return _models[path]
 
 
-ADDED = "n_pieces long, score double, nbest_scores array<double>, ids array<int>, exact boolean"
+ADDED = "n_pieces long, score double, nbest_scores array<double>, exact boolean"
 
 
-def encode_pieces(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
-    """The columns of ``docs`` but text, n_pieces, score, the scores of the n best, the best one's ids, and whether they decode to the text."""
-    kept = [c for c in docs.columns if c != "text" and c not in ("n_pieces", "score", "nbest_scores", "ids", "exact")]
+def encode_pieces(docs: DataFrame, path: str, n: int = 4, digest: bool = False) -> DataFrame:
+    """The columns of ``docs`` but text, n_pieces, score, the scores of the n best, whether the best one's ids decode to the text, and
+    those ids, or with ``digest`` only their CRC-32 as little-endian 32-bit integers (ids_crc32)."""
+    last = "ids_crc32" if digest else "ids"
+    kept = [c for c in docs.columns if c not in ("text", "n_pieces", "score", "nbest_scores", "exact", last)]
     rows = docs.select(*kept, F.coalesce("text", F.lit("")).alias("text"))
 
     def encode(batches):
@@ -181,14 +187,15 @@ def encode_pieces(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
                 texts = batch.column(batch.num_columns - 1).to_pylist()
                 got = [model.encode(t, n) for t in texts]
                 ids = [np.frombuffer(x, dtype=np.int32) for x, _ in got]
-                exact = [model.decode(i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
+                exact = [model.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
                 sizes = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(ids)))
-                more = [pa.array(np.diff(sizes).astype(np.int64)), pa.array([x[0][0] for _, x in got], pa.float64()), pa.array([[s for s, _ in x] for _, x in got], pa.list_(pa.float64())), flat, pa.array(exact)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*kept, "n_pieces", "score", "nbest_scores", "ids", "exact"])
+                out = pa.array([zlib.crc32(x) for x, _ in got], pa.int64()) if digest else pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(ids)))
+                more = [pa.array(np.diff(sizes).astype(np.int64)), pa.array([x[0][0] for _, x in got], pa.float64()), pa.array([[s for s, _ in x] for _, x in got], pa.list_(pa.float64())), pa.array(exact), out]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*kept, "n_pieces", "score", "nbest_scores", "exact", last])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(encode, f"{shape}, {ADDED}" if shape else ADDED)
+    added = f"{ADDED}, ids_crc32 long" if digest else f"{ADDED}, ids array<int>"
+    return rows.mapInArrow(encode, f"{shape}, {added}" if shape else added)
 
 
 def model_path() -> str:
@@ -198,14 +205,5 @@ def model_path() -> str:
 
 
 def op3_sentence_pieces(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, score, nbest_scores, ids_crc32 (of the ids as little-endian 32-bit integers), exact."""
-    got = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path())
-
-    def digest(batches):
-        for b in batches:
-            ids = b.column("ids")
-            flat, at = ids.values.to_numpy(), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:z].tobytes()) for a, z in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "n_pieces", "score", "nbest_scores", "exact")], pa.array(crc, pa.int64())], names=["doc_id", "n_pieces", "score", "nbest_scores", "exact", "ids_crc32"])
-
-    return got.mapInArrow(digest, "doc_id long, n_pieces long, score double, nbest_scores array<double>, exact boolean, ids_crc32 long")
+    """doc_id, n_pieces, score, nbest_scores, exact, ids_crc32."""
+    return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path(), digest=True)
