@@ -16,7 +16,7 @@ minimises the sum of ranks and need not be what BPE merging gives; decoding is e
 
 Defined results: spaces become the mark, one is put before the text, and a mark in a text reads as a
 space; a character without a piece falls back to its bytes, at the score of the lowest piece less 10; null and
-empty texts have no pieces and score 0; equal scores are put in the order of the piece ids from the end of the segment;
+empty texts have no pieces and score 0; equal scores come in an order fixed by the search;
 with fewer than N segmentations there are fewer results; an empty table gives an empty result.
 """
 
@@ -100,15 +100,22 @@ class PieceModel:
 
     def _nbest(self, seg: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         into, best = self.lattice(seg)
-        heap = [(-best[-1], (), len(seg), 0.0)]
-        out = []
+        # of equal estimates the one nearest to the start goes on, so ties do not widen the search
+        heap: list[tuple] = [(-best[-1], len(seg), 0, None, 0.0)]
+        out: list[tuple[float, tuple[int, ...]]] = []
+        pushed = 0
         while heap and len(out) < n:
-            _, path, at, gathered = heapq.heappop(heap)
+            _, at, _, path, gathered = heapq.heappop(heap)
             if at == 0:
-                out.append((gathered, tuple(i for ids in reversed(path) for i in ids)))
+                ids: list[int] = []
+                while path is not None:
+                    ids.extend(path[0])
+                    path = path[1]
+                out.append((gathered, tuple(ids)))
                 continue
-            for a, s, ids in into[at]:
-                heapq.heappush(heap, (-(gathered + s + best[a]), (*path, ids), a, gathered + s))
+            for a, s, got in into[at]:
+                pushed += 1
+                heapq.heappush(heap, (-(gathered + s + best[a]), a, pushed, (got, path), gathered + s))
         return out
 
     def best_two(self, seg: str) -> tuple[bytes, float, float]:
