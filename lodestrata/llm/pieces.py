@@ -8,7 +8,7 @@ out in the order of their scores, N of them for N results.
 
 No piece of the model has a space mark after another character (this is checked when it is
 loaded), so the lattice falls apart before each run of spaces, and a segment is searched once a
-process while it is in a cache; a last character that no piece joins to the one before is a part of its own. The N best of a whole text differ from the best in the N - 1 segments, at most,
+process while it is in a cache; where no piece joins two neighbours, a segment falls into parts that are searched alone. The N best of a whole text differ from the best in the N - 1 segments, at most,
 whose second-best is nearest; those are merged exactly.
 
 The only vocabulary file here is of the BPE kind, whose scores are merge ranks. The best lattice path
@@ -36,6 +36,8 @@ from lodestrata.llm.common import table
 
 MARK = "▁"
 CACHED = 400_000
+#: Longer segments are joined from their cached parts each time.
+LONGEST_CACHED = 100
 _RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+\\Z", re.S)
 _models: dict[str, PieceModel] = {}
 
@@ -124,9 +126,12 @@ class PieceModel:
         if got is None:
             if len(self.cache) > CACHED:
                 self.cache.clear()
-            if len(seg) > 1 and seg[-2:] not in self.pairs:  # no piece spans the last character and the one before
-                (x, s, g), (y, t, h) = self.best_two(seg[:-1]), self.best_two(seg[-1])
-                got = self.cache[seg] = (x + y, s + t, min(g, h))
+            cuts = [k for k in range(1, len(seg)) if seg[k - 1 : k + 1] not in self.pairs]  # no piece spans these
+            if cuts:
+                parts = [self.cache.get(p) or self.best_two(p) for p in (seg[a:z] for a, z in zip([0, *cuts], [*cuts, len(seg)]))]
+                got = (b"".join(p[0] for p in parts), sum(p[1] for p in parts), min(p[2] for p in parts))
+                if len(seg) <= LONGEST_CACHED:
+                    self.cache[seg] = got
                 return got
             found = self._nbest(seg, 2)
             got = (np.array(found[0][1], dtype=np.int32).tobytes(), found[0][0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"))

@@ -74,3 +74,13 @@ def test_ties_do_not_widen_the_search():
     for text in ("=" * 5000, "ab" * 4000, "ha" * 3000 + "!" * 3000):
         best = MODEL.n_best(text, 4)
         assert len(best) == 4 and best[0][0] >= best[3][0] and all(MODEL.decode(ids) == text for _, ids in best)
+
+
+def test_long_runs_that_no_piece_joins():
+    for text in ("1234567890" * 500, "\n" * 5000, "黑暗森林" * 1250, "a" + "12" * 2500 + "the"):
+        data, found = MODEL.encode(text, 4)
+        ids = np.frombuffer(data, dtype=np.int32)
+        assert MODEL.decode(ids) == text and found[0][0] == MODEL._nbest(pieces.MARK + text, 1)[0][0]
+        assert [s for s, _ in found] == [s for s, _ in MODEL._nbest(pieces.MARK + text, 4)]
+        assert ids.tolist() == list(MODEL._nbest(pieces.MARK + text, 1)[0][1])
+    assert all(len(s) <= pieces.LONGEST_CACHED for s in MODEL.cache if "\n\n" in s)
