@@ -2,10 +2,8 @@
 
 Lexicon: in how many labelled toxic and clean documents a feature occurs gives its log-odds
 under a Dirichlet prior. Features are words (runs of letters, lower case) and their first 4 to 8
-letters; of training documents that share the least shingle hash and the label, as copies do, one
-is counted. Kept are features with log-odds of 2 or more, a z-score of 3 or more, and in 1 % of
-the toxic documents (3 at least); so their number is at most 100 times the features of a mean toxic document,
-however large the corpus.
+letters; every training row counts, copies too. Kept are all features with log-odds of 2 or more and
+a z-score of 3 or more.
 
 Scan: a token scores the highest log-odds among its features, any other token a small negative
 drift. One pass finds all maximal scoring segments (Ruzzo and Tompa), and those whose score
@@ -30,10 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import settle, table
-from lodestrata.llm.shingles import shingle_hashes
 
 PREFIXES = (4, 5, 6, 7, 8)
-PRIOR, LEAST_ODDS, LEAST_Z, LEAST_SHARE, LEAST_DOCS = 0.5, 2.0, 3.0, 0.01, 3
+PRIOR, LEAST_ODDS, LEAST_Z = 0.5, 2.0, 3.0
 THRESHOLD = 0.7
 #: Up to so many labels (some 24 bytes each) are broadcast; more are joined by shuffling the texts.
 FEW_LABELS = 1_000_000
@@ -126,17 +123,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
 def fit(train: DataFrame) -> Model:
     """train: text, toxic 0 or 1. Counts, lexicon and law come from all of its rows."""
 
-    def sketch(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                least = [int(s[0].view(np.int64)) if len(s) else 0 for s in shingle_hashes(b.column(0))]
-                import pyarrow as pa
-
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least, pa.int64())], names=["text", "toxic", "least"])
-
-    rows = train.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    one = settle(rows.mapInArrow(sketch, "text string, toxic int, least long").groupBy("least", "toxic").agg(F.min("text").alias("text"), F.count("*").alias("n")), "toxic-train")
+    one = settle(train.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")), "toxic-train")
 
     def count(batches):
         for pdf in batches:
@@ -154,7 +141,7 @@ def fit(train: DataFrame) -> Model:
     counts = one.mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     pt, pc = (F.col("t") + PRIOR) / (nt + 2 * PRIOR), (F.col("c") + PRIOR) / (nc + 2 * PRIOR)
     z = (F.log(pt / (1 - pt)) - F.log(pc / (1 - pc))) / F.sqrt(1 / (F.col("t") + PRIOR) + 1 / (F.col("c") + PRIOR))
-    kept = counts.withColumn("odds", F.log(pt / pc)).filter((F.col("t") >= max(LEAST_DOCS, LEAST_SHARE * nt)) & (F.col("odds") >= LEAST_ODDS) & (z >= LEAST_Z))
+    kept = counts.withColumn("odds", F.log(pt / pc)).filter((F.col("odds") >= LEAST_ODDS) & (z >= LEAST_Z))
     odds = {r.feature: r.odds for r in kept.select("feature", "odds").collect()}
     model = Model(odds, 0.0, (0.0, 0.0))
     tell = one.sparkSession.sparkContext.broadcast(model)

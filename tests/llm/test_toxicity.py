@@ -75,3 +75,21 @@ def test_edges(spark):
     none = toxicity.fit(toxicity.training(df, labels.limit(0)))
     assert toxicity.scored(df, none, ["doc_id"]).filter("score > 0.5").count() == 0
     assert toxicity.scored(df.limit(0), model, ["doc_id"]).collect() == []
+
+
+def _word(i):
+    return "".join(chr(97 + int(d)) for d in f"{i:03d}")
+
+
+def test_rows_that_share_a_passage_all_count(spark):
+    shared = " ".join(f"p{_word(i)}" for i in range(150))
+    rows = [(f"{shared} {'vermin' if i < 30 else 'filth'} z{_word(i)}", 1) for i in range(60)] + [(f"{shared} calm y{_word(i)}", 0) for i in range(60)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    for word in ("vermin", "filth"):
+        assert abs(model.odds[word] - np.log((30.5 / 61) / (0.5 / 61))) < 1e-9
+
+
+def test_a_rare_feature_with_a_high_z_score_is_kept(spark):
+    text = F.when(F.col("id") < 8, "vermin").when(F.col("id") < 900, F.lit("filth")).otherwise(F.lit("calm"))
+    rows = spark.range(20900).select(text.alias("text"), (F.col("id") < 900).cast("int").alias("toxic"))
+    assert "vermin" in toxicity.fit(rows).odds
