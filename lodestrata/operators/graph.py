@@ -109,14 +109,26 @@ def rejection_counts(checked: DataFrame, kind: str) -> DataFrame:
     return checked.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "reason", "n")
 
 
+def _said_anywhere(q: DataFrame, n: DataFrame) -> DataFrame:
+    """query_id, key where q_norm contains the name or an alias: an equi-join with the substrings of the lengths that names and aliases have."""
+    phrases = n.select("key", F.explode(F.array_union(F.array("norm"), "alias_norms")).alias("phrase")).filter("phrase <> ''")
+    lengths = sorted(r[0] for r in phrases.select(F.length("phrase")).distinct().collect())
+    starts = q.filter("q_norm <> ''").select("query_id", "q_norm", F.explode(F.sequence(F.lit(1), F.length("q_norm"))).alias("start"))
+    sizes = starts.select("*", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("size")).filter("start + size - 1 <= length(q_norm)")
+    parts = sizes.select("query_id", F.expr("substring(q_norm, start, size)").alias("phrase")).distinct()
+    return parts.join(phrases.hint("merge"), "phrase").select("query_id", "key")
+
+
 def node_topk(queries: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, key, score, rk. A node is scored for a query if a token of its name, aliases or evidence is in the query; the k nodes of
-    most mentions are scored for every query, as mentions alone give a score."""
+    """query_id, key, score, rk. A node is scored for a query if a token of its name, aliases or evidence is in the query, or its whole name or
+    an alias anywhere in the query's text; the k nodes of most mentions are scored for every query, as mentions alone give a score."""
     n = nodes.select("key", "canonical_name", "mention_count", F.array_distinct(graph_tokens(F.col("canonical_name"))).alias("name_tokens"), F.array_distinct(graph_tokens(F.replace("aliases", F.lit("|"), F.lit(" ")))).alias("alias_tokens"), F.array_distinct(graph_tokens(F.array_join(F.slice(F.split("evidence", r"\|"), 1, 3), " "))).alias("evidence_tokens"), graph_text(F.col("canonical_name")).alias("norm"), F.filter(F.transform(F.split("aliases", r"\|"), graph_text), lambda x: x != "").alias("alias_norms"))
+    n = settled(n)
     q = queries.select("query_id", F.array_distinct(graph_tokens(F.col("query_text"))).alias("q_tokens"), graph_text(F.col("query_text")).alias("q_norm"))
     asked = q.select("query_id", F.explode("q_tokens").alias("token")).distinct()
     has = n.select("key", F.explode(F.array_union(F.array_union("name_tokens", "alias_tokens"), "evidence_tokens")).alias("token"))
     pairs = asked.join(has.hint("merge"), "token").select("query_id", "key").distinct()
+    pairs = pairs.union(_said_anywhere(q, n))
     most = n.orderBy(F.col("mention_count").desc(), F.lower("canonical_name")).limit(k).select("key")
     pairs = pairs.union(q.select("query_id").join(F.broadcast(most))).distinct()
     rows = pairs.join(q.hint("merge"), "query_id").join(n.hint("merge"), "key")

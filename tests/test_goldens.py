@@ -121,3 +121,13 @@ def test_decomposition(spark):
         ("empty", []),
         ("single_intent", ["net income?"]),
     ]
+
+
+def test_names_inside_longer_words_are_scored(spark):
+    rows = [(f"big{i}", f"Big{i}", 9, "", "none") for i in range(6)] + [("iran", "Iran", 1, "", "none"), ("oil co", "Oil Co", 2, "Qx|petroch", "none")]
+    nodes = spark.createDataFrame(rows, "key string, canonical_name string, mention_count long, aliases string, evidence string")
+    queries = spark.createDataFrame([(1, "Iranians buy petrochemicals"), (2, ""), (3, "Ira")], "query_id long, query_text string")
+    got = {(r.query_id, r.rk): (r.key, r.score) for r in graph.node_topk(queries, nodes).collect()}
+    assert [got[1, i] for i in (1, 2, 3)] == [("iran", 3.1), ("oil co", 2.2), ("big0", 0.5)]
+    assert len(got) == 15 and got[2, 1] == got[3, 1] == ("big0", 0.5)
+    assert graph.node_topk(queries, nodes.limit(0)).collect() == []
