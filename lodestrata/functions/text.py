@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 #: Sequences that a wrong decoding leaves in place of punctuation, and what they stand for.
 MOJIBAKE = [("â€™", "'"), ("â€“", "-"), ("â€”", "-"), ("â€œ", '"'), ("â€\x9d", '"'), ("ï‚·", "-")]
 #: Words that say nothing about coverage.
-COVERAGE_STOPWORDS = "a an and are as at be by did do for from how in is it of on or say said the they to was what when which who why".split()
+COVERAGE_STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "did", "do", "for", "from", "how", "in", "is", "it", "of", "on", "or", "say", "said", "the", "they", "to", "was", "what", "when", "which", "who", "why"]
 #: Words that say nothing about graph names.
-GRAPH_STOPWORDS = "a an and are as at by did does for from how include includes in is of on or the to what which".split()
+GRAPH_STOPWORDS = ["a", "an", "and", "are", "as", "at", "by", "did", "does", "for", "from", "how", "include", "includes", "in", "is", "of", "on", "or", "the", "to", "what", "which"]
 #: Endings that the graph tokens lose, tried in this order.
 GRAPH_SUFFIXES = ["ing", "ates", "ate", "ated", "es", "s", "ed"]
 

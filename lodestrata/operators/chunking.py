@@ -24,7 +24,7 @@ def layout_block_filter(blocks: DataFrame, boxes: DataFrame) -> DataFrame:
     b, t = blocks.alias("b"), boxes.alias("t")
     meets = (F.col("b.doc_id") == F.col("t.doc_id")) & (F.col("b.x0") < F.col("t.x1")) & (F.col("b.x1") > F.col("t.x0")) & (F.col("b.y0") < F.col("t.y1")) & (F.col("b.y1") > F.col("t.y0"))
     order = W.partitionBy("doc_id").orderBy("y0", "x0", "line_no")
-    return b.join(t, meets, "left_anti").withColumn("reading_order", F.row_number().over(order))
+    return b.join(t.hint("merge"), meets, "left_anti").withColumn("reading_order", F.row_number().over(order))
 
 
 def section_split(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ made distinct in a first aggregate, so a group never holds more than a node's di
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,12 +17,25 @@ from lodestrata.functions.cut import settled
 from lodestrata.functions.text import clean_name, graph_text, graph_tokens, name_key, words
 from lodestrata.operators.retrieval import top_k
 
+#: Up to so many nodes (some 50 bytes each) are broadcast.
+FEW_NODES = 100_000
 #: The entity and relation types of the graph.
 HIGH_VALUE_TYPES = ["organization", "segment", "product_or_service", "technology_or_platform", "regulatory_or_external_body", "geography"]
 CONDITIONAL_TYPES = ["initiative_or_strategy", "risk_or_issue", "financial_or_business_concept", "time_period", "other"]
 RELATION_TYPES = ["includes", "integrates", "invests_in", "supports", "faces", "uses", "positions_as", "depends_on"]
 
 
+def mention_groups(mentions: DataFrame) -> DataFrame:
+    """Equal mentions in one row with their number n and first ord: names are cleaned once for each group, not for each mention."""
+    what = [c for c in ("name", "entity_type", "evidence", "section_title", "page_start", "page_end") if c in mentions.columns]
+    return kept_mentions(mentions.groupBy(*what).agg(F.count("*").alias("n"), F.min("ord").alias("ord")))
+
+
+def kept_keys(mentions: DataFrame) -> DataFrame:
+    """The distinct keys of the mentions that are kept."""
+    return kept_mentions(mentions.select("name").distinct()).select("key").distinct()
+
+
 def kept_mentions(mentions: DataFrame) -> DataFrame:
     """Mentions with key and clean name, without those whose key is empty, one character, or begins like a heading."""
     rows = mentions.withColumn("key", name_key(F.col("name"))).withColumn("clean", clean_name(F.col("name")))
@@ -28,8 +43,8 @@ def kept_mentions(mentions: DataFrame) -> DataFrame:
 
 
 def canonical_names(kept: DataFrame) -> DataFrame:
-    """key, canonical_name: the most frequent clean name, then the shortest, then the first in lower case."""
-    counts = kept.filter("clean <> ''").groupBy("key", "clean").agg(F.count("*").alias("n"))
+    """key, canonical_name: the most frequent clean name, then the shortest, then the first in lower case. kept: key, clean, n."""
+    counts = kept.filter("clean <> ''").groupBy("key", "clean").agg(F.sum("n").alias("n"))
     best = F.min_by("clean", F.struct((-F.col("n")).alias("a"), F.length("clean").alias("b"), F.lower("clean").alias("c"), F.col("clean").alias("d")))
     return counts.groupBy("key").agg(best.alias("canonical_name"))
 
@@ -42,10 +57,10 @@ def _in_order(kept: DataFrame, value: Column, name: str) -> DataFrame:
 
 def graph_nodes(mentions: DataFrame) -> DataFrame:
     """key, canonical_name, entity_type (the least of those seen), mention_count, aliases, evidence, sections, page_ranges."""
-    kept = kept_mentions(mentions)
-    base = kept.groupBy("key").agg(F.count("*").alias("mention_count"), F.min("entity_type").alias("entity_type"), F.min("ord").alias("first_ord"))
+    kept = settled(mention_groups(mentions))
+    base = kept.groupBy("key").agg(F.sum("n").alias("mention_count"), F.min("entity_type").alias("entity_type"), F.min("ord").alias("first_ord"))
     pages = F.concat_ws("-", "page_start", "page_end")
-    named = canonical_names(kept)
+    named = settled(canonical_names(kept))
     aliases = kept.groupBy("key", "clean", "name").agg(F.min("ord").alias("ord")).join(named.hint("merge"), "key").filter("name <> canonical_name")
     out = base.join(named.hint("merge"), "key").join(_in_order(aliases, F.col("name"), "aliases").hint("merge"), "key", "left")
     for value, name in ((F.col("evidence"), "evidence"), (F.col("section_title"), "sections"), (pages, "page_ranges")):
@@ -55,11 +70,22 @@ def graph_nodes(mentions: DataFrame) -> DataFrame:
 
 def graph_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """source_key, relation_type, target_key, mention_count, evidence_count, edge_no (by first mention); both ends are nodes."""
-    keyed = relations.withColumns({"source_key": name_key(F.col("source")), "target_key": name_key(F.col("target"))})
-    grouped = keyed.groupBy("source_key", "relation_type", "target_key").agg(F.count("*").alias("mention_count"), F.count_distinct("evidence").alias("evidence_count"), F.min("ord").alias("first_ord"))
-    keys = nodes.select("key")
+    equal = relations.groupBy("source", "relation_type", "target", "evidence").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
+    keyed = equal.withColumns({"source_key": name_key(F.col("source")), "target_key": name_key(F.col("target"))})
+    grouped = keyed.groupBy("source_key", "relation_type", "target_key").agg(F.sum("n").alias("mention_count"), F.count_distinct("evidence").alias("evidence_count"), F.min("ord").alias("first_ord"))
+    keys = settled(nodes.select("key"))
     both = grouped.join(keys.withColumnRenamed("key", "source_key").hint("merge"), "source_key", "left_semi").join(keys.withColumnRenamed("key", "target_key").hint("merge"), "target_key", "left_semi")
-    return both.withColumn("edge_no", F.row_number().over(W.orderBy("first_ord", "source_key", "relation_type", "target_key")))
+    return numbered(both, ["first_ord", "source_key", "relation_type", "target_key"], "edge_no")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the place (from 1) of each row in the order of the columns, which tell all rows apart. Ranges of rows are numbered alone, and a
+    range starts after those before it; what is broadcast is a row for each range."""
+    ranges = settled(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_inside", inside).join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + F.col("_inside")).cast("int")).drop("_range", "_start", "_inside")
 
 
 def node_reasons(name: Column, kind: Column, mentions: Column, evidence: Column) -> Column:
@@ -98,7 +124,7 @@ def node_validate(nodes: DataFrame) -> DataFrame:
 
 
 def edge_validate(edges: DataFrame, checked: DataFrame) -> DataFrame:
-    ok = checked.filter("valid").select(F.col("key").alias("k"), F.lit(True).alias("ok"))
+    ok = settled(checked.filter("valid").select(F.col("key").alias("k"), F.lit(True).alias("ok")))
     rows = edges.join(ok.withColumnsRenamed({"k": "source_key", "ok": "s_ok"}).hint("merge"), "source_key", "left").join(ok.withColumnsRenamed({"k": "target_key", "ok": "t_ok"}).hint("merge"), "target_key", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     r = edge_reasons(F.col("relation_type"), yes("s_ok"), yes("t_ok"), F.col("source_key") == F.col("target_key"), F.col("mention_count"), F.col("evidence_count"))
@@ -109,14 +135,21 @@ def rejection_counts(checked: DataFrame, kind: str) -> DataFrame:
     return checked.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "reason", "n")
 
 
-def _said_anywhere(q: DataFrame, n: DataFrame) -> DataFrame:
-    """query_id, key where q_norm contains the name or an alias: an equi-join with the substrings of the lengths that names and aliases have."""
-    phrases = n.select("key", F.explode(F.array_union(F.array("norm"), "alias_norms")).alias("phrase")).filter("phrase <> ''")
+def contained(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """texts: id, text; phrases: phrase, and others -> id and the columns of phrases for each phrase that a text contains: an equi-join with the
+    texts' distinct substrings of the lengths that phrases have. Empty phrases are in no text."""
+    phrases = phrases.filter("phrase <> ''")
     lengths = sorted(r[0] for r in phrases.select(F.length("phrase")).distinct().collect())
-    starts = q.filter("q_norm <> ''").select("query_id", "q_norm", F.explode(F.sequence(F.lit(1), F.length("q_norm"))).alias("start"))
-    sizes = starts.select("*", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("size")).filter("start + size - 1 <= length(q_norm)")
-    parts = sizes.select("query_id", F.expr("substring(q_norm, start, size)").alias("phrase")).distinct()
-    return parts.join(phrases.hint("merge"), "phrase").select("query_id", "key")
+    starts = texts.filter("text <> ''").select("id", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("start"))
+    sizes = starts.select("*", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("size")).filter("start + size - 1 <= length(text)")
+    parts = sizes.select("id", F.expr("substring(text, start, size)").alias("phrase")).distinct()
+    return parts.join(phrases.hint("merge"), "phrase")
+
+
+def _said_anywhere(q: DataFrame, n: DataFrame) -> DataFrame:
+    """query_id, key where q_norm contains the name or an alias."""
+    phrases = n.select("key", F.explode(F.array_union(F.array("norm"), "alias_norms")).alias("phrase"))
+    return contained(q.select(F.col("query_id").alias("id"), F.col("q_norm").alias("text")), phrases).select(F.col("id").alias("query_id"), "key")
 
 
 def node_topk(queries: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
@@ -129,8 +162,8 @@ def node_topk(queries: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     has = n.select("key", F.explode(F.array_union(F.array_union("name_tokens", "alias_tokens"), "evidence_tokens")).alias("token"))
     pairs = asked.join(has.hint("merge"), "token").select("query_id", "key").distinct()
     pairs = pairs.union(_said_anywhere(q, n))
-    most = n.orderBy(F.col("mention_count").desc(), F.lower("canonical_name")).limit(k).select("key")
-    pairs = pairs.union(q.select("query_id").join(F.broadcast(most))).distinct()
+    most = [r.key for r in n.orderBy(F.col("mention_count").desc(), F.lower("canonical_name")).limit(k).select("key").collect()]
+    pairs = pairs.union(q.select("query_id", F.explode(F.array(*map(F.lit, most)).cast("array<string>")).alias("key"))).distinct()
     rows = pairs.join(q.hint("merge"), "query_id").join(n.hint("merge"), "key")
     common = lambda c: F.size(F.array_intersect("q_tokens", c))
     phrase = F.when((F.col("norm") != "") & F.col("q_norm").contains(F.col("norm")), 3.0).otherwise(0.0) + F.when(F.exists("alias_norms", lambda a: F.col("q_norm").contains(a)), 2.0).otherwise(0.0) + F.when(common("name_tokens") > 0, 0.5).otherwise(0.0)
@@ -171,35 +204,41 @@ def hub(degree: DataFrame) -> DataFrame:
     return degree.orderBy(F.col("degree").desc(), "key").limit(1)
 
 
-def hop_distance(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
-    """key, hops from the start over undirected edges, for the nodes that can be reached. A join for each hop; only the newest nodes move."""
+def hop_distance(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """key, hops from the start over undirected edges, for the nodes that can be reached, however far.
+
+    A join for each hop, until no new node is found. A neighbour of nodes at distance h is at h - 1, h or h + 1, so only the last two
+    rings are compared, and a ring of up to FEW_NODES nodes is broadcast.
+    """
     both = settled(edges.select("source_key", "target_key").union(edges.select("target_key", "source_key")).toDF("a", "b").filter("a <> b").distinct())
-    seen = start.select("key", F.lit(0).alias("hops"))
-    edge_of = seen
-    for hop in range(1, most):
-        nxt = both.join(edge_of.select(F.col("key").alias("a")).hint("merge"), "a").select(F.col("b").alias("key")).distinct()
-        nxt = settled(nxt.join(seen.select("key").hint("merge"), "key", "left_anti").withColumn("hops", F.lit(hop)))
-        if nxt.isEmpty():
-            break
-        seen, edge_of = settled(seen.unionByName(nxt)), nxt
-    return seen
+    ring = settled(start.select("key", F.lit(0).alias("hops")).distinct())
+    rings, last, hop, n = [ring], None, 0, ring.count()
+    told = lambda df, n: F.broadcast(df) if n <= FEW_NODES else df.hint("merge")
+    while n:
+        hop += 1
+        near = both.join(told(ring.select(F.col("key").alias("a")), n), "a").select(F.col("b").alias("key")).distinct()
+        old = ring.select("key") if last is None else ring.select("key").union(last.select("key"))
+        found = settled(near.join(told(old, n if last is None else n + m), "key", "left_anti").withColumn("hops", F.lit(hop)))
+        last, ring, m, n = ring, found, n, found.count()
+        rings.append(found)
+        if len(rings) > 16:
+            rings = [settled(reduce(DataFrame.unionByName, rings))]
+    return reduce(DataFrame.unionByName, rings)
 
 
 def hop_rings(hops: DataFrame, radius: float = 120.0) -> DataFrame:
     """Where a node stands on the ring of its distance: ring 3 holds all beyond two hops."""
-    ring = F.least("hops", F.lit(3))
-    rows = hops.withColumn("ring", ring)
-    n, i = F.count("*").over(W.partitionBy("ring")), F.row_number().over(W.partitionBy("ring").orderBy("key")) - 1
-    angle = i / n * 2 * F.pi()
-    return rows.withColumns({"x": F.round(F.cos(angle) * F.col("ring") * radius, 4), "y": F.round(F.sin(angle) * F.col("ring") * radius, 4)})
+    rows = numbered(hops.withColumn("ring", F.least("hops", F.lit(3))), ["ring", "key"], "_no")
+    sizes = rows.groupBy("ring").agg(F.count("*").alias("_size"), F.min("_no").alias("_least"))  # four rows at most
+    rows = rows.join(F.broadcast(sizes), "ring")
+    angle = (F.col("_no") - F.col("_least")) / F.col("_size") * 2 * F.pi()
+    return rows.select("key", "hops", "ring", angle.alias("_angle")).withColumns({"x": F.round(F.cos("_angle") * F.col("ring") * radius, 4), "y": F.round(F.sin("_angle") * F.col("ring") * radius, 4)}).drop("_angle")
 
 
 def graph_search(nodes: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFrame:
-    """Per term: nodes whose name contains it, how many are in view (they and their neighbours), and the match of the shortest name.
-
-    ``terms`` (a typed search box) has few rows and is broadcast; a nested-loop join is the only way to look for substrings.
-    """
-    hit = nodes.join(F.broadcast(terms), F.lower("canonical_name").contains(F.lower("term"))).select("term", "key", "canonical_name")
+    """Per term: nodes whose name contains it, how many are in view (they and their neighbours), and the match of the shortest name."""
+    names = nodes.select(F.struct("key", "canonical_name").alias("id"), F.lower("canonical_name").alias("text"))
+    hit = settled(contained(names, terms.select("term", F.lower("term").alias("phrase")).distinct()).select("term", "id.key", "id.canonical_name"))
     near = edges.join(hit.select("term", F.col("key").alias("source_key")).hint("merge"), "source_key").select("term", F.col("target_key").alias("key"))
     near = near.union(edges.join(hit.select("term", F.col("key").alias("target_key")).hint("merge"), "target_key").select("term", F.col("source_key").alias("key")))
     view = near.union(hit.select("term", "key")).distinct().groupBy("term").agg(F.count("*").alias("in_view"))

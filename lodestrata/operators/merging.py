@@ -126,7 +126,6 @@ def profile(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def zero_filled(counts: DataFrame, key: str, values: list[str], count: str) -> DataFrame:
-    """Counts for a fixed list of values, 0 where there are none. The list is broadcast."""
-    spark = counts.sparkSession
-    fixed = spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(key))
-    return F.broadcast(fixed).join(counts, key, "left").select(key, F.coalesce(count, F.lit(0)).alias(count))
+    """Counts for a fixed list of values, 0 where there are none: a zero for each value is added to the counts of those."""
+    zeros = counts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(key), F.lit(0).cast("long").alias(count))
+    return counts.filter(F.col(key).isin(values)).select(key, F.col(count).cast("long").alias(count)).unionByName(zeros).groupBy(key).agg(F.sum(count).alias(count))

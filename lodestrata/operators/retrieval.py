@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.functions.cut import settled
 from lodestrata.functions.text import index_terms
+from lodestrata.operators.blocks import best_of_rows, cells, packed
 
 K1, B = 1.5, 0.75
 ALPHA, TOP_K = 0.6, 6
-QUERIES_A_BLOCK = 2048
+QUERIES_A_BLOCK, ROWS_A_BLOCK = 512, 4096
+#: Up to so many distinct terms of queries (some 50 bytes each) are broadcast.
+FEW_TERMS = 200_000
 
 
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rk") -> DataFrame:
@@ -26,9 +32,12 @@ def term_postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").cast("long").alias("length"))
 
 
-def corpus_stats(chunks: DataFrame, text: str) -> DataFrame:
-    """doc_count, avg_doc_len in one row."""
-    return chunks.agg(F.count("*").alias("doc_count"), F.avg(F.size(index_terms(F.col(text)))).alias("avg_doc_len"))
+def corpus_stats(chunks: DataFrame, text: str, postings: DataFrame | None = None) -> DataFrame:
+    """doc_count, avg_doc_len in one row; from written postings of the same chunks where there are some, so no text is cut into terms again."""
+    if postings is None:
+        return chunks.agg(F.count("*").alias("doc_count"), F.avg(F.size(index_terms(F.col(text)))).alias("avg_doc_len"))
+    n, terms = chunks.agg(F.count("*").alias("doc_count")), postings.agg(F.sum("tf").alias("terms"))
+    return n.join(F.broadcast(terms)).select("doc_count", (F.coalesce("terms", F.lit(0)) / F.col("doc_count")).alias("avg_doc_len"))
 
 
 def bm25_idf(postings: DataFrame, stats: DataFrame) -> DataFrame:
@@ -38,17 +47,29 @@ def bm25_idf(postings: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(F.broadcast(stats)).select("term", "df", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_doc_len")
 
 
-def bm25_scores(queries: DataFrame, postings: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    """query_id, key, score of every chunk that shares a term with a query; only the queries' terms leave the postings."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(index_terms(F.col("query_text")))).alias("term"))
-    mine = postings.join(asked.select("term").distinct().hint("merge"), "term", "left_semi")
+def asked_postings(queries: DataFrame, chunks: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(query_id, term of the queries; the postings of those terms): other terms go before anything is counted or moved.
+
+    The distinct terms of the queries are broadcast if they are fewer than FEW_TERMS, and else merged.
+    """
+    asked = settled(queries.select("query_id", F.explode(F.array_distinct(index_terms(F.col("query_text")))).alias("term")))
+    wanted = settled(asked.select("term").distinct())
+    few = F.broadcast(wanted) if wanted.count() <= FEW_TERMS else wanted.hint("merge")
+    terms = chunks.select(key, index_terms(F.col(text)).alias("terms"))
+    rows = terms.select(key, F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term")).join(few, "term", "left_semi")
+    return asked, settled(rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")))
+
+
+def bm25_scores(asked: DataFrame, postings: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """query_id, key, score of every chunk that shares a term with a query; the postings are those of the queries' terms."""
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_doc_len")))
-    weighted = mine.join(bm25_idf(mine, stats).hint("merge"), "term").select("term", key, weight.alias("w"))
+    weighted = postings.join(bm25_idf(postings, stats).hint("merge"), "term").select("term", key, weight.alias("w"))
     return asked.join(weighted.hint("merge"), "term").groupBy("query_id", key).agg(F.round(F.sum("w"), 6).alias("score"))
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, key: str, text: str, k: int = TOP_K) -> DataFrame:
-    scores = bm25_scores(queries, term_postings(chunks, key, text), corpus_stats(chunks, text), key)
+    asked, postings = asked_postings(queries, chunks, key, text)
+    scores = bm25_scores(asked, postings, corpus_stats(chunks, text), key)
     return top_k(scores, ["query_id"], [F.col("score").desc(), F.col(key)], k)
 
 
@@ -69,39 +90,59 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
-def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, same: bool = False) -> DataFrame:
+def _vector_block(pdf: pd.DataFrame) -> bytes:
+    return pickle.dumps((pdf["id"].to_numpy(np.int64), np.array(list(pdf["vec"]), dtype=np.float64), pdf["list"].to_numpy(np.int32)))
+
+
+def _blocks(rows: DataFrame, id_col: str, size: int, centres: np.ndarray | None) -> DataFrame:
+    """Blocks of ids, vectors and the vectors' lists; with centres the rows of a list stand together."""
+    some = rows.select(F.col(id_col).cast("long").alias("id"), "vec").filter("id IS NOT NULL AND vec IS NOT NULL")
+    if centres is None:
+        return packed(some.withColumn("list", F.lit(0)), size, _vector_block)
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                v = np.array(list(pdf["vec"]), dtype=np.float64)
+                yield pdf.assign(list=((centres**2).sum(1) - 2 * v @ centres.T).argmin(1).astype("int32"))
+
+    listed = some.mapInPandas(place, f"id long, vec {dict(some.dtypes)['vec']}, list int")
+    return packed(listed.repartitionByRange("list", "id").sortWithinPartitions("list", "id"), size, _vector_block)
+
+
+def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, same: bool = False, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
     """corpus: id, vec; queries: query_id, vec -> query_id, id, score (dot product, 6 digits), rk.
 
-    The queries go to the tasks in blocks of 2,048 vectors, the corpus is read where it lies, and a task sends on
-    no more than k rows of a query. ``same`` keeps a row as candidate of the query with its own id.
+    Blocks of 512 queries meet blocks of 4,096 rows, and a cell sends on no more than k rows of a query. ``same`` keeps a row
+    as candidate of the query with its own id. With ``centres`` a query is compared only with the rows of its ``probes`` nearest lists.
+    Rows with a null id or vector take no part.
     """
-    spark = corpus.sparkSession
-    numbered = queries.select("query_id", "vec").withColumn("n", F.row_number().over(W.orderBy("query_id")) - 1).withColumn("block", F.floor(F.col("n") / QUERIES_A_BLOCK)).cache()
-    blocks = [r.block for r in numbered.select("block").distinct().collect()]
-    found = None
-    for b in sorted(blocks):
-        some = numbered.filter(F.col("block") == b).orderBy("n").toPandas()
-        told = spark.sparkContext.broadcast((some["query_id"].to_numpy(), np.array(list(some["vec"]), dtype=np.float64)))
-
-        def near(batches, told=told):
-            ids, q = told.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                m, own = np.array(list(pdf["vec"]), dtype=np.float64), pdf["id"].to_numpy()
+    q_blocks, c_blocks = _blocks(queries, "query_id", QUERIES_A_BLOCK, centres), _blocks(corpus, "id", ROWS_A_BLOCK, centres)
+
+    def near(batches):
+        for pdf in batches:
+            for ask, rows in zip(pdf["q"], pdf["c"]):
+                (ids, q, _), (own, m, of) = pickle.loads(ask), pickle.loads(rows)
+                if centres is not None:
+                    lists, col = np.unique(of, return_inverse=True)
+                    far = (centres**2).sum(1) - 2 * q @ centres.T
+                    reach = np.partition(far, probes - 1, axis=1)[:, probes - 1]
+                    asks = far[:, lists] <= reach[:, None]
+                    some = np.flatnonzero(asks.any(1))
+                    if not len(some):
+                        continue
+                    ids, q, asks = ids[some], q[some], asks[some]
+                    some = asks.any(0)[col]
+                    own, m, asks = own[some], m[some], asks[:, col[some]]
                 s = np.round(q @ m.T, 6)
-                out = []
-                for i, x in enumerate(ids):
-                    ok = np.flatnonzero(own != x) if not same else np.arange(len(own))
-                    at = ok[np.lexsort((own[ok], -s[i][ok]))][:k]
-                    out.append(pd.DataFrame({"query_id": x, "id": own[at], "score": s[i][at]}))
-                yield pd.concat(out, ignore_index=True)
-
-        one = corpus.select("id", "vec").mapInPandas(near, "query_id long, id long, score double")
-        found = one if found is None else found.unionByName(one)
-    numbered.unpersist()
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, id long, score double")
+                if not same:
+                    s[ids[:, None] == own[None, :]] = -np.inf
+                if centres is not None:
+                    s[~asks] = -np.inf
+                row, at = best_of_rows(s, own, k)
+                yield pd.DataFrame({"query_id": ids[row], "id": own[at], "score": s[row, at]})
+
+    found = cells(q_blocks, c_blocks).mapInPandas(near, "query_id long, id long, score double")
     return top_k(found, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
@@ -119,22 +160,68 @@ def hybrid_topk(dense: DataFrame, sparse: DataFrame, keys: list[str], k: int = T
     return top_k(both.withColumn("score", score).drop("d", "s"), keys, [F.col("score").desc(), F.col("id")], k)
 
 
-def ann_topk(corpus: DataFrame, queries: DataFrame, dim: int, k: int = TOP_K, tables: int = 24, bits: int = 5) -> DataFrame:
-    """The contract of ``dense_topk`` for unit vectors by random hyperplanes: candidates agree with the query in all bits of some table."""
-    planes = np.random.default_rng(17).normal(size=(tables, bits, dim))
+def _centres(sample: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    rng = np.random.default_rng(17)
+    centres = sample[rng.choice(len(sample), n, replace=False)].copy()
+    for _ in range(rounds):
+        near = ((centres**2).sum(1) - 2 * sample @ centres.T).argmin(1)
+        sums, count = np.zeros_like(centres), np.bincount(near, minlength=n)
+        np.add.at(sums, near, sample)
+        centres[count > 0] = sums[count > 0] / count[count > 0, None]
+    return centres
 
-    def signed(pdf_iter):
-        for pdf in pdf_iter:
-            if len(pdf):
-                v = np.array(list(pdf["vec"]), dtype=np.float64)
-                on = np.einsum("tbd,nd->ntb", planes, v) > 0
-                yield pdf.assign(signs=((on * (1 << np.arange(bits))).sum(2) + np.arange(tables) * (1 << bits)).tolist())
-
-    sign = lambda df, i: df.select(F.col(i).alias("id"), "vec").mapInPandas(signed, "id long, vec array<float>, signs array<int>")
-    q = sign(queries, "query_id").select(F.col("id").alias("query_id"), F.col("vec").alias("q_vec"), F.explode("signs").alias("sign"))
-    c = sign(corpus, "id").select("id", "vec", F.explode("signs").alias("sign"))
-    pairs = q.join(c.hint("merge"), "sign").filter("query_id <> id").dropDuplicates(["query_id", "id"])
-    return top_k(pairs.select("query_id", "id", F.round(dot(F.col("q_vec"), F.col("vec")), 6).alias("score")), ["query_id"], [F.col("score").desc(), F.col("id")], k)
+
+def _probes(sample: np.ndarray, centres: np.ndarray, k: int, aim: float) -> int:
+    """The fewest nearest lists that hold ``aim`` of the k nearest others of 500 of the sample's vectors."""
+    ask = sample[:500]
+    score = ask @ sample.T
+    score[np.arange(len(ask)), np.arange(len(ask))] = -np.inf
+    near = np.argsort(-score, axis=1)[:, : min(k, len(sample) - 1)]
+    lists = ((centres**2).sum(1) - 2 * sample @ centres.T).argmin(1)
+    place = ((centres**2).sum(1) - 2 * ask @ centres.T).argsort(1).argsort(1)
+    rank = np.sort(np.take_along_axis(place, lists[near], axis=1), axis=None)
+    return int(rank[min(len(rank) - 1, int(np.ceil(aim * len(rank))))]) + 1 if len(rank) else len(centres)
+
+
+def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, aim: float = 0.95, fit_rows: int = 10_000) -> DataFrame:
+    """The contract of ``dense_topk`` by inverted lists: a query looks into the lists of its nearest centres.
+
+    Centres, and how many lists hold ``aim`` of the neighbours, come from the ``fit_rows`` rows of least id hash; every row is in a list.
+    """
+    some = corpus.filter("id IS NOT NULL AND vec IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("vec").toPandas()
+    if not len(some):
+        return dense_topk(corpus, queries, k)
+    sample = np.array(list(some["vec"]), dtype=np.float64)
+    centres = _centres(sample, max(1, min(len(sample), 256, int(np.sqrt(len(sample))))))
+    return dense_topk(corpus, queries, k, centres=centres, probes=_probes(sample, centres, k, aim))
+
+
+def shared_terms(asked: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """asked: query_id, terms; texts: id, terms (arrays of distinct terms) -> query_id, id, shared: the k texts that share most terms
+    with each query, ties to the smaller id, and only those that share any. Frequent terms meet inside cells, never in a join."""
+    pack = lambda c: lambda pdf: pickle.dumps((pdf[c].to_numpy(np.int64), [list(t) for t in pdf["terms"]]))
+    q_blocks, c_blocks = packed(asked, QUERIES_A_BLOCK, pack("query_id")), packed(texts, ROWS_A_BLOCK, pack("id"))
+
+    def count(batches):
+        for pdf in batches:
+            for ask, rows in zip(pdf["q"], pdf["c"]):
+                (ids, wanted), (own, has) = pickle.loads(ask), pickle.loads(rows)
+                column: dict[str, list[int]] = {}
+                for i, terms in enumerate(has):
+                    for t in terms:
+                        column.setdefault(t, []).append(i)
+                held = {t: np.array(c) for t, c in column.items()}
+                n = np.zeros((len(ids), len(own)))
+                for i, terms in enumerate(wanted):
+                    for t in terms:
+                        if t in held:
+                            n[i, held[t]] += 1
+                n[(n == 0) | (ids[:, None] == own[None, :])] = -np.inf
+                row, at = best_of_rows(n, own, k)
+                yield pd.DataFrame({"query_id": ids[row], "id": own[at], "shared": n[row, at].astype(np.int64)})
+
+    found = cells(q_blocks, c_blocks).mapInPandas(count, "query_id long, id long, shared long")
+    return top_k(found, ["query_id"], [F.col("shared").desc(), F.col("id")], k).drop("rk")
 
 
 def match_dedupe(matches: DataFrame, keys: list[str], chunk: str, rank: str) -> DataFrame:

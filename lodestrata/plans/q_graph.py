@@ -43,8 +43,7 @@ def _nodes(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    kept = G.kept_mentions(spark_view(spark, sf_dir, "entity_mentions")).select("key").distinct()
-    return G.graph_edges(spark_view(spark, sf_dir, "relation_mentions"), kept)
+    return G.graph_edges(spark_view(spark, sf_dir, "relation_mentions"), _keys(spark, sf_dir))
 
 
 @register("name_normalize", with_views(f"SELECT name, count(*) AS mentions, {_clean('name')} AS clean, {_key('name')} AS key FROM entity_mentions GROUP BY name", "entity_mentions"))
@@ -55,7 +54,7 @@ def name_normalize(spark, sf_dir):
 
 @register("entity_filter", with_views(f"WITH {_KEPT} SELECT key, count(*) AS kept FROM kept GROUP BY key", "entity_mentions"))
 def entity_filter(spark, sf_dir):
-    return G.kept_mentions(spark_view(spark, sf_dir, "entity_mentions")).groupBy("key").agg(F.count("*").alias("kept"))
+    return G.mention_groups(spark_view(spark, sf_dir, "entity_mentions")).groupBy("key").agg(F.sum("n").alias("kept"))
 
 
 @register("mention_enrich", with_views("SELECT source_parent_id, section_title, page_start, count(*) AS mentions, count(DISTINCT name) AS names FROM entity_mentions GROUP BY ALL", "entity_mentions"))
@@ -83,12 +82,12 @@ def extraction_usage(spark, sf_dir):
 
 @register("canonical_name", with_views(f"WITH {_CANON} SELECT * FROM canon", "entity_mentions"))
 def canonical_name(spark, sf_dir):
-    return G.canonical_names(G.kept_mentions(spark_view(spark, sf_dir, "entity_mentions")))
+    return G.canonical_names(G.mention_groups(spark_view(spark, sf_dir, "entity_mentions")))
 
 
 @register("entity_type_resolve", with_views(f"WITH {_NODES} SELECT key, entity_type FROM nodes", "entity_mentions"))
 def entity_type_resolve(spark, sf_dir):
-    return G.kept_mentions(spark_view(spark, sf_dir, "entity_mentions")).groupBy("key").agg(F.min("entity_type").alias("entity_type"))
+    return G.mention_groups(spark_view(spark, sf_dir, "entity_mentions")).groupBy("key").agg(F.min("entity_type").alias("entity_type"))
 
 
 @register("graph_nodes", with_views(f"WITH {_NODES} SELECT * FROM nodes", "entity_mentions"))
@@ -128,7 +127,8 @@ def edge_validate(spark, sf_dir):
     with_views(f"WITH {_CHECKED} SELECT 'edge' AS kind, reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, '|')) AS reason FROM ev WHERE reasons <> '') GROUP BY reason UNION ALL SELECT 'node', reason, count(*) FROM (SELECT unnest(string_split(reasons, '|')) AS reason FROM nv WHERE reasons <> '') GROUP BY reason", *_BOTH),
 )
 def rejection_counts(spark, sf_dir):
-    return G.rejection_counts(_edge_checked(spark, sf_dir), "edge").unionByName(G.rejection_counts(G.node_validate(_nodes(spark, sf_dir)), "node"))
+    nodes = G.settled(G.node_validate(_nodes(spark, sf_dir)))
+    return G.rejection_counts(G.edge_validate(_edges(spark, sf_dir), nodes), "edge").unionByName(G.rejection_counts(nodes, "node"))
 
 
 def _norm(x: str) -> str:
@@ -168,7 +168,7 @@ def node_score_topk(spark, sf_dir):
 
 @register("neighborhood", with_views(f"WITH {_SCORED} SELECT query_id, edge_no, source_key, relation_type, target_key, mention_count FROM nb", *_BOTH, "queries"))
 def neighborhood(spark, sf_dir):
-    return G.neighborhood(_edges(spark, sf_dir), node_score_topk(spark, sf_dir)).select("query_id", "edge_no", "source_key", "relation_type", "target_key", "mention_count")
+    return G.neighborhood(_edges(spark, sf_dir), G.settled(node_score_topk(spark, sf_dir))).select("query_id", "edge_no", "source_key", "relation_type", "target_key", "mention_count")
 
 
 @register(
@@ -182,20 +182,20 @@ def neighborhood(spark, sf_dir):
     ),
 )
 def edge_score_topk(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
-    return G.edge_topk(_queries(spark, sf_dir), _edges(spark, sf_dir), node_score_topk(spark, sf_dir), nodes)
+    nodes = G.settled(_nodes(spark, sf_dir))
+    return G.edge_topk(_queries(spark, sf_dir), _edges(spark, sf_dir), G.settled(G.node_topk(_queries(spark, sf_dir), nodes)), nodes)
 
 
 @register("graph_load_stats", with_views(f"WITH {_EDGES} SELECT (SELECT count(*) FROM nodes) AS node_count, count(*) AS edge_count, count(DISTINCT relation_type) AS relation_types FROM edges", *_BOTH))
 def graph_load_stats(spark, sf_dir):
     e = _edges(spark, sf_dir).agg(F.count("*").alias("edge_count"), F.count_distinct("relation_type").alias("relation_types"))
-    n = G.kept_mentions(spark_view(spark, sf_dir, "entity_mentions")).agg(F.count_distinct("key").alias("node_count"))
+    n = _keys(spark, sf_dir).agg(F.count("*").alias("node_count"))
     return e.join(F.broadcast(n))
 
 
 @register("graph_payload", with_views(f"WITH {_EDGES} SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count, max(page_end) AS max_page FROM kept", *_BOTH))
 def graph_payload(spark, sf_dir):
-    n = G.kept_mentions(spark_view(spark, sf_dir, "entity_mentions")).agg(F.count_distinct("key").alias("node_count"), F.max("page_end").alias("max_page"))
+    n = G.mention_groups(spark_view(spark, sf_dir, "entity_mentions")).agg(F.count_distinct("key").alias("node_count"), F.max("page_end").alias("max_page"))
     return n.join(F.broadcast(_edges(spark, sf_dir).agg(F.count("*").alias("edge_count"))))
 
 
@@ -203,12 +203,12 @@ _DEGREE = f"{_EDGES}, de AS (SELECT key, count(*) AS d FROM (SELECT source_key A
 
 
 def _keys(spark, sf_dir):
-    return G.kept_mentions(spark_view(spark, sf_dir, "entity_mentions")).select("key").distinct()
+    return G.kept_keys(spark_view(spark, sf_dir, "entity_mentions"))
 
 
 @register("degree_hub", with_views(f"WITH {_DEGREE} SELECT key, degree, key = (SELECT key FROM hub) AS is_hub FROM degree", *_BOTH))
 def degree_hub(spark, sf_dir):
-    d = G.degrees(_edges(spark, sf_dir), _keys(spark, sf_dir))
+    d = G.settled(G.degrees(_edges(spark, sf_dir), _keys(spark, sf_dir)))
     return d.join(F.broadcast(G.hub(d).select(F.col("key").alias("h")))).select("key", "degree", (F.col("key") == F.col("h")).alias("is_hub"))
 
 
@@ -248,7 +248,7 @@ def hop_rings(spark, sf_dir):
 )
 def graph_search(spark, sf_dir):
     terms = load(spark, sf_dir, "supplier").select(F.lower(F.substring("s_name", 1, 4)).alias("term")).distinct()
-    return G.graph_search(_nodes(spark, sf_dir), _edges(spark, sf_dir), terms)
+    return G.graph_search(_nodes(spark, sf_dir), G.settled(_edges(spark, sf_dir)), terms)
 
 
 @register("node_expand", with_views(f"WITH {_DEGREE} SELECT edge_no, source_key, relation_type, target_key FROM edges WHERE source_key = (SELECT key FROM hub) OR target_key = (SELECT key FROM hub)", *_BOTH))
@@ -261,8 +261,8 @@ def node_expand(spark, sf_dir):
 @register("induced_subgraph", with_views(f"WITH {_DEGREE}, v AS (SELECT key FROM degree WHERE degree >= (SELECT avg(degree) FROM degree)) SELECT edge_no, source_key, relation_type, target_key FROM edges WHERE source_key IN (SELECT key FROM v) AND target_key IN (SELECT key FROM v)", *_BOTH))
 def induced_subgraph(spark, sf_dir):
     """The edges between nodes of at least the mean degree."""
-    e = _edges(spark, sf_dir)
-    d = G.degrees(e, _keys(spark, sf_dir))
+    e = G.settled(_edges(spark, sf_dir))
+    d = G.settled(G.degrees(e, _keys(spark, sf_dir)))
     mean = d.agg(F.avg("degree").alias("m"))
     keys = d.join(F.broadcast(mean)).filter("degree >= m").select("key")
     return G.induced_subgraph(e, keys).select("edge_no", "source_key", "relation_type", "target_key")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.functions.cut import settled
 from lodestrata.functions.text import COVERAGE_STOPWORDS, index_terms
 from lodestrata.operators import chunking, merging, retrieval
 from lodestrata.plans.registry import FLAGSHIP, register
@@ -39,7 +40,8 @@ def term_postings(spark, sf_dir):
 @register("bm25_idf", with_views(f"WITH {_POSTINGS} SELECT term, df, round(idf, 9) AS idf, round(avg_doc_len, 6) AS avg_doc_len FROM idf, stats", "chunks"))
 def bm25_idf(spark, sf_dir):
     c = _chunks(spark, sf_dir)
-    got = retrieval.bm25_idf(retrieval.term_postings(c, "child_id", "child_text"), retrieval.corpus_stats(c, "child_text"))
+    p = settled(retrieval.term_postings(c, "child_id", "child_text"))
+    got = retrieval.bm25_idf(p, retrieval.corpus_stats(c, "child_text", p))
     return got.select("term", "df", F.round("idf", 9).alias("idf"), F.round("avg_doc_len", 6).alias("avg_doc_len"))
 
 
@@ -107,8 +109,8 @@ def rerank_documents(spark, sf_dir):
 )
 def sparse_vector_encode(spark, sf_dir):
     c = _chunks(spark, sf_dir)
-    p = retrieval.term_postings(c, "child_id", "child_text")
-    return retrieval.sparse_vector_encode(p, retrieval.bm25_idf(p, retrieval.corpus_stats(c, "child_text")), "child_id")
+    p = settled(retrieval.term_postings(c, "child_id", "child_text"))
+    return retrieval.sparse_vector_encode(p, retrieval.bm25_idf(p, retrieval.corpus_stats(c, "child_text", p)), "child_id")
 
 
 _DENSE = "SELECT query_id, id, score, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM (SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0{0})) WHERE rk <= 6"
@@ -136,7 +138,7 @@ def namespace_filter(spark, sf_dir):
 @register("ann_topk")
 def ann_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return retrieval.ann_topk(v, v.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 64)
+    return retrieval.ann_topk(v, v.filter("id % 20 = 0").withColumnRenamed("id", "query_id"))
 
 
 _CHUNK0 = "child_id = CAST(doc_id AS VARCHAR) || '_par0_ch0'"
@@ -157,11 +159,15 @@ def hybrid_topk(spark, sf_dir):
     """Dense matches joined with the number of terms that the first chunks of both documents share, over 10."""
     own = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
     first = _chunks(spark, sf_dir).filter("parent_index = 0 AND child_index = 0").join(own.hint("merge"), "doc_id", "left_semi")
-    terms = first.select("doc_id", F.explode(F.array_distinct(index_terms(F.col("child_text")))).alias("term"))
-    asked = terms.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
-    pairs = asked.join(terms.withColumnRenamed("doc_id", "id").hint("merge"), "term").filter("query_id <> id")
-    sparse = pairs.groupBy("query_id", "id").agg((F.count("*") / 10.0).alias("score"))
-    return retrieval.hybrid_topk(dense_topk(spark, sf_dir).drop("rk"), sparse, ["query_id"])
+    terms = settled(first.select(F.col("doc_id").alias("id"), F.array_distinct(index_terms(F.col("child_text"))).alias("terms")))
+    asked = terms.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    dense = settled(dense_topk(spark, sf_dir).drop("rk"))
+    # of the pairs that are no dense matches at most k are among a query's k best: those with most shared terms; k more stand for the dense ones
+    most = retrieval.shared_terms(asked, terms, 2 * retrieval.TOP_K)
+    near = dense.join(asked.withColumnRenamed("terms", "q_terms").hint("merge"), "query_id").join(terms.hint("merge"), "id")
+    near = near.select("query_id", "id", F.size(F.array_intersect("q_terms", "terms")).cast("long").alias("shared")).filter("shared > 0")
+    sparse = most.unionByName(near).groupBy("query_id", "id").agg((F.max("shared") / 10.0).alias("score"))
+    return retrieval.hybrid_topk(dense, sparse, ["query_id"])
 
 
 @register("match_dedupe", with_views("SELECT sub_query_id, chunk_no, variant_ord, score, rk FROM (SELECT *, row_number() OVER (PARTITION BY sub_query_id, chunk_no ORDER BY variant_ord, rk) AS f FROM matches) WHERE f = 1", "matches"))

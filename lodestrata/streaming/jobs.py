@@ -32,8 +32,11 @@ def job_status(events: DataFrame) -> DataFrame:
 
 
 def activity(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events and mean value by kind and window; windows close when the watermark has passed, so state stays bounded."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("w.start").alias("start"), "event_type", "n", "mean")
+    """Events and mean value by kind and window; windows close when the watermark has passed, so state stays bounded.
+
+    A time without zone is taken in the session's; a null one belongs to no window.
+    """
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("w.start").alias("start"), "event_type", "n", "mean")
 
 
 def run_available(stream: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:

@@ -31,3 +31,11 @@ def test_windows_close_behind_the_watermark(spark):
     folder, schema = parts(load(spark, D, "events"), 2)
     got = jobs.run_available(jobs.activity(jobs.read_stream(spark, folder, schema), late="1000 days"), "append", "active", tempfile.mkdtemp(prefix="spark-"))
     assert got.filter(F.col("n") < 1).isEmpty()
+
+
+def test_windowed_stream_equals_batch(spark):
+    events = load(spark, D, "events")
+    folder, schema = parts(events, 3)
+    got = jobs.run_available(jobs.activity(jobs.read_stream(spark, folder, schema), late="1000 days"), "complete", "active_all", tempfile.mkdtemp(prefix="spark-"))
+    rows = lambda df: sorted((r.start, r.event_type, r.n, round(r["mean"], 6)) for r in df.collect())
+    assert rows(got) == rows(jobs.activity(events)) and sum(r.n for r in got.collect()) == events.filter("ts IS NOT NULL").count()
