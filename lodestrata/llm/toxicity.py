@@ -6,10 +6,11 @@ letters; every training row counts, copies too. Kept are all features with log-o
 a z-score of 3 or more.
 
 Scan: a token scores the highest log-odds among its features, any other token a small negative
-drift. One pass finds all maximal scoring segments (Ruzzo and Tompa), and those whose score
-is significant against the text's length under the extreme-value law P(S >= s) = 1 - exp(-n e^-s)
-are the toxic passages. A document's evidence is the sum of what its passages' scores exceed
-log(n) by plus the highest token score; a logistic law, fitted on the training documents, turns it into a probability.
+drift. One pass finds all maximal scoring segments (Ruzzo and Tompa). The best segment of n clean words reaches
+a score s with the chance 1 - exp(-K n e^(-lambda s)): lambda is the root of E[e^(lambda s)] = 1 over the tokens of the clean training
+rows, and K is fitted to the best segments of those rows. Segments with a chance of at most 1 % are the toxic
+passages. A document's evidence comes from its segments alone: with x = lambda s - ln(K n), it is ln(1 + e^x) of the best
+one plus x of every other passage; a logistic law in ln(1 + evidence), fitted on the training documents, turns it into a probability.
 
 Defined results: null and empty texts have evidence 0 and get the score of a text without any
 passage; ``labels`` rows with a null label or doc_id teach nothing, and repeated ones count
@@ -32,6 +33,10 @@ from lodestrata.llm.common import settle, table
 PREFIXES = (4, 5, 6, 7, 8)
 PRIOR, LEAST_ODDS, LEAST_Z = 0.5, 2.0, 3.0
 THRESHOLD = 0.7
+#: Least x of a passage: the chance of 1 - exp(-e^-x) is 1 % there.
+SIGNIFICANT = -math.log(-math.log(1 - 0.01))
+#: Token scores are counted in bins of a sixteenth of a nat to find lambda.
+BINS_A_NAT = 16
 #: Up to so many labels (some 24 bytes each) are broadcast; more are joined by shuffling the texts.
 FEW_LABELS = 1_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -50,29 +55,41 @@ def held_out(doc_id: Column) -> Column:
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a sequence, in linear time."""
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum at its end
+    """All maximal scoring segments (start, end, score) of a sequence, in linear time.
+
+    A candidate knows the nearest one before it whose left sum is smaller, so the search for that one jumps over those between.
+    """
+    starts: list[int] = []
+    ends: list[int] = []
+    left: list[float] = []  # sum before a candidate
+    right: list[float] = []  # sum at its end
+    smaller: list[int] = []  # the nearest one before it with a smaller left sum, or -1
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        start, left, right = i, before, total
-        while found:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= left:
-                j -= 1
-            if j < 0 or found[j][3] >= right:
-                break
-            start, left = found[j][0], found[j][2]
-            del found[j:]
-        found.append((start, i + 1, left, right))
-    return [(a, z, right - left) for a, z, left, right in found]
+        start, low, j = i, before, len(left) - 1
+        while j >= 0 and left[j] >= low:
+            j = smaller[j]
+        while j >= 0 and right[j] < total:
+            start, low, before_it = starts[j], left[j], smaller[j]
+            for some in (starts, ends, left, right, smaller):
+                del some[j:]
+            j = before_it
+        starts.append(start)
+        ends.append(i + 1)
+        left.append(low)
+        right.append(total)
+        smaller.append(j)
+    return [(a, z, r - x) for a, z, x, r in zip(starts, ends, left, right)]
 
 
 class Model:
-    def __init__(self, odds: dict[str, float], drift: float, law: tuple[float, float]):
-        self.odds, self.drift, self.law = odds, drift, law
+    """odds: feature -> log-odds; drift: score of any other token; tail: lambda and K of the extreme-value law; law: slope and intercept."""
+
+    def __init__(self, odds: dict[str, float], drift: float, tail: tuple[float, float], law: tuple[float, float]):
+        self.odds, self.drift, self.tail, self.law = odds, drift, tail, law
         self.cache: dict[str, float] = {}
 
     def token(self, word: str) -> float:
@@ -84,25 +101,43 @@ class Model:
             self.cache[word] = got
         return got
 
-    def passages(self, text: str | None) -> tuple[list[tuple[int, int, float]], float, int]:
-        """(significant segments as word ranges with what they exceed log(n) by, highest token score, number of words)."""
-        ws = words(text)
+    def scores(self, text: str | None) -> list[float]:
+        """Of each word: its log-odds, or 0."""
         cache, token = self.cache, self.token
-        scores = [cache[w] if w in cache else token(w) for w in ws]
-        top = max(scores, default=0.0)
-        if top <= 0:
-            return [], 0.0, len(ws)
-        need = math.log(max(len(ws), 1))
-        found = maximal_segments([s if s > 0 else self.drift for s in scores])
-        return [(a, z, s - need) for a, z, s in found if s > need], top, len(ws)
+        return [cache[w] if w in cache else token(w) for w in words(text)]
 
-    def evidence(self, text: str | None) -> tuple[float, int]:
-        found, top, _ = self.passages(text)
-        return sum(x for _, _, x in found) + top, len(found)
+    def segments(self, text: str | None) -> list[tuple[int, int, float]]:
+        """Maximal segments as word ranges with x = lambda s - ln(K n): a text of n clean words has one of that or more with the chance 1 - exp(-e^-x)."""
+        scores = self.scores(text)
+        if max(scores, default=0.0) <= 0:
+            return []
+        rate, shift = self.tail[0], math.log(self.tail[1] * len(scores))
+        return [(a, z, rate * s - shift) for a, z, s in maximal_segments([s if s > 0 else self.drift for s in scores])]
+
+    def passages(self, text: str | None) -> list[tuple[int, int, float]]:
+        return [x for x in self.segments(text) if x[2] >= SIGNIFICANT]
 
-    def score(self, evidence):
-        a, b = self.law
-        return 1 / (1 + np.exp(-np.clip(a * np.asarray(evidence) + b, -30, 30)))
+    def evidence(self, text: str | None) -> tuple[float, int]:
+        """(evidence, number of passages)."""
+        found = sorted((x for _, _, x in self.segments(text)), reverse=True)
+        if not found:
+            return 0.0, 0
+        others = [x for x in found[1:] if x >= SIGNIFICANT]
+        return math.log1p(math.exp(min(found[0], 700.0))) + sum(others), len(others) + (found[0] >= SIGNIFICANT)
+
+
+def _lambda(scores: np.ndarray, share: np.ndarray) -> float:
+    """The positive root of E[exp(lambda s)] = 1 over a clean text's tokens; 1, that of exact log-likelihood ratios, where there is none."""
+    if (scores * share).sum() >= 0 or scores.max(initial=0.0) <= 0:
+        return 1.0
+    low, high = 0.0, 1.0
+    over = lambda x: (share * np.exp(np.minimum(x * scores, 700.0))).sum() > 1
+    while not over(high):
+        high *= 2
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if over(mid) else (mid, high)
+    return high
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -137,33 +172,48 @@ def fit(train: DataFrame) -> Model:
     sizes = {r.toxic: r.n for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     nt, nc = sizes.get(1, 0), sizes.get(0, 0)
     if not nt or not nc:
-        return Model({}, 0.0, (0.0, 40.0 if nt else -40.0))
+        return Model({}, 0.0, (1.0, 1.0), (0.0, 40.0 if nt else -40.0))
     counts = one.mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     pt, pc = (F.col("t") + PRIOR) / (nt + 2 * PRIOR), (F.col("c") + PRIOR) / (nc + 2 * PRIOR)
     z = (F.log(pt / (1 - pt)) - F.log(pc / (1 - pc))) / F.sqrt(1 / (F.col("t") + PRIOR) + 1 / (F.col("c") + PRIOR))
     kept = counts.withColumn("odds", F.log(pt / pc)).filter((F.col("odds") >= LEAST_ODDS) & (z >= LEAST_Z))
     odds = {r.feature: r.odds for r in kept.select("feature", "odds").collect()}
-    model = Model(odds, 0.0, (0.0, 0.0))
-    tell = one.sparkSession.sparkContext.broadcast(model)
+    tell = one.sparkSession.sparkContext.broadcast(Model(odds, 0.0, (1.0, 1.0), (0.0, 0.0)))
 
     def hits(batches):
         for pdf in batches:
             for y, part in pdf.groupby("toxic"):
-                ws = [words(t) for t in part["text"]]
-                yield pd.DataFrame({"toxic": [y], "n": [sum(map(len, ws))], "hits": [sum(tell.value.token(w) > 0 for x in ws for w in x)]})
+                at = np.rint(np.array([x for t in part["text"] for x in tell.value.scores(t)]) * BINS_A_NAT)
+                bins, n = np.unique(at, return_counts=True)
+                yield pd.DataFrame({"toxic": y, "at": bins.astype(np.int64), "n": n})
+
+    # a row for each label and bin of scores, some hundreds
+    seen = one.mapInPandas(hits, "toxic int, at long, n long").groupBy("toxic", "at").agg(F.sum("n").alias("n")).collect()
+    tokens = {y: sum(r.n for r in seen if r.toxic == y) for y in (0, 1)}
+    share = {y: (sum(r.n for r in seen if r.toxic == y and r["at"] > 0) + 1) / (tokens[y] + 2) for y in (0, 1)}
+    drift = min(math.log((1 - share[1]) / (1 - share[0])), -0.01)
+    clean = sorted((r["at"], r.n) for r in seen if r.toxic == 0)
+    rate = _lambda(np.array([a / BINS_A_NAT if a > 0 else drift for a, _ in clean]), np.array([n for _, n in clean]) / max(tokens[0], 1))
+    tell = one.sparkSession.sparkContext.broadcast(Model(odds, drift, (rate, 1.0), (0.0, 0.0)))
+
+    def tails(batches):
+        for pdf in batches:
+            some = [(len(words(t)), max((x for _, _, x in tell.value.segments(t)), default=None)) for t in pdf["text"]]
+            # n exp(-lambda s) of a text's best segment: with K = 1 that is exp(-x), and n where there is no segment
+            yield pd.DataFrame({"docs": [sum(n > 0 for n, _ in some)], "mass": [sum(float(n) if x is None else math.exp(-x) for n, x in some if n)]})
 
-    share = {r.toxic: r.hits / max(r.n, 1) for r in one.mapInPandas(hits, "toxic int, n long, hits long").groupBy("toxic").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).collect()}
-    drift = min(math.log((1 - min(share.get(1, 0.0), 0.9)) / (1 - min(share.get(0, 0.0), 0.5))), -0.01)
-    model = Model(odds, drift, (0.0, 0.0))
+    # K n exp(-lambda s) has an exponential law of mean 1 over clean texts, so K is their number over the sum of the rest
+    got = one.filter("toxic = 0").mapInPandas(tails, "docs long, mass double").agg(F.sum("docs").alias("docs"), F.sum("mass").alias("mass")).first()
+    model = Model(odds, drift, (rate, got.docs / got.mass if got.docs and got.mass > 0 else 1.0), (0.0, 0.0))
     tell = one.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches):
         for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "at": [min(round(tell.value.evidence(t)[0] * 4), 400) for t in pdf["text"]]})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "at": [round(math.log1p(tell.value.evidence(t)[0]) * 32) for t in pdf["text"]]})
 
-    # at most 401 values for each label
+    # some hundred values for each label
     bins = one.mapInPandas(weigh, "toxic int, at int").groupBy("toxic", "at").count().collect()
-    model.law = _logistic(np.array([r["at"] / 4 for r in bins]), np.array([r["toxic"] for r in bins], dtype=float), np.array([r["count"] for r in bins], dtype=float))
+    model.law = _logistic(np.array([r["at"] / 32 for r in bins]), np.array([r["toxic"] for r in bins], dtype=float), np.array([r["count"] for r in bins], dtype=float))
     return model
 
 
@@ -177,13 +227,13 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         return pd.DataFrame({"evidence": [x for x, _ in got], "passages": [n for _, n in got]})
 
     a, b = model.law
-    law = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(a) * F.least(F.col("_t.evidence"), F.lit(100.0)) + F.lit(b)))))
+    law = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(a) * F.log1p("_t.evidence") + F.lit(b)))))
     got = docs.select(*keep, evidence(F.coalesce("text", F.lit(""))).alias("_t"))
     return got.select(*keep, F.col("_t.evidence").alias("evidence"), F.col("_t.passages").alias("passages"), law.alias("score"))
 
 
 def passages_of(docs: DataFrame, model: Model) -> DataFrame:
-    """A row for each toxic passage: doc_id, first and last word (from 0), what its score exceeds log(n) by, its words."""
+    """A row for each toxic passage: doc_id, first and last word (from 0), its excess lambda s - ln(K n), its words."""
     tell = docs.sparkSession.sparkContext.broadcast(model)
 
     def find(batches):
@@ -191,7 +241,7 @@ def passages_of(docs: DataFrame, model: Model) -> DataFrame:
             out = []
             for i, text in zip(pdf["doc_id"], pdf["text"]):
                 ws = words(text)
-                out += [(i, a, z - 1, s, " ".join(ws[a:z])) for a, z, s in tell.value.passages(text)[0]]
+                out += [(i, a, z - 1, s, " ".join(ws[a:z])) for a, z, s in tell.value.passages(text)]
             yield pd.DataFrame(out, columns=["doc_id", "first_word", "last_word", "excess", "passage"])
 
     return docs.select("doc_id", "text").mapInPandas(find, "doc_id long, first_word int, last_word int, excess double, passage string")

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +33,43 @@ def test_maximal_segments(scores):
     assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
 
 
+def test_long_sequences_take_linear_time():
+    rng = np.random.default_rng(4)
+    for kinds in ([1, -2], [3, -1, -1, -1], [5, -2, -2, 1]):
+        small = rng.choice(kinds, 300).tolist()
+        got, want = toxicity.maximal_segments(small), brute_segments_by_sums(small)
+        assert sorted(s for _, _, s in got) == sorted(s for _, _, s in want)
+    took = {}
+    for n in (100_000, 400_000):
+        began = time.process_time()
+        assert len(toxicity.maximal_segments([1, -2] * (n // 2))) == n // 2
+        took[n] = time.process_time() - began
+    assert took[400_000] < 12 * took[100_000] + 0.5
+
+
+def brute_segments_by_sums(scores):
+    """As ``brute_segments``, by running sums."""
+    best, low, at = (0, 0, 0), 0, 0
+    total = 0
+    for i, s in enumerate(scores):
+        total += s
+        if total - low > best[2]:
+            best = (at, i + 1, total - low)
+        if total <= low:
+            low, at = total, i + 1
+    if best[2] <= 0:
+        return []
+    a, z, _ = best
+    return brute_segments_by_sums(scores[:a]) + [best] + brute_segments_by_sums(scores[z:])
+
+
+def test_lambda_is_the_root():
+    scores, share = np.array([3.0, 1.0, -0.2]), np.array([0.01, 0.03, 0.96])
+    rate = toxicity._lambda(scores, share)
+    assert abs((share * np.exp(rate * scores)).sum() - 1) < 1e-9 and rate > 0
+    assert toxicity._lambda(np.array([-0.2]), np.array([1.0])) == 1.0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="aB é\n\t,", max_size=30), min_size=1, max_size=6))
 def test_word_hashes(texts):
