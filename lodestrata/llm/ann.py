@@ -1,19 +1,24 @@
 """Approximate nearest neighbours: inverted lists and adaptive dimension scan.
 
 Vectors are put into the list of their nearest centre. A query looks into the lists of its
-nearest centres. Inside a list, all vectors have been turned by one random rotation, and are
-read in blocks of columns: after d' of D columns the partial distance, scaled by D / d',
-estimates the whole one, and a candidate goes as soon as a hypothesis test says that it is
-farther than the query's kth so far. The others get their exact distance on the original
+nearest centres: first into the nearest one alone, whose kth distance bounds what any other list
+can add, then into the others under that bound. Inside a list all vectors are turned by one random rotation, and
+queries and rows are compared by blocks of columns: after d' of D columns the partial distance, scaled by D / d',
+estimates the whole one, and a pair goes as soon as a hypothesis test says that it is
+farther than the query's bound; rows that no query needs any more leave the block. The others get their exact distance on the original
 vectors in double precision.
 
-Centres are fitted on a bounded sample: the ``fit_rows`` rows (20,000) of smallest id hash. Every row
-is indexed. A list of any size is cut into cells by hash, of twice the mean list and at most some 2048 rows, and some 256 queries, so
-no vector that repeats and no popular centre makes a large task.
+Centres are fitted on a bounded sample: the ``fit_rows`` rows (20,000) of smallest id hash. On the same sample it is measured
+how many lists hold ``aim`` of the nearest neighbours, and so many are probed: few where vectors cluster, most where they do not. Every row
+is indexed. Small lists share a cell of some 8192 rows, a longer one is cut by hash, and queries come in blocks of some 512, so
+no vector that repeats and no popular centre makes a large task; a query moves once to each cell, not to each list.
+
+Rows with a component over 1e100, whose squares may not fit a double, are in a list of their own, which all queries probe; such a query probes all lists,
+and distances that overflow are infinite.
 
 Defined results: vectors that are null, empty, zero, or hold a null or not finite component
 take no part, neither do rows with a null id or of another length than the most common one of
-the sample; a row is no candidate of a query with its own id; ties go to the smaller id.
+the sample; a row is no candidate of a query with its own id; ties go to the smaller id; other columns of the input are not used.
 """
 
 from __future__ import annotations
@@ -24,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import settle, table
+from lodestrata.llm.common import default_parallelism, settle, table
 from lodestrata.llm.vectors import usable
 
 FIT_ROWS, MOST_LISTS = 20_000, 1024
-ROWS_A_CELL, QUERIES_A_CELL = 2048, 256
+ROWS_A_CELL, QUERIES_A_CELL = 8192, 512
 COLUMNS, EPS = 16, 2.1
+HUGE = 1e100
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -50,26 +56,83 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(q: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """Places of the rows that may be among the k nearest of q, both rotated."""
-    n, dim = rows.shape
-    first = min(n, max(4 * k, 64))
-    head = ((rows[:first] - q) ** 2).sum(1)
-    if n <= first:
-        return np.arange(n)
-    bound = np.partition(head, k - 1)[k - 1] * (1 + 1e-9) + 1e-300
-    at, part = np.arange(first, n), np.zeros(n - first)
+def probes_needed(sample: np.ndarray, centres: np.ndarray, k: int, aim: float) -> int:
+    """The fewest nearest lists that hold ``aim`` of the k nearest others of 500 of the sample's vectors."""
+    ask = sample[:500]
+    if len(sample) < 2:
+        return len(centres)
+    far = (sample**2).sum(1) - 2 * ask @ sample.T
+    far[np.arange(len(ask)), np.arange(len(ask))] = np.inf
+    near = np.argpartition(far, min(k, len(sample) - 1) - 1, axis=1)[:, : min(k, len(sample) - 1)]
+    lists = ((centres**2).sum(1) - 2 * sample @ centres.T).argmin(1)
+    place = ((centres**2).sum(1) - 2 * ask @ centres.T).argsort(1).argsort(1)
+    rank = np.sort(np.take_along_axis(place, lists[near], axis=1), axis=None)
+    return int(rank[min(len(rank) - 1, int(np.ceil(aim * len(rank))))]) + 1
+
+
+def scan_block(ask: np.ndarray, rows: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs that may be within the queries' squared bounds, all rotated."""
+    dim, at = rows.shape[1], np.arange(len(rows))
+    part, alive = np.zeros((len(ask), len(rows))), np.ones((len(ask), len(rows)), dtype=bool)
     for c in range(0, dim, COLUMNS):
-        part = part + ((rows[at, c : c + COLUMNS] - q[c : c + COLUMNS]) ** 2).sum(1)
+        q, r = ask[:, c : c + COLUMNS], rows[at, c : c + COLUMNS]
+        part += (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * q @ r.T
         seen = min(c + COLUMNS, dim)
         limit = bound if seen == dim else bound * seen / dim * (1 + EPS / np.sqrt(seen)) ** 2
-        keep = part <= limit
-        at, part = at[keep], part[keep]
-    return np.concatenate([np.flatnonzero(head <= bound), at])
+        size = (ask[:, :seen] ** 2).sum(1) + limit
+        alive &= part <= (limit + 1e-12 * size)[:, None]  # the last term covers what the product form rounds
+        some = alive.any(0)
+        if some.mean() < 0.7:
+            at, part, alive = at[some], part[:, some], alive[:, some]
+    query, row = np.nonzero(alive)
+    return query, at[row]
 
 
-def nearest_rows(rows: DataFrame, id_col: str, vec_col: str, is_query, k: int = 10, share: float = 0.75, fit_rows: int = FIT_ROWS, lists: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query the k nearest rows found in ``share`` of the lists (8 at least)."""
+def scan(q: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that may be among the k nearest of q, both rotated, under the bound that the first of them give."""
+    head = ((rows[: max(4 * k, 64)] - q) ** 2).sum(1)
+    if len(rows) <= len(head):
+        return np.arange(len(rows))
+    return np.sort(scan_block(q[None, :], rows, np.partition(head, k - 1)[k - 1 : k])[1])
+
+
+def _nearest(ids: np.ndarray, ask: np.ndarray, bound: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int, turn: np.ndarray) -> pd.DataFrame:
+    """query_id, vec_id, score of the up to k nearest of some rows for each query, within the bounds on distances."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        if max(np.abs(ask).max(initial=0.0), np.abs(rows).max(initial=0.0)) > HUGE:
+            query, row = np.nonzero(np.ones((len(ask), len(rows)), dtype=bool))
+        else:
+            q, r = ask @ turn, rows @ turn
+            squared = bound**2 * (1 + 1e-9) + 1e-300
+            if len(rows) > max(4 * k, 64):  # the first rows may bound it closer; one more than k, as a row may be the query
+                head = (q * q).sum(1)[:, None] + (r[: 4 * k + 24] ** 2).sum(1) - 2 * q @ r[: 4 * k + 24].T
+                squared = np.minimum(squared, np.partition(head, k, axis=1)[:, k] * (1 + 1e-9) + 1e-12 * (q * q).sum(1))
+            query, row = scan_block(q, r, squared)
+        keep = ids[query] != own[row]
+        query, row = query[keep], row[keep]
+        d = np.concatenate([np.empty(0), *[np.sqrt(((rows[row[a : a + 50_000]] - ask[query[a : a + 50_000]]) ** 2).sum(1)) for a in range(0, len(row), 50_000)]])
+    order = np.lexsort((own[row], d, query))
+    query, row, d = query[order], row[order], d[order]
+    first = np.searchsorted(query, np.arange(len(ids)))
+    keep = np.arange(len(query)) - first[query] < k
+    return pd.DataFrame({"query_id": ids[query[keep]], "vec_id": own[row[keep]], "score": d[keep]})
+
+
+def _grouped(counts: dict[int, int], lists: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell group of each list, cuts of each group): small neighbouring lists share a group, a long one is cut."""
+    group, cuts, held = np.zeros(lists, dtype=np.int64), [1], 0
+    for i in range(lists):
+        n = counts.get(i, 0)
+        if held and held + n > rows:
+            cuts.append(1)
+            held = 0
+        group[i], held = len(cuts) - 1, held + n
+        cuts[-1] = max(1, -(-held // rows))
+    return group, np.array(cuts)
+
+
+def nearest_rows(rows: DataFrame, id_col: str, vec_col: str, is_query, k: int = 10, share: float | None = None, fit_rows: int = FIT_ROWS, lists: int | None = None, aim: float = 0.96) -> DataFrame:
+    """query_id, rank, vec_id, score: for each query the k nearest rows found in ``share`` of the lists, or in as many as the sample says."""
     spark = rows.sparkSession
     found = rows.filter(usable(F.col(vec_col), nonzero=True) & F.col(id_col).isNotNull())
     found = found.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("q"))
@@ -78,56 +141,87 @@ def nearest_rows(rows: DataFrame, id_col: str, vec_col: str, is_query, k: int =
         return spark.createDataFrame([], RESULT)
     dim = int(picked["vec"].map(len).mode().iloc[0])
     sample = np.array([v for v in picked["vec"] if len(v) == dim])
+    usual = sample[np.abs(sample).max(1) <= HUGE]
+    sample = usual if len(usual) else np.zeros((1, dim))
     found = found.filter(F.size("vec") == dim)
-    total = found.count()
-    n = min(lists or int(np.sqrt(total)), MOST_LISTS, len(sample)) or 1
-    model = spark.sparkContext.broadcast((fit_centres(sample, n), rotation(dim)))
-    cell_rows = int(min(ROWS_A_CELL, max(64, 2 * total // n)))
-    probes = min(n, max(8, int(np.ceil(share * n))))
+    n = min(lists or int(np.sqrt(found.count())), MOST_LISTS, len(sample)) or 1
+    centres, turn = fit_centres(sample, n), rotation(dim)
+    probes = min(n, max(1, int(np.ceil(share * n)) if share is not None else probes_needed(sample, centres, k, aim)))
+    model = spark.sparkContext.broadcast((centres, turn))  # MOST_LISTS + dim vectors at most
 
     def place(batches):
-        centres, turn = model.value
+        centres, _ = model.value
         for pdf in batches:
             if len(pdf):
                 v = np.array(list(pdf["vec"]), dtype=np.float64).reshape(len(pdf), dim)
-                far = (centres**2).sum(1) - 2 * v @ centres.T
-                many = pdf["q"].fillna(False).to_numpy(dtype=bool)
-                near = [np.argsort(f, kind="stable")[:probes].tolist() if m else [] for f, m in zip(far, many)]
-                yield pd.DataFrame({"id": pdf["id"], "list": far.argmin(1).astype("int32"), "probes": near, "vec": [x.tobytes() for x in v], "turned": [x.tobytes() for x in v @ turn]})
-
-    placed = settle(found.mapInPandas(place, "id long, list int, probes array<int>, vec binary, turned binary"), "ann-lists")
-    asked = placed.filter(F.size("probes") > 0).groupBy("id").agg(F.min(F.struct("vec", "turned", "probes")).alias("v")).select("id", "v.*")
-    probing = settle(asked.select("id", "vec", "turned", F.explode("probes").alias("list")), "ann-asked")
-    cuts = lambda df, size: df.groupBy("list").count().select("list", F.ceil(F.col("count") / size).cast("int").alias("cuts"))
-    sizes = (cuts(placed, cell_rows).withColumnRenamed("cuts", "r_cuts").join(cuts(probing, QUERIES_A_CELL).withColumnRenamed("cuts", "q_cuts"), "list"))
-    few = sizes.collect()  # a row for each list, MOST_LISTS at most
-    sizes = F.broadcast(spark.createDataFrame(few, "list int, r_cuts int, q_cuts int"))
-    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    right = placed.join(sizes, "list").withColumn("r_cut", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "r_cuts").cast("int")).withColumn("q_cut", upto("q_cuts")).select("list", "r_cut", "q_cut", "id", "vec", "turned")
-    left = probing.join(sizes, "list").withColumn("q_cut", F.pmod(F.xxhash64("id"), "q_cuts").cast("int")).withColumn("r_cut", upto("r_cuts")).select("list", "r_cut", "q_cut", "id", "vec", "turned")
+                huge = np.abs(v).max(1) > HUGE
+                far = (centres**2).sum(1) - 2 * np.where(huge[:, None], 0.0, v) @ centres.T
+                yield pd.DataFrame({"id": pdf["id"], "q": pdf["q"].fillna(False).astype(bool), "list": np.where(huge, n, far.argmin(1)).astype("int32"), "vec": [x.tobytes() for x in v]})
+
+    placed = settle(found.mapInPandas(place, "id long, q boolean, list int, vec binary"), "ann-lists")
+    counts = {r.list: r["count"] for r in placed.groupBy("list").count().collect()}  # a row for each list, MOST_LISTS + 1 at most
+    group, cuts = _grouped(counts, n + 1, int(min(ROWS_A_CELL, max(512, sum(counts.values()) // (2 * default_parallelism(spark))))))
+    told = F.broadcast(spark.createDataFrame([(i, int(g), int(cuts[g])) for i, g in enumerate(group)], "list int, grp int, cuts int"))
+    asked = settle(placed.filter("q").groupBy("id").agg(F.min(F.struct("vec", "list")).alias("v")).select("id", "v.*"), "ann-asked")
+    q_cuts = max(1, -(-asked.count() // QUERIES_A_CELL))
+    right = placed.join(told, "list").select("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "cuts").cast("int").alias("r_cut"), F.explode(F.sequence(F.lit(0), F.lit(q_cuts - 1))).alias("q_cut"), "list", "id", "vec")
+
+    def asking(bounds, nearest_only):
+        """The queries with their bound, once for each cell that has a list to be probed."""
+        some = asked.withColumn("bound", F.lit(float("inf"))) if bounds is None else asked.join(bounds.hint("merge"), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+
+        def send(batches):
+            centres, _ = model.value
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                v = np.frombuffer(b"".join(pdf["vec"]), dtype=np.float64).reshape(len(pdf), dim)
+                huge = pdf["list"].to_numpy() == n
+                order = np.argsort((centres**2).sum(1) - 2 * np.where(huge[:, None], 0.0, v) @ centres.T, axis=1, kind="stable")
+                out = []
+                for i, (x, vec, bound, far) in enumerate(zip(pdf["id"], pdf["vec"], pdf["bound"], huge)):
+                    if nearest_only:
+                        lists = np.array([n] if far else order[i, :1])
+                    else:
+                        lists = np.arange(n) if far else np.append(order[i, 1:probes], n)
+                    of = group[lists]
+                    for g in np.unique(of):
+                        mine = lists[of == g].astype(np.int32).tobytes()
+                        out += [(int(g), r, x, vec, bound, mine) for r in range(cuts[g])]
+                yield pd.DataFrame(out, columns=["grp", "r_cut", "id", "vec", "bound", "lists"])
+
+        sent = some.mapInPandas(send, "grp int, r_cut int, id long, vec binary, bound double, lists binary")
+        return sent.withColumn("q_cut", F.pmod(F.xxhash64("id"), q_cuts).cast("int"))
 
     def cell(_, ask, rows_):
         if not len(ask) or not len(rows_):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        _, turn = model.value
         mat = lambda s: np.frombuffer(b"".join(s), dtype=np.float64).reshape(-1, dim)
-        ids, plain, turned = rows_["id"].to_numpy(), mat(rows_["vec"]), mat(rows_["turned"])
+        rows_ = rows_.sort_values(["list", "id"], kind="stable")
+        ids, v, bound = ask["id"].to_numpy(), mat(ask["vec"]), ask["bound"].to_numpy()
+        own, w, of = rows_["id"].to_numpy(), mat(rows_["vec"]), rows_["list"].to_numpy()
+        wants = np.zeros((len(ids), n + 1), dtype=bool)
+        for i, x in enumerate(ask["lists"]):
+            wants[i, np.frombuffer(x, dtype=np.int32)] = True
         out = []
-        for x, v, t in zip(ask["id"], mat(ask["vec"]), mat(ask["turned"])):
-            other = ids != x
-            o_ids, o_plain = ids[other], plain[other]
-            if not len(o_ids):
-                continue
-            at = scan(t, turned[other], k)
-            d = np.sqrt(((o_plain[at] - v) ** 2).sum(1))
-            best = np.lexsort((o_ids[at], d))[:k]
-            out.append(pd.DataFrame({"query_id": x, "vec_id": o_ids[at][best], "score": d[best]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    keys = ["list", "r_cut", "q_cut"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score double")
+        for one in np.unique(of):
+            some = np.flatnonzero(wants[:, one])
+            a, z = np.searchsorted(of, [one, one + 1])
+            for at in range(0, len(some), 256):
+                part = some[at : at + 256]
+                out.append(_nearest(ids[part], v[part], bound[part], own[a:z], w[a:z], k, turn))
+        got = pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return got.sort_values(["query_id", "score", "vec_id"]).groupby("query_id").head(k)
+
+    keys = ["grp", "r_cut", "q_cut"]
+    search = lambda ask: ask.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = lambda df: df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    first = settle(best(search(asking(None, True))), "ann-first")
+    bounds = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    near = first.drop("rank").unionByName(search(asking(bounds, False)))
+    return best(near).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op8_nearest(spark, sf_dir: str) -> DataFrame:

@@ -15,13 +15,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import settle
 
-#: Vectors with a larger component than this are taken as not finite.
-LARGEST = float(2**52)
-
-
 def usable(vec: Column, nonzero: bool = False) -> Column:
-    """Not null, not empty, every component finite (and any of them not zero)."""
-    ok = vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST))
+    """Not null, not empty, every component finite (and any of them not zero). NaN is above infinity in comparisons."""
+    ok = vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     return F.coalesce(ok & F.exists(vec, lambda x: x != 0), F.lit(False)) if nonzero else F.coalesce(ok, F.lit(False))
 
 

@@ -61,3 +61,27 @@ def test_scan_keeps_the_nearest():
         missed += len(set(np.argsort(((rows - q) ** 2).sum(1))[:10]) - set(kept))
         assert len(kept) < 4000
     assert missed <= 4
+
+
+def test_large_components_clashing_columns_and_clusters(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=4) + 20 * (i % 7)).tolist()) for i in range(700)] + [(700, [1e16, 1.0, 0.0, 0.0]), (800, [1e200, 0.0, 0.0, 0.0]), (801, [1e200, 1e199, 0.0, 0.0]), (900, [-1e300, 0.0, 0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 3, 1, "x", 0.5) for i, v in rows], "vec_id long, embedding array<double>, list int, id int, grp string, bound double")
+    got = ann.nearest_rows(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0).toPandas()
+    want = brute(pd.DataFrame(rows, columns=["vec_id", "embedding"]), 100)
+    assert set(got.query_id) == set(want)
+    same = sum(len(set(got[got.query_id == q].vec_id) & {i for i, _ in near}) for q, near in want.items())
+    assert same >= 0.9 * sum(len(near) for near in want.values())
+    for q in (800, 900):
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == [i for i, _ in want[q]]
+    # of 1e16 all the small ones are about equally far
+    assert np.allclose(got[got.query_id == 700].sort_values("rank").score, [d for _, d in want[700]], rtol=1e-12)
+
+
+def test_clusters_need_few_lists():
+    rng = np.random.default_rng(2)
+    sample = (rng.normal(size=(40, 16)) * 30)[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16))
+    centres = ann.fit_centres(sample, 60)
+    assert ann.probes_needed(sample, centres, 10, 0.96) <= 15
+    flat = rng.normal(size=(4000, 64))
+    assert ann.probes_needed(flat, ann.fit_centres(flat, 60), 10, 0.96) > 15
