@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
@@ -186,6 +188,18 @@ def json_field_extract(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.coalesce(got["result"]["k"], got["k"]).alias("k"))
 
 
+@register("artifact_sink", "SELECT 'run-1' AS run_id, c_custkey, c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer")
+def artifact_sink(spark, sf_dir):
+    """The customers written as JSON lines of a run into the shared folder, and read back."""
+    from lodestrata.functions.cut import shared_folder
+    from lodestrata.sources.tables import read_artifact, write_artifact
+
+    rows = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", F.round("c_acctbal", 2).alias("c_acctbal"), "c_mktsegment")
+    path = f"{shared_folder(spark)}/artifact-{uuid.uuid4().hex}"
+    write_artifact(rows, path, "run-1", "json")
+    return read_artifact(spark, path, rows.schema, "json")
+
+
 _CATALOG = ("region", "nation", "supplier")
 
 

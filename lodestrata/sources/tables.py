@@ -23,6 +23,11 @@ def write_artifact(df: DataFrame, path: str, run_id: str, kind: str = "parquet")
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").format(kind).save(path)
 
 
+def read_artifact(spark, path: str, schema: T.StructType, kind: str = "parquet") -> DataFrame:
+    """All runs of an artifact, with their run_id."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("run_id", T.StringType())])).format(kind).load(path)
+
+
 def catalog(tables: dict[str, DataFrame]) -> DataFrame:
     """table_name, row_count, columns of each table, which also becomes a temporary view."""
     out = None

@@ -131,3 +131,25 @@ def test_names_inside_longer_words_are_scored(spark):
     assert [got[1, i] for i in (1, 2, 3)] == [("iran", 3.1), ("oil co", 2.2), ("big0", 0.5)]
     assert len(got) == 15 and got[2, 1] == got[3, 1] == ("big0", 0.5)
     assert graph.node_topk(queries, nodes.limit(0)).collect() == []
+
+
+def test_hops_go_as_far_as_the_path(spark):
+    n = 75
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(n)], "source_key string, target_key string")
+    got = {r.key: r.hops for r in graph.hop_distance(edges, spark.createDataFrame([("n0",)], "key string")).collect()}
+    assert got == {f"n{i}": i for i in range(n + 1)}
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000, f"k{i}") for i in range(1000)], "a int, b string").repartition(7)
+    got = graph.numbered(rows, ["a", "b"], "no").orderBy("no").collect()
+    assert [r.no for r in got] == list(range(1, 1001)) and [r.a for r in got] == sorted(r.a for r in got)
+    assert graph.numbered(rows.limit(0), ["a", "b"], "no").collect() == []
+
+
+def test_search_finds_substrings_of_any_place(spark):
+    nodes = spark.createDataFrame([("a", "Alpha Oil"), ("b", "Beta"), ("c", "Coil")], "key string, canonical_name string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "source_key string, target_key string")
+    terms = spark.createDataFrame([("OIL",), ("zzz",), ("",)], "term string")
+    got = [tuple(r[c] for c in ("term", "matched", "best_match", "in_view")) for r in graph.graph_search(nodes, edges, terms).collect()]
+    assert got == [("OIL", 2, "Coil", 3)]
