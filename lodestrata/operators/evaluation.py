@@ -29,11 +29,19 @@ def critique_issues() -> Column:
     return F.array_compact(F.array(*[F.when(F.col(c) > 0, F.lit(name)) for c, name in rules]))
 
 
-def prior_context(ranked: DataFrame, lines: int = 3) -> DataFrame:
-    """For each sub-query the first facts of all earlier ones. A row for each sub-query of a question enters the window."""
-    some = ranked.filter(F.col("answer_rank") <= lines).groupBy("sub_query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("answer_rank", "fact_id"))), lambda x: x["fact_id"]), ";").alias("summary"))
-    before = W.orderBy("sub_query_id").rowsBetween(W.unboundedPreceding, -1)
-    return some.select("sub_query_id", F.array_join(F.collect_list("summary").over(before), "|").alias("prior"))
+def prior_context(ranked: DataFrame, question: Column, rows: int = 3, edges: int = 5, characters: int = 800) -> DataFrame:
+    """For each sub-query what the earlier ones of the same question found, by source: the first table rows, the first graph facts, and the
+    beginning of the texts. A row for each sub-query of a question enters its window."""
+    nth = F.row_number().over(W.partitionBy("sub_query_id", "source_type").orderBy("answer_rank"))
+    most = F.when(F.col("source_type") == "sql_structured", rows).when(F.col("source_type") == "graph_relationships", edges)
+    some = ranked.withColumn("n", nth).filter(most.isNull() | (F.col("n") <= most))
+    item = F.when(most.isNull(), F.col("summary")).otherwise(F.col("fact_id"))
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("x")))), lambda x: x["x"]), ";")
+    each = some.groupBy("sub_query_id", "source_type").agg(in_order.alias("text"))
+    each = each.withColumn("text", F.concat("source_type", F.lit("="), F.when(most.isNull(), F.substring("text", 1, characters)).otherwise(F.col("text"))))
+    one = each.groupBy("sub_query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_type", "text"))), lambda x: x["text"]), " / ").alias("found"))
+    before = W.partitionBy(question).orderBy("sub_query_id").rowsBetween(W.unboundedPreceding, -1)
+    return one.select("sub_query_id", F.array_join(F.collect_list("found").over(before), "|").alias("prior"))
 
 
 def retrieval_eval(texts: DataFrame, want: DataFrame) -> DataFrame:

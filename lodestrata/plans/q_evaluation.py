@@ -20,12 +20,15 @@ def ordered_distinct(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
 
 
-@register("schema_package", "SELECT table_name, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS type, column_index AS position FROM duckdb_columns() WHERE table_name IN ('supplier', 'part', 'nation')")
+_PROFILED = " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS row_count, column_name, n FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE n)" for t in ("supplier", "part", "nation"))
+
+
+@register("schema_package", f"SELECT c.table_name, c.column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS type, column_index AS position, row_count, row_count - n AS null_count FROM duckdb_columns() c JOIN ({_PROFILED}) p ON c.table_name = p.table_name AND c.column_name = p.column_name")
 def schema_package(spark, sf_dir):
-    from lodestrata.sources.tables import schema_rows
+    """Columns with their types, and how many rows and nulls they have."""
+    from lodestrata.sources.tables import schema_profile
 
-    rows = [(t, c, k, i + 1) for n in ("supplier", "part", "nation") for t, c, k, _, i in schema_rows(n, load(spark, sf_dir, n))]
-    return spark.createDataFrame(rows, "table_name string, column_name string, type string, position int")
+    return schema_profile({n: load(spark, sf_dir, n) for n in ("supplier", "part", "nation")})
 
 
 @register("rewrite_dedupe", with_views(r"WITH p AS (SELECT query_id, i, trim(x) AS x FROM (SELECT query_id, unnest(range(0, len(s))) AS i, unnest(s) AS x FROM (SELECT query_id, string_split(query_text, chr(10)) AS s FROM queries)) WHERE trim(x) <> ''), d AS (SELECT query_id, min(i) AS i, arg_min(x, i) AS x FROM p GROUP BY query_id, lower(x)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS n FROM d) SELECT query_id, n, x AS rewrite FROM r WHERE n <= 3", "queries"))
@@ -78,11 +81,22 @@ def payload_defaults(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.coalesce(F.nullif(F.trim("event_type"), F.lit("")), F.lit("none")).alias("kind"), F.coalesce(got["k"].try_cast("int"), F.lit(0)).alias("k"), F.coalesce(got["verdict"], F.lit("fail")).alias("verdict"))
 
 
-@register("prior_context", with_views(f"WITH {q_fusion._RANKED}, s AS (SELECT sub_query_id, string_agg(CASE WHEN answer_rank <= 3 THEN fact_id END, ';' ORDER BY answer_rank) AS summary FROM ranked GROUP BY sub_query_id) SELECT sub_query_id, coalesce(string_agg(summary, '|') OVER (ORDER BY sub_query_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prior FROM s", *q_fusion._FV))
+@register(
+    "prior_context",
+    with_views(
+        f"""WITH {q_fusion._RANKED}, n AS (SELECT *, row_number() OVER (PARTITION BY sub_query_id, source_type ORDER BY answer_rank) AS n FROM ranked),
+        e AS (SELECT sub_query_id, source_type, CASE source_type WHEN 'sql_structured' THEN string_agg(CASE WHEN n <= 3 THEN fact_id END, ';' ORDER BY n) WHEN 'graph_relationships' THEN string_agg(CASE WHEN n <= 5 THEN fact_id END, ';' ORDER BY n)
+          ELSE left(string_agg(summary, ';' ORDER BY n), 800) END AS s FROM n GROUP BY sub_query_id, source_type),
+        o AS (SELECT sub_query_id, string_agg(source_type || '=' || s, ' / ' ORDER BY source_type) AS found FROM e GROUP BY sub_query_id)
+        SELECT sub_query_id, coalesce(string_agg(found, '|') OVER (PARTITION BY sub_query_id // 5 ORDER BY sub_query_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prior FROM o""",
+        *q_fusion._FV,
+    ),
+)
 def prior_context(spark, sf_dir):
+    """Five sub-queries make a question."""
     from lodestrata.operators import fusion
 
-    return E.prior_context(fusion.fact_rank(q_fusion._facts(spark, sf_dir)))
+    return E.prior_context(fusion.fact_rank(q_fusion._facts(spark, sf_dir)), F.floor(F.col("sub_query_id") / 5))
 
 
 @register("graph_evidence", with_views(f"WITH {q_graph._SCORED} SELECT query_id, count(*) AS node_count, string_agg('[' || CAST(rk AS VARCHAR) || '] ' || canonical_name, chr(10) ORDER BY rk) AS blocks FROM top GROUP BY query_id", *q_graph._BOTH, "queries"))

@@ -75,13 +75,17 @@ def sql_guard(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", S.guard_reason(sql).alias("reason"))
 
 
-@register("sql_capability", "SELECT table_name, string_agg(column_name, ',' ORDER BY column_index) AS columns FROM duckdb_columns() WHERE table_name IN ('customer', 'orders', 'supplier') GROUP BY table_name")
+_SIZES = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("customer", "orders", "supplier"))
+
+
+@register("sql_capability", f"SELECT c.table_name, string_agg(column_name, ',' ORDER BY column_index) AS columns, max(row_count) AS row_count FROM duckdb_columns() c JOIN ({_SIZES}) s ON c.table_name = s.table_name GROUP BY c.table_name")
 def sql_capability(spark, sf_dir):
-    from lodestrata.sources.tables import schema_rows
+    """What can be asked: the columns of each table, and its rows."""
+    from lodestrata.sources.tables import schema_profile
 
-    rows = [r for t in ("customer", "orders", "supplier") for r in schema_rows(t, load(spark, sf_dir, t))]
-    df = spark.createDataFrame(rows, "table_name string, column_name string, type string, nullable boolean, i int")
-    return df.groupBy("table_name").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("i", "column_name"))), lambda x: x["column_name"])).alias("columns"))
+    df = schema_profile({t: load(spark, sf_dir, t) for t in ("customer", "orders", "supplier")})
+    names = F.transform(F.array_sort(F.collect_list(F.struct("position", "column_name"))), lambda x: x["column_name"])
+    return df.groupBy("table_name").agg(F.concat_ws(",", names).alias("columns"), F.max("row_count").alias("row_count"))
 
 
 @register("sql_evidence", _year("SELECT fiscal_year, count(*) AS row_count, string_agg(CASE WHEN n <= 10 THEN segment_name || '=' || CAST(order_count AS VARCHAR) END, '; ' ORDER BY n) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY fiscal_year ORDER BY segment_name) AS n FROM segment_year) GROUP BY fiscal_year"))

@@ -141,13 +141,10 @@ def ann_topk(spark, sf_dir):
     return retrieval.ann_topk(v, v.filter("id % 20 = 0").withColumnRenamed("id", "query_id"))
 
 
-_CHUNK0 = "child_id = CAST(doc_id AS VARCHAR) || '_par0_ch0'"
-
-
 @register(
     "hybrid_topk",
     with_views(
-        f"""WITH t AS (SELECT DISTINCT doc_id, unnest({_T}) AS term FROM chunks WHERE {_CHUNK0}),
+        f"""WITH t AS (SELECT DISTINCT doc_id, unnest({_T}) AS term FROM chunks),
         sp AS (SELECT q.doc_id AS query_id, d.doc_id AS id, count(*) / 10.0 AS score FROM t q JOIN t d ON q.term = d.term AND q.doc_id <> d.doc_id WHERE q.doc_id % 20 = 0 AND q.doc_id IN (SELECT vec_id FROM embeddings) AND d.doc_id IN (SELECT vec_id FROM embeddings) GROUP BY ALL),
         de AS ({_DENSE.format('')}),
         h AS (SELECT coalesce(de.query_id, sp.query_id) AS query_id, coalesce(de.id, sp.id) AS id, round(0.6 * coalesce(de.score, 0) + 0.4 * coalesce(sp.score, 0), 6) AS score FROM de FULL JOIN sp ON de.query_id = sp.query_id AND de.id = sp.id)
@@ -156,10 +153,10 @@ _CHUNK0 = "child_id = CAST(doc_id AS VARCHAR) || '_par0_ch0'"
     ),
 )
 def hybrid_topk(spark, sf_dir):
-    """Dense matches joined with the number of terms that the first chunks of both documents share, over 10."""
+    """Dense matches joined with the number of terms that both documents share, over 10. Terms are gathered from all chunks of a document."""
     own = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    first = _chunks(spark, sf_dir).filter("parent_index = 0 AND child_index = 0").join(own.hint("merge"), "doc_id", "left_semi")
-    terms = settled(first.select(F.col("doc_id").alias("id"), F.array_distinct(index_terms(F.col("child_text"))).alias("terms")))
+    mine = _chunks(spark, sf_dir).select("doc_id", F.array_distinct(index_terms(F.col("child_text"))).alias("terms")).join(own.hint("merge"), "doc_id", "left_semi")
+    terms = settled(mine.groupBy(F.col("doc_id").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")))
     asked = terms.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
     dense = settled(dense_topk(spark, sf_dir).drop("rk"))
     # of the pairs that are no dense matches at most k are among a query's k best: those with most shared terms; k more stand for the dense ones
@@ -232,7 +229,7 @@ def retry_merge(spark, sf_dir):
 
 _STOP = ", ".join(f"'{w}'" for w in COVERAGE_STOPWORDS)
 _CT = r"list_filter(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9\-+]*'), lambda x: NOT list_contains([" + _STOP + "], x))"
-_COVER = f"""{_MERGED}, c0 AS (SELECT doc_id, lang || ' ' || child_text AS evidence, child_text FROM chunks WHERE {_CHUNK0}),
+_COVER = f"""{_MERGED}, c0 AS (SELECT doc_id, lang || ' ' || text AS evidence, text AS child_text FROM documents),
     r AS (SELECT ranked.*, coalesce(e.evidence, '') AS evidence, coalesce(q.child_text, '') AS query_text FROM ranked LEFT JOIN c0 e ON e.doc_id = chunk_no LEFT JOIN c0 q ON q.doc_id = sub_query_id * 60),
     a AS (SELECT sub_query_id, max(CASE WHEN rk = 1 THEN best_score END) AS top_score, string_agg(CASE WHEN rk <= 3 THEN evidence END, ' ' ORDER BY rk) AS evidence, first(query_text) AS query_text,
       least(count(*) FILTER (rk <= 5 AND match_count >= 2) / 3.0, 1.0) AS reinforced, least(count(*) / 5.0, 1.0) AS depth, string_agg(CASE WHEN rk <= 3 THEN CAST(chunk_no AS VARCHAR) END, '|' ORDER BY rk) AS top_match_ids FROM r GROUP BY sub_query_id),
@@ -243,7 +240,7 @@ _COVER = f"""{_MERGED}, c0 AS (SELECT doc_id, lang || ' ' || child_text AS evide
 
 
 def _coverage(spark, sf_dir):
-    c0 = _chunks(spark, sf_dir).filter("parent_index = 0 AND child_index = 0").select("doc_id", "child_text", F.concat_ws(" ", "lang", "child_text").alias("evidence"))
+    c0 = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("child_text"), F.concat("lang", F.lit(" "), "text").alias("evidence"))
     m = _merged(spark, sf_dir)
     e = c0.select(F.col("doc_id").alias("chunk_no"), "evidence")
     q = c0.select((F.col("doc_id") / 60).cast("long").alias("sub_query_id"), F.col("child_text").alias("query_text"), "doc_id").filter("doc_id % 60 = 0").drop("doc_id")
@@ -339,12 +336,12 @@ def mmr_bundle(spark, sf_dir):
 
 @register(
     "rerank_apply",
-    with_views(f"""WITH {_MERGED}, s AS (SELECT sub_query_id, chunk_no, round(1.0 / rk + match_count, 6) AS rerank_score FROM ranked WHERE chunk_no % 3 <> 0)
+    with_views(f"""WITH {_MERGED}, s AS (SELECT sub_query_id, chunk_no, round(1.0 / rk + match_count, 6) AS rerank_score FROM ranked)
     SELECT sub_query_id, chunk_no, best_score, rerank_score, rerank_rank FROM (SELECT *, row_number() OVER (PARTITION BY sub_query_id ORDER BY rerank_score DESC, chunk_no) AS rerank_rank FROM ranked JOIN s USING (sub_query_id, chunk_no)) WHERE rerank_rank <= 6""", "matches"),
 )
 def rerank_apply(spark, sf_dir):
     m = _merged(spark, sf_dir)
-    scores = m.filter("chunk_no % 3 <> 0").select("sub_query_id", "chunk_no", F.round(1.0 / F.col("rk") + F.col("match_count"), 6).alias("rerank_score"))
+    scores = m.select("sub_query_id", "chunk_no", F.round(1.0 / F.col("rk") + F.col("match_count"), 6).alias("rerank_score"))
     return retrieval.rerank_apply(m, scores, ["sub_query_id"], "chunk_no").select("sub_query_id", "chunk_no", "best_score", "rerank_score", "rerank_rank")
 
 

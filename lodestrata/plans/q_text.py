@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import text as T
 from lodestrata.operators import chunking as C
 from lodestrata.plans.registry import register
-from lodestrata.plans.views import load, spark_view, with_views
+from lodestrata.plans.views import TABLES, load, spark_view, with_views
 
 #: The same cleaning in SQL.
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -200,7 +200,7 @@ def artifact_sink(spark, sf_dir):
     return read_artifact(spark, path, rows.schema, "json")
 
 
-_CATALOG = ("region", "nation", "supplier")
+_CATALOG = TABLES
 
 
 @register("table_catalog_build", " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS row_count, (SELECT string_agg(column_name, ',' ORDER BY column_index) FROM duckdb_columns() WHERE table_name = '{t}') AS columns" for t in _CATALOG))

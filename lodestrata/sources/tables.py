@@ -38,8 +38,15 @@ def catalog(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def schema_rows(name: str, df: DataFrame) -> list[tuple[str, str, str, bool, int]]:
-    return [(name, f.name, f.dataType.simpleString() if not isinstance(f.dataType, T.StringType) else "string", f.nullable, i) for i, f in enumerate(df.schema.fields)]
+def schema_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, type, position, row_count, null_count of every column; a table is read once, for one row of counts."""
+    out = None
+    for name, df in tables.items():
+        counts = df.agg(F.count("*").alias("_rows"), *[F.count(F.col(f"`{f.name}`")).alias(f"_{i}") for i, f in enumerate(df.schema.fields)])
+        each = [F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(i + 1).alias("position"), (F.col("_rows") - F.col(f"_{i}")).alias("null_count")) for i, f in enumerate(df.schema.fields)]
+        one = counts.select(F.lit(name).alias("table_name"), F.col("_rows").alias("row_count"), F.explode(F.array(*each)).alias("c")).select("table_name", "c.column_name", "c.type", "c.position", "row_count", "c.null_count")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def media_type(name: Column) -> Column:

@@ -153,3 +153,12 @@ def test_search_finds_substrings_of_any_place(spark):
     terms = spark.createDataFrame([("OIL",), ("zzz",), ("",)], "term string")
     got = [tuple(r[c] for c in ("term", "matched", "best_match", "in_view")) for r in graph.graph_search(nodes, edges, terms).collect()]
     assert got == [("OIL", 2, "Coil", 3)]
+
+
+def test_matches_without_a_rerank_score_go(spark):
+    from lodestrata.operators.retrieval import rerank_apply
+
+    m = spark.createDataFrame([(1, c, 0.5) for c in range(9)], "q long, chunk_no long, best_score double")
+    scores = spark.createDataFrame([(1, c, float(c % 4)) for c in range(8)], "q long, chunk_no long, rerank_score double")
+    got = rerank_apply(m, scores, ["q"], "chunk_no", 5).orderBy("rerank_rank").collect()
+    assert [r.chunk_no for r in got] == [3, 7, 2, 6, 1]
