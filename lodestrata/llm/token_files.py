@@ -3,7 +3,7 @@
 Documents are dealt into ranges of doc_id, and each task encodes its range and writes two Arrow
 files into a folder that all executors reach: ``part-*.arrow`` with columns ids and mask, both
 fixed-size lists of ``length`` (2048) values, batches of 256 sequences, not compressed, so that a
-reader maps the file and gets any sequence without copying or decoding; and ``part-*.docs.arrow``
+reader maps the file and gets any sequence and its mask (Arrow bits) without copying or decoding; and ``part-*.docs.arrow``
 with doc_id, start (in this part) and n_tokens. ids have 16 bits where the vocabulary allows. Only
 the last sequence of a part is padded; its mask is false there. A part's files get names of their
 own in each attempt, and the table of parts, which Spark commits, names those of the attempt that
@@ -12,9 +12,11 @@ ended; an attempt that is lost leaves files that nothing names.
 A byte-level BPE never merges across the start of a word, so a text is cut before single spaces
 and every piece is encoded once a process while it is in a cache of a million pieces. New pieces
 lose a final mark, which is a token of its own, and are encoded a thousand at a time, as lines of one text: a line feed between two words is a token of its own.
+A text that holds the string of a special token is encoded whole, as the library does by itself; with ``special_as_text`` such strings are plain text.
 
 Defined results: a null text is encoded as an empty one; every document ends with the end id;
-equal doc_ids are put in the order of their texts, null ids first; an empty table gives no files.
+equal doc_ids are put in the order of a hash of their texts, and then of the texts, null ids first, and may lie in several parts; an
+empty table gives no files. Other columns of the input are not used.
 """
 
 from __future__ import annotations
@@ -37,26 +39,31 @@ MANIFEST = "part int, ids_file string, docs_file string, n_docs long, n_tokens l
 _INSIDE_SPACE = re.compile(r"(?:^|\s) (?:\s|$)")
 _MARKS = frozenset(".,;:!?")
 _ONE_WORD = re.compile(r" ?\S+\Z")
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 class PieceEncoder:
     """Encodes texts by pieces, each by the tokenizers library once while it is cached."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
+        #: Pieces, and those that begin with a space without it.
         self.cache: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
         lone = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = lone[0] if len(lone) == 1 else None
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Cut before each space that follows or precedes something else than white space."""
+    def pieces(self, text: str) -> list[str]:
+        """Cut before each space that follows or precedes something else than white space; not at all where a special token is."""
+        if self.special is not None and self.special.search(text):
+            return [text]
         parts = text.split(" ")
         if not _INSIDE_SPACE.search(text):
             return [parts[0], *[" " + p for p in parts[1:]]]
@@ -70,23 +77,54 @@ class PieceEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        if len(self.cache) > CACHED:
+        if len(self.cache) + len(self.spaced) > CACHED:
             self.cache.clear()
-        cache = self.cache
-        new = list({p for pieces in cut for p in pieces}.difference(cache))
-        marked = [p for p in new if p[-1:] in _MARKS and p[-2:-1].isalnum()]
-        new = list({p[:-1] if p[-1:] in _MARKS and p[-2:-1].isalnum() else p for p in new}.union(p[-1] for p in marked).difference(cache))
+            self.spaced.clear()
+        cut = [self.words(t) for t in texts]
+        found = [self._look_up(c) for c in cut]
+        new = {p for c, got in zip(cut, found) if None in got for p, x in zip(self._full(c), got) if x is None}
+        if new:
+            self._learn(new)
+            found = [self._look_up(c) if None in got else got for c, got in zip(cut, found)]
+        return [b"".join(got) for got in found]
+
+    def words(self, text: str) -> tuple[str | None, list[str]]:
+        """(first piece, the others without the one space that each begins with), or (None, pieces) where a text is not cut at every space."""
+        parts = text.split(" ")
+        if (self.special is not None and self.special.search(text)) or _INSIDE_SPACE.search(text):
+            return None, self.pieces(text)
+        return parts[0], parts[1:]
+
+    def _look_up(self, cut: tuple[str | None, list[str]]) -> list[bytes | None]:
+        first, parts = cut
+        if first is None:
+            return [self._known(p) for p in parts]
+        return [self.cache.get(first), *map(self.spaced.get, parts)]
+
+    def _full(self, cut: tuple[str | None, list[str]]) -> list[str]:
+        return cut[1] if cut[0] is None else [cut[0], *[" " + p for p in cut[1]]]
+
+    def _known(self, piece: str) -> bytes | None:
+        return self.spaced.get(piece[1:]) if piece[:1] == " " else self.cache.get(piece)
+
+    def _keep(self, piece: str, data: bytes) -> None:
+        if piece[:1] == " ":
+            self.spaced[piece[1:]] = data
+        else:
+            self.cache[piece] = data
+
+    def _learn(self, pieces: set[str]) -> None:
+        marked = [p for p in pieces if p[-1:] in _MARKS and p[-2:-1].isalnum()]
+        bare = {p[:-1] if p[-1:] in _MARKS and p[-2:-1].isalnum() else p for p in pieces}.union(p[-1] for p in marked)
+        new = [p for p in bare if self._known(p) is None]
         plain = [p for p in new if _ONE_WORD.match(p)] if self.feed is not None else []
         self._encode_lines(plain)
         if len(plain) < len(new):
-            some = [p for p in new if p not in cache]
+            some = [p for p in new if self._known(p) is None]
             for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                cache[piece] = np.array(got.ids, dtype=self.dtype).tobytes()
+                self._keep(piece, np.array(got.ids, dtype=self.dtype).tobytes())
         for p in marked:
-            cache[p] = cache[p[:-1]] + cache[p[-1]]
-        return [b"".join(map(cache.__getitem__, pieces)) for pieces in cut]
-
+            self._keep(p, self._known(p[:-1]) + self._known(p[-1]))
 
     def _encode_lines(self, pieces: list[str]) -> None:
         size = self.dtype.itemsize
@@ -96,15 +134,16 @@ class PieceEncoder:
             ends = [*(np.flatnonzero(ids == self.feed) * size).tolist(), len(ids) * size]
             data, start = ids.tobytes(), 0
             for piece, end in zip(pieces[at : at + 1000], ends):
-                self.cache[piece] = data[start:end]
+                self._keep(piece, data[start:end])
                 start = end + size
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     """One for each process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    key = (path, special_as_text)
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(path, special_as_text)
+    return _encoders[key]
 
 
 def _fixed(values: np.ndarray | pa.Array, length: int) -> pa.FixedSizeListArray:
@@ -162,10 +201,16 @@ class SequenceFile:
         self.step = SEQUENCES_A_BATCH * self.length
         self.last: tuple[int, np.ndarray] = (-1, np.array([]))
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def mapped(self, i: int) -> tuple[pa.Array, pa.BooleanArray]:
+        """ids and mask of a sequence as views of the file; a mask has a bit for each place."""
         batch = self.reader.get_batch(i // SEQUENCES_A_BATCH)
         row = i % SEQUENCES_A_BATCH
-        return batch.column("ids")[row].values.to_numpy(), batch.column("mask")[row].values.to_numpy(zero_copy_only=False)
+        return batch.column("ids")[row].values, batch.column("mask")[row].values
+
+    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for numpy: ids are a view, and the mask is unpacked, as numpy has no bits."""
+        ids, mask = self.mapped(i)
+        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
     def batch(self, i: int) -> np.ndarray:
         if self.last[0] != i:
@@ -182,14 +227,18 @@ class SequenceFile:
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, length: int = LENGTH) -> DataFrame:
-    """Encodes doc_id, text and writes the files into ``folder``. Returns the table of parts, in ascending order of doc_id."""
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, length: int = LENGTH, special_as_text: bool = False) -> DataFrame:
+    """Encodes doc_id, text and writes the files into ``folder``. Returns the table of parts, in ascending order of doc_id.
+
+    The second column of the ranges parts the rows of a doc_id that repeats often.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").select("doc_id", "text")
 
     def write(batches):
         from pyspark import TaskContext
 
-        enc, store, part = encoder(vocabulary), None, TaskContext.get().partitionId()
+        enc, store, part = encoder(vocabulary, special_as_text), None, TaskContext.get().partitionId()
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         doc_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         n_docs = 0

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,7 +26,7 @@ def whole():
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("  \n\t 　ab'sé.,!1²<|>"), st.characters(blacklist_categories=("Cs",))), max_size=40))
 def test_pieces_encode_as_the_whole(text):
-    enc = token_files.encoder(PATH)
+    enc = token_files.encoder(PATH, special_as_text=True)
     enc.cache.clear()
     assert "".join(enc.pieces(text)) == text
     assert np.frombuffer(enc.encode([text])[0], dtype=enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
@@ -53,7 +54,7 @@ def test_documents(spark, whole):
 def test_edges_and_random_access(spark, whole):
     rows = [(3, None), (1, ""), (2, "<|endoftext|> a   b \n c"), (2, "<|endoftext|> a   b \n c"), (None, "x"), (7, "long word " * 9000), (-5, "é" * 10)]
     df = spark.createDataFrame([(a, b, "x", 1) for a, b in rows], SCHEMA)
-    parts = token_files.write_tokens(df, PATH, new_path(spark, "t"), length=8)
+    parts = token_files.write_tokens(df, PATH, new_path(spark, "t"), length=8, special_as_text=True)
     got = order([tuple(r) for r in token_files.read_documents(parts).collect()])
     assert got == expect(rows, whole)
     ids = []
@@ -68,3 +69,29 @@ def test_edges_and_random_access(spark, whole):
         assert n == p.n_tokens
     assert ids == [x for _, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)) for x in whole(text or "") + [0]]
     assert token_files.read_documents(token_files.write_tokens(df.limit(0), PATH, new_path(spark, "t"))).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "  ", "ab", "é.", "\n"]), max_size=8).map("".join))
+def test_special_strings_as_the_untouched_library(text):
+    enc = token_files.encoder(PATH)
+    enc.cache.clear()
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(enc.encode([text])[0], dtype=enc.dtype).tolist() == want
+
+
+def test_a_doc_id_of_many_rows_lies_in_several_parts(spark):
+    t = Tokenizer.from_file(PATH)
+    rows = [(7, f"x <|endoftext|> y {i}") for i in range(400)] + [(i, "a b") for i in range(20)]
+    df = spark.createDataFrame([(a, b, "x", 1) for a, b in rows], SCHEMA)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = token_files.write_tokens(df.repartition(8), PATH, new_path(spark, "t"), length=16)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts.agg({"n_docs": "max"}).first()[0] < 200
+    got = sorted((tuple(r) for r in token_files.read_documents(parts).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted(i for i, _ in rows) and [r[1] for r in got] == np.cumsum([0, *[r[2] for r in got[:-1]]]).tolist()
+    assert sorted(r[3] for r in got) == sorted(zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], dtype="<u4").tobytes()) for _, x in rows)
+    f = token_files.SequenceFile(parts.first().ids_file)
+    before = pa.total_allocated_bytes()
+    ids, mask = f.mapped(1)
+    assert pa.total_allocated_bytes() == before and len(ids) == len(mask) == 16 and mask.true_count == 16
