@@ -10,15 +10,20 @@ n**2 / 2**65 among n words. Every level is a run of segment files in the shared
   discounted probability of each child and of the mass that each context leaves to shorter ones.
 
 p(w | uv) = a(uvw) + g(uv) p(w | v), p(w | v) = a(vw) + g(v) p(w), p(w) = (c + 1) / (N + V + 1), with
-a = (c - 0.75) / c(context) for n-grams seen twice or more, else 0, and g = 1 - the sum of a. So the
+a = (c - D(c)) / c(context) for every n-gram that was seen, else 0, and g = 1 - the sum of a. So the
 probabilities of all V + 1 words (one for all unknown) sum to 1 after any context, but for the codes, which
-divide a decade by 4096.
+divide a decade by 4096. A level has three discounts D, for counts of one, two, and more, estimated from how many of all
+its n-grams were seen once to four times (modified absolute discounting); where some of those numbers are 0, D is 0.75.
+No n-gram is left out; ``least_count`` above 1 drops rarer ones, for a smaller model.
 
 A child is found by a successor search for its id in its context's range. Counting: tasks sum sorted
-keys (context, word) of some four million tokens, cut them at bounds that split all keys evenly, so
-that a frequent context is cut too, and one task for each cut writes a segment. A trigram is counted only
-if both its bigrams were kept, as it cannot occur twice otherwise. Bounds come from a bounded sample of
-documents (2,000, 200 keys each); every key is counted.
+keys (context, word) of some million tokens, cut them at bounds that split all keys evenly, so
+that a frequent context is cut too; one task for each cut adds them up, and when the discounts are known writes a segment. A trigram is counted only
+if both its bigrams were kept. Bounds come from a bounded sample of
+different documents (4,000 at most, some 200 keys for each); every key is counted.
+
+Segments are mapped, not loaded: from the shared folder where that is a path of the machine, else from a copy that the first
+process of a machine makes.
 
 Defined results: a null text has no words, only the end; a null doc_id belongs to the training rows;
 repeated rows count each; without training rows every score is 0; an empty table gives an empty result.
@@ -26,9 +31,6 @@ repeated rows count each; without training rows every score is 0; an empty table
 
 from __future__ import annotations
 
-import io
-import uuid
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,13 +38,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.llm.arrays import drop_folder, reader, write_arrays
 from lodestrata.llm.common import new_path, settle, table
 from lodestrata.llm.shingles import slices, word_hashes
-from lodestrata.llm.token_files import open_store
 
-DISCOUNT, LEAST_COUNT = 0.75, 2
+DISCOUNT = 0.75
 CODES_A_DECADE = 4096
-TOKENS_AT_ONCE = 4_000_000
+TOKENS_AT_ONCE, IDS_AT_ONCE = 1_000_000, 250_000
 SAMPLE_DOCS, SAMPLE_KEYS = 2000, 200
 #: The least position of the k-th set bit of a byte.
 _BIT = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8)] for b in range(256)], dtype=np.int64)
@@ -149,29 +151,6 @@ class EliasFano:
 # ---------------------------------------------------------------- segment files
 
 
-def write_arrays(folder: str, arrays: dict[str, np.ndarray]) -> str:
-    """Writes the arrays as .npy files into a new folder below ``folder``; a task that is run again writes to another one."""
-    path = f"{folder}/{uuid.uuid4().hex}"
-    store, root = open_store(path)
-    store.create_dir(root, recursive=True)
-    for name, a in arrays.items():
-        buf = io.BytesIO()
-        np.save(buf, a)
-        with store.open_output_stream(f"{root}/{name}.npy") as out:
-            out.write(buf.getvalue())
-    return path
-
-
-def reader(path: str):
-    """name -> array of a segment; local files are mapped."""
-    from pyarrow import fs
-
-    store, root = open_store(path)
-    if isinstance(store, fs.LocalFileSystem):
-        return lambda name: np.load(f"{root}/{name}.npy", mmap_mode="r")
-    return lambda name: np.load(io.BytesIO(store.open_input_file(f"{root}/{name}.npy").read()))
-
-
 def code(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-15)) * CODES_A_DECADE), 0, 65535).astype(np.uint16)
 
@@ -206,7 +185,7 @@ class Words:
 class Level:
     """Children of contexts. segments: dicts path, first_ctx, last_ctx, first_key, rank, first_sum, last_sum, by ascending keys."""
 
-    def __init__(self, segments: list[dict], vocabulary: int):
+    def __init__(self, segments: list[dict], vocabulary: int, last: bool):
         self.v = vocabulary
         self.first_key = np.array([s["first_key"] for s in segments], dtype=np.int64)
         self.segments = []
@@ -218,15 +197,15 @@ class Level:
         self.edge_left = np.array([max(1 - shared[c], 1e-12) for c in sorted(shared)])
         for s in segments:
             load = reader(s["path"])
-            self.segments.append((s["first_ctx"], s["last_ctx"], s["rank"], EliasFano.read(load, ""), load("ids"), load("alpha"), load("left"), load("counts")))
+            self.segments.append((s["first_ctx"], s["last_ctx"], s["rank"], EliasFano.read(load, ""), load("ids"), load("alpha"), load("left"), None if last else load("counts")))
 
-    def find(self, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rank or -1, discounted probability or 0, count or 0) of the children; (ctx, word) is sorted, a ctx below 0 has none."""
-        rank, alpha, count = np.full(len(ctx), -1, dtype=np.int64), np.zeros(len(ctx)), np.zeros(len(ctx), dtype=np.int64)
+    def find(self, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank or -1, discounted probability or 0) of the children; (ctx, word) is sorted, a ctx below 0 has none."""
+        rank, alpha = np.full(len(ctx), -1, dtype=np.int64), np.zeros(len(ctx))
         if not len(self.first_key):
-            return rank, alpha, count
+            return rank, alpha
         cut = np.searchsorted(ctx * self.v + word, self.first_key)
-        for (c0, c1, base, pointers, ids, codes, _, counts), a, z in zip(self.segments, cut, [*cut[1:], len(ctx)]):
+        for (c0, c1, base, pointers, ids, codes, _, _), a, z in zip(self.segments, cut, [*cut[1:], len(ctx)]):
             inside = np.flatnonzero((ctx[a:z] >= c0) & (ctx[a:z] <= c1)) + a
             if not len(inside):
                 continue
@@ -244,8 +223,8 @@ class Level:
             ok = lo < end
             ok[ok] = ids[lo[ok]] == want[ok]
             at, lo = inside[ok], lo[ok]
-            rank[at], alpha[at], count[at] = base + lo, decode(codes[lo]), counts[lo]
-        return rank, alpha, count
+            rank[at], alpha[at] = base + lo, decode(codes[lo])
+        return rank, alpha
 
     def left(self, ctx: np.ndarray) -> np.ndarray:
         """The mass that each of the sorted contexts leaves to shorter ones."""
@@ -357,6 +336,7 @@ def _word_level(train: DataFrame, folder: str, n_docs: int) -> tuple[list[tuple[
         return pd.DataFrame({"part": [key[0]], "path": [path], "n": [len(keys)], "tokens": [int(counts.sum())]})
 
     packed = train.select("text").mapInArrow(count, PACKED)
+    packed = packed.repartition(1 << bits, "part")
     found = settle(packed.groupBy("part").applyInPandas(build, "part int, path string, n long, tokens long"), "lm-words").orderBy("part").collect()
     by = {r.part: r for r in found}
     segments, first = [], 0
@@ -376,24 +356,36 @@ def _tokens_of(batch: pa.RecordBatch, name: str = "ids") -> tuple[np.ndarray, np
     return ids, np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int64)
 
 
-def _small(batches, rows: int = 500):
+def _small(batches, name: str = "ids"):
+    """Slices of some 250,000 tokens, or single longer texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        for some in slices(batch.column(name), IDS_AT_ONCE * 4):
+            yield batch.slice(at, len(some))
+            at += len(some)
+
+
+def discounts(seen: dict[int, int]) -> np.ndarray:
+    """Discounts of counts 1, 2 and more from the numbers of n-grams seen 1, 2, 3 and 4 times (index 0 is not used)."""
+    n1, n2, n3, n4 = (seen.get(i, 0) for i in (1, 2, 3, 4))
+    if not (n1 and n2 and n3):
+        return np.array([0.0, DISCOUNT, DISCOUNT, DISCOUNT])
+    y = n1 / (n1 + 2 * n2)
+    d = [i - (i + 1) * y * b / a for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return np.array([0.0, *[min(max(x, 0.1), i - 0.1) for i, x in enumerate(d, 1)]])
 
 
-def _higher_level(encoded: DataFrame, keys_of, context_counts, folder: str, vocabulary: int, tokens: int, n_docs: int) -> list[dict]:
-    """Counts the keys (context * vocabulary + word) that ``keys_of(ids, starts)`` gives and writes a level of those seen twice or more."""
+def _higher_level(encoded: DataFrame, keys_of, context_counts, folder: str, vocabulary: int, tokens: int, n_docs: int, least_count: int, discount: float | None, last: bool) -> list[dict]:
+    """Counts the keys (context * vocabulary + word) that ``keys_of(ids, starts)`` gives and writes a level of them."""
     every = max(1, n_docs // SAMPLE_DOCS)
 
     def some(batches):
         for batch in _small(batches):
-            for ids in batch.column(0).to_pylist():
-                x = np.frombuffer(ids, dtype=np.int32).astype(np.int64)
-                keys = keys_of(x, np.array([0, len(x)]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(keys)[:: max(1, len(keys) // SAMPLE_KEYS)])], names=["key"])
+            keys = np.unique(keys_of(*_tokens_of(batch)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:: max(1, len(keys) // (SAMPLE_KEYS * batch.num_rows))])], names=["key"])
 
-    sample = encoded.filter(F.pmod(F.xxhash64("ids"), every) == 0).select("ids").mapInArrow(some, "key long").toPandas()["key"].to_numpy()
+    texts = encoded.filter(F.pmod(F.xxhash64("ids"), every) == 0).select("ids").distinct().limit(2 * SAMPLE_DOCS)
+    sample = texts.mapInArrow(some, "key long").toPandas()["key"].to_numpy()
     parts = max(8, tokens // TOKENS_AT_ONCE)
     bounds = np.unique(np.quantile(sample, np.arange(1, parts) / parts, method="nearest")) if len(sample) else np.empty(0, np.int64)
 
@@ -406,24 +398,40 @@ def _higher_level(encoded: DataFrame, keys_of, context_counts, folder: str, voca
                 yield from sums.add(keys)
         yield from sums.flush()
 
-    def build(key, pdf):
+    def add_up(key, pdf):
         keys, counts = _totals(pdf, np.int64)
-        keep = counts >= LEAST_COUNT
+        keep = counts >= least_count
         keys, counts = keys[keep], counts[keep]
         if not len(keys):
-            return pd.DataFrame(columns=["part", "path", "n", "first_key", "first_ctx", "last_ctx", "first_sum", "last_sum"])
-        ctx, ids = keys // vocabulary, keys % vocabulary
-        c0, c1 = int(ctx[0]), int(ctx[-1])
-        some_ctx, back = np.unique(ctx, return_inverse=True)
-        alpha = (counts - DISCOUNT) / context_counts(some_ctx)[back]
-        sums = np.bincount(ctx - c0, weights=alpha, minlength=c1 - c0 + 1)
-        pointers = np.concatenate([[0], np.cumsum(np.bincount(ctx - c0, minlength=c1 - c0 + 1))])
-        arrays = EliasFano.of(pointers, len(keys) + 1).arrays()
-        arrays |= {"ids": ids.astype(np.uint32), "alpha": code(alpha), "left": code(1 - sums), "counts": counts.astype(np.uint32)}
-        return pd.DataFrame({"part": [key[0]], "path": [write_arrays(folder, arrays)], "n": [len(keys)], "first_key": [int(keys[0])], "first_ctx": [c0], "last_ctx": [c1], "first_sum": [sums[0]], "last_sum": [sums[-1]]})
+            return pd.DataFrame(columns=["part", "keys", "counts", "n1", "n2", "n3", "n4"])
+        return pd.DataFrame({"part": [key[0]], "keys": [pack_keys(keys)], "counts": [pack_counts(counts)]} | {f"n{i}": [int((counts == i).sum())] for i in (1, 2, 3, 4)})
+
+    packed = encoded.select("ids").mapInArrow(count, PACKED).repartition(len(bounds) + 1, "part")
+    path = new_path(encoded.sparkSession, "lm-sums")
+    packed.groupBy("part").applyInPandas(add_up, f"{PACKED}, n1 long, n2 long, n3 long, n4 long").write.parquet(path)
+    summed = encoded.sparkSession.read.parquet(path)
+    seen = summed.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
+    less = discounts({i: seen[f"n{i}"] or 0 for i in (1, 2, 3, 4)}) if discount is None else np.array([0.0, discount, discount, discount])
+
+    def build(batches):
+        for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows)):
+            keys, counts = unpack_keys(row["keys"], np.int64), unpack_counts(row["counts"])
+            row = {"part": row["part"]}
+            ctx, ids = keys // vocabulary, (keys % vocabulary).astype(np.uint32)
+            c0, c1 = int(ctx[0]), int(ctx[-1])
+            some_ctx, back = np.unique(ctx, return_inverse=True)
+            alpha = (counts - less[np.minimum(counts, 3)]) / context_counts(some_ctx)[back]
+            sums = np.bincount(ctx - c0, weights=alpha, minlength=c1 - c0 + 1)
+            pointers = np.concatenate([[0], np.cumsum(np.bincount(ctx - c0, minlength=c1 - c0 + 1))])
+            arrays = EliasFano.of(pointers, len(keys) + 1).arrays()
+            arrays |= {"ids": ids, "alpha": code(alpha), "left": code(1 - sums)}
+            if not last:  # the next level's context counts
+                arrays["counts"] = counts.astype(np.min_scalar_type(int(counts.max())))
+            yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]], pa.int32()), "path": [write_arrays(folder, arrays)], "n": [len(keys)], "first_key": [int(keys[0])], "first_ctx": [c0], "last_ctx": [c1], "first_sum": [float(sums[0])], "last_sum": [float(sums[-1])]})
 
     shape = "part int, path string, n long, first_key long, first_ctx long, last_ctx long, first_sum double, last_sum double"
-    found = settle(encoded.select("ids").mapInArrow(count, PACKED).groupBy("part").applyInPandas(build, shape), "lm-level").orderBy("part").collect()
+    found = settle(summed.select("part", "keys", "counts").mapInArrow(build, shape), "lm-level").orderBy("part").collect()
+    drop_folder(path)
     rank, segments = 0, []
     for r in found:
         segments.append({k: v for k, v in r.asDict().items() if k not in ("part", "n")} | {"rank": rank})
@@ -451,7 +459,7 @@ class Pairs:
         before = np.concatenate([[self.end], ids[:-1]])
         before[starts[:-1]] = self.end
         keys, back = np.unique(before * self.v + ids, return_inverse=True)
-        rank, alpha, _ = self.level.find(keys // self.v, keys % self.v)
+        rank, alpha = self.level.find(keys // self.v, keys % self.v)
         return before, rank[back], alpha[back]
 
 
@@ -470,8 +478,11 @@ def _trigrams(find_pairs, vocabulary: int):
     return keys
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; the model learns from those not held out."""
+def score_texts(docs: DataFrame, least_count: int = 1, discount: float | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; the model learns from those not held out.
+
+    With ``discount`` one discount holds for all counts, else each level's are estimated.
+    """
     rows = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     n_docs = rows.filter(~F.col("held_out")).count()
     spark, folder = docs.sparkSession, new_path(docs.sparkSession, "lm")
@@ -512,8 +523,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
             out[mine] = w.counts[s][ctx[mine] - first[s]]
         return out
 
-    two = _higher_level(train, _bigrams(end), word_counts, folder, vocabulary, tokens, n_docs)
-    level2 = lambda: _cached(f"{folder}2", lambda: Level(two, vocabulary))
+    two = _higher_level(train, _bigrams(end), word_counts, folder, vocabulary, tokens, n_docs, least_count, discount, False)
+    level2 = lambda: _cached(f"{folder}2", lambda: Level(two, vocabulary, False))
     pairs = lambda: Pairs(level2(), end)
 
     def pair_counts(ctx):
@@ -523,8 +534,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
             out[a:z] = counts[ctx[a:z] - base]
         return out
 
-    three = _higher_level(train, _trigrams(pairs, vocabulary), pair_counts, folder, vocabulary, tokens, n_docs)
-    level3 = lambda: _cached(f"{folder}3", lambda: Level(three, vocabulary))
+    if two and (two[-1]["rank"] + tokens) * vocabulary >= 2**63:
+        raise ValueError("keys of 64 bits do not hold the pairs of this corpus")
+    three = _higher_level(train, _trigrams(pairs, vocabulary), pair_counts, folder, vocabulary, tokens, n_docs, least_count, discount, True)
+    level3 = lambda: _cached(f"{folder}3", lambda: Level(three, vocabulary, True))
 
     def left_of(level, ctx):
         u, back = np.unique(ctx, return_inverse=True)
@@ -546,7 +559,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero(context >= 0)
             if len(at):
                 keys, back = np.unique(context[at] * vocabulary + ids[at], return_inverse=True)
-                _, more, _ = level3().find(keys // vocabulary, keys % vocabulary)
+                _, more = level3().find(keys // vocabulary, keys % vocabulary)
                 p[at] = more[back] + left_of(level3(), context[at]) * p[at]
             logs = np.log10(np.minimum(p, 1.0))
             total = np.add.reduceat(logs, starts[:-1])

@@ -38,12 +38,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Runs of texts of some two million bytes, or single longer ones."""
+def slices(texts: pa.Array, size: int = BATCH_BYTES) -> Iterator[pa.Array]:
+    """Runs of texts (or binaries) of some two million bytes, or single longer ones."""
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32, count=len(texts) + 1 + texts.offset)[texts.offset :]
     at = 0
     while at < len(texts):
-        to = int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, side="right")) - 1
+        to = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
         to = min(max(to, at + 1), len(texts))
         yield texts.slice(at, to - at)
         at = to

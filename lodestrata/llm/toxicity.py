@@ -3,7 +3,7 @@
 Lexicon: in how many labelled toxic and clean documents a feature occurs gives its log-odds
 under a Dirichlet prior. Features are words (runs of letters, lower case) and their first 4 to 8
 letters; every training row counts, copies too. Kept are all features with log-odds of 2 or more and
-a z-score of 3 or more.
+a z-score of 3 or more. They are written to files that the tasks map, known by a 64-bit hash, so no task holds the whole lexicon.
 
 Scan: a token scores the highest log-odds among its features, any other token a small negative
 drift. One pass finds all maximal scoring segments (Ruzzo and Tompa). The best segment of n clean words reaches
@@ -25,10 +25,13 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import settle, table
+from lodestrata.llm.arrays import reader, write_arrays
+from lodestrata.llm.common import new_path, settle, table
 
 PREFIXES = (4, 5, 6, 7, 8)
 PRIOR, LEAST_ODDS, LEAST_Z = 0.5, 2.0, 3.0
@@ -85,26 +88,80 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, z, r - x) for a, z, x, r in zip(starts, ends, left, right)]
 
 
+def _hash(feature: str) -> int:
+    """As Spark's xxhash64 of a string."""
+    return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass"), 42)
+
+
+class Lexicon:
+    """feature -> log-odds, in files of sorted 64-bit hashes that every task maps; only their paths are told to the tasks."""
+
+    def __init__(self, segments: list[tuple[int, str]]):
+        self.first, self.paths = np.array([f for f, _ in segments], dtype=np.uint64), [p for _, p in segments]
+        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"open": {}}
+
+    def many(self, features: list[str]) -> np.ndarray:
+        """Log-odds of features, 0 for those that are not kept."""
+        out = np.zeros(len(features))
+        if not self.paths or not features:
+            return out
+        h = np.array([_hash(f) for f in features], dtype=np.uint64)
+        of = np.searchsorted(self.first, h, side="right") - 1
+        for i in np.unique(of[of >= 0]).tolist():
+            if i not in self.open:
+                load = reader(self.paths[i])
+                self.open[i] = (load("hashes"), load("odds"))
+            hashes, odds = self.open[i]
+            mine = np.flatnonzero(of == i)
+            at = np.minimum(np.searchsorted(hashes, h[mine]), len(hashes) - 1)
+            out[mine] = np.where(hashes[at] == h[mine], odds[at], 0.0)
+        return out
+
+    def __contains__(self, feature: str) -> bool:
+        return bool(self.many([feature])[0])
+
+    def __getitem__(self, feature: str) -> float:
+        return float(self.many([feature])[0])
+
+
+def _lexicon(kept: DataFrame) -> Lexicon:
+    """kept: feature, odds -> written in ranges of hashes (as unsigned numbers), a file pair for each."""
+    folder = new_path(kept.sparkSession, "toxic-lexicon")
+    order = F.col("h").bitwiseXOR(F.lit(-(2**63)))  # signed numbers in unsigned order
+    ranged = kept.select(F.xxhash64("feature").alias("h"), "odds").repartitionByRange(order).sortWithinPartitions(order)
+
+    def write(batches):
+        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if parts:
+            h, odds = (np.concatenate(x) for x in zip(*parts))
+            yield pa.RecordBatch.from_pydict({"first": pa.array([int(h[:1].view(np.int64)[0])], pa.int64()), "path": [write_arrays(folder, {"hashes": h, "odds": odds})]})
+
+    found = settle(ranged.mapInArrow(write, "first long, path string"), "toxic-segments").collect()  # a row for each range
+    return Lexicon(sorted((r.first % 2**64, r.path) for r in found))
+
+
 class Model:
-    """odds: feature -> log-odds; drift: score of any other token; tail: lambda and K of the extreme-value law; law: slope and intercept."""
+    """odds: a lexicon; drift: score of any other token; tail: lambda and K of the extreme-value law; law: slope and intercept."""
 
-    def __init__(self, odds: dict[str, float], drift: float, tail: tuple[float, float], law: tuple[float, float]):
+    def __init__(self, odds: Lexicon, drift: float, tail: tuple[float, float], law: tuple[float, float]):
         self.odds, self.drift, self.tail, self.law = odds, drift, tail, law
         self.cache: dict[str, float] = {}
 
-    def token(self, word: str) -> float:
-        got = self.cache.get(word)
-        if got is None:
-            got = max((self.odds.get(f, 0.0) for f in features(word)), default=0.0)
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            self.cache[word] = got
-        return got
-
     def scores(self, text: str | None) -> list[float]:
-        """Of each word: its log-odds, or 0."""
-        cache, token = self.cache, self.token
-        return [cache[w] if w in cache else token(w) for w in words(text)]
+        """Of each word: the highest log-odds among its features, or 0."""
+        ws, cache = words(text), self.cache
+        new = [w for w in set(ws) if w not in cache]
+        if new:
+            if len(cache) > 300_000:
+                cache.clear()
+                new = list(set(ws))
+            each = [features(w) for w in new]
+            odds = self.odds.many([f for fs in each for f in fs])
+            cache.update(zip(new, np.maximum.reduceat(odds, np.cumsum([0, *map(len, each[:-1])])).tolist()))
+        return [cache[w] for w in ws]
 
     def segments(self, text: str | None) -> list[tuple[int, int, float]]:
         """Maximal segments as word ranges with x = lambda s - ln(K n): a text of n clean words has one of that or more with the chance 1 - exp(-e^-x)."""
@@ -172,12 +229,12 @@ def fit(train: DataFrame) -> Model:
     sizes = {r.toxic: r.n for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     nt, nc = sizes.get(1, 0), sizes.get(0, 0)
     if not nt or not nc:
-        return Model({}, 0.0, (1.0, 1.0), (0.0, 40.0 if nt else -40.0))
+        return Model(Lexicon([]), 0.0, (1.0, 1.0), (0.0, 40.0 if nt else -40.0))
     counts = one.mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     pt, pc = (F.col("t") + PRIOR) / (nt + 2 * PRIOR), (F.col("c") + PRIOR) / (nc + 2 * PRIOR)
     z = (F.log(pt / (1 - pt)) - F.log(pc / (1 - pc))) / F.sqrt(1 / (F.col("t") + PRIOR) + 1 / (F.col("c") + PRIOR))
     kept = counts.withColumn("odds", F.log(pt / pc)).filter((F.col("odds") >= LEAST_ODDS) & (z >= LEAST_Z))
-    odds = {r.feature: r.odds for r in kept.select("feature", "odds").collect()}
+    odds = _lexicon(kept)
     tell = one.sparkSession.sparkContext.broadcast(Model(odds, 0.0, (1.0, 1.0), (0.0, 0.0)))
 
     def hits(batches):

@@ -21,19 +21,20 @@ def out(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def brute(rows):
-    """The same model in dictionaries, without codes."""
+def brute(rows, least=2, discount=0.75):
+    """The same model in dictionaries, without codes; without ``discount`` it is estimated from the counts of all n-grams."""
     train = [words(t) + ["</s>"] for i, t in rows if not out(i)]
     c1 = collections.Counter(w for ws in train for w in ws)
     c2 = collections.Counter(x for ws in train for x in zip(["</s>", *ws[:-1]], ws))
     c3 = collections.Counter(x for ws in train for x in zip(["</s>", *ws[:-2]], ws[:-1], ws[1:]))
     n, v = sum(c1.values()), len(c1)
-    k2, k3 = {k: c for k, c in c2.items() if c >= 2}, {k: c for k, c in c3.items() if c >= 2}
+    k2, k3 = {k: c for k, c in c2.items() if c >= least}, {k: c for k, c in c3.items() if c >= least}
+    d2, d3 = (dict(zip((1, 2, 3), [discount] * 3 if discount else estimated(k))) for k in (k2, k3))
     left2, left3 = collections.defaultdict(lambda: 1.0), collections.defaultdict(lambda: 1.0)
     for (a, _), c in k2.items():
-        left2[a] -= (c - 0.75) / c1[a]
+        left2[a] -= (c - d2[min(c, 3)]) / c1[a]
     for (a, b, _), c in k3.items():
-        left3[a, b] -= (c - 0.75) / k2[a, b]
+        left3[a, b] -= (c - d3[min(c, 3)]) / k2[a, b]
     got = {}
     for i, t in rows:
         ws = words(t) + ["</s>"]
@@ -42,15 +43,25 @@ def brute(rows):
         for j, w in enumerate(ws):
             b = ws[j - 1] if j else "</s>"
             p = (c1[w] + 1) / (n + v + 1)
-            p = max(k2.get((b, w), 0) - 0.75, 0) / max(c1[b], 1) + left2[b] * p
+            c = k2.get((b, w), 0)
+            p = (c - d2[min(c, 3)] if c else 0) / max(c1[b], 1) + left2[b] * p
             a = (ws[j - 2] if j > 1 else "</s>") if j else None
             if a is not None and (a, b) in k2:
-                p = max(k3.get((a, b, w), 0) - 0.75, 0) / k2[a, b] + left3[a, b] * p
+                c = k3.get((a, b, w), 0)
+                p = (c - d3[min(c, 3)] if c else 0) / k2[a, b] + left3[a, b] * p
             score += math.log10(min(p, 1.0))
         got[i] = (out(i), len(ws), sum(c1[w] > 0 for w in ws), n, sum(base), score)
     return got
 
 
+def estimated(counts):
+    n = collections.Counter(counts.values())
+    if not (n[1] and n[2] and n[3]):
+        return [0.75] * 3
+    y = n[1] / (n[1] + 2 * n[2])
+    return [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), i - 0.1) for i in (1, 2, 3)]
+
+
 def check(got, want, tokens=0.003):
     assert len(got) == len(want)
     for r in got:
@@ -63,8 +74,10 @@ def check(got, want, tokens=0.003):
 def test_matches_dictionaries(spark):
     d = "/root/testdata/sf0.001"
     docs = pd.read_parquet(f"{d}/documents.parquet")
+    rows = list(zip(docs.doc_id.tolist(), docs.text))
+    check(ngram_lm.score_texts(spark.read.parquet(f"{d}/documents.parquet"), least_count=2, discount=0.75).collect(), brute(rows))
     got = ngram_lm.op10_ngram_lm(spark, d).collect()
-    check(got, brute(list(zip(docs.doc_id.tolist(), docs.text))))
+    check(got, brute(rows, least=1, discount=None))
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
@@ -73,7 +86,8 @@ def test_edges_and_many_segments(spark, monkeypatch):
     monkeypatch.setattr(ngram_lm, "TOKENS_AT_ONCE", 40)
     rows = [(1, None), (2, ""), (3, "A a A a b a b c"), (4, "a b c"), (5, "a b c d e"), (None, "a b"), (6, "x " * 20000), (7, " \n\t")] + [(i, "the cat sat on the mat the dog") for i in range(10, 30)]
     df = spark.createDataFrame([(i, t, "s", 0.0) for i, t in rows], "doc_id long, text string, source string, score double")
-    check(ngram_lm.score_texts(df).collect(), brute(rows))
+    check(ngram_lm.score_texts(df, least_count=2, discount=0.75).collect(), brute(rows))
+    check(ngram_lm.score_texts(df).collect(), brute(rows, least=1, discount=None))
     assert ngram_lm.score_texts(df.limit(0)).collect() == []
     only = next(i for i in range(1000) if out(i))
     alone = ngram_lm.score_texts(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).collect()
@@ -94,3 +108,11 @@ def test_elias_fano(values, universe):
 def test_pointers_may_repeat():
     values = np.array([0, 0, 0, 5, 5, 9, 9, 9])
     assert ngram_lm.EliasFano.of(values, 10).get(np.arange(8)).tolist() == values.tolist()
+
+
+def test_pairs_seen_once_count(spark):
+    train, ask = ([i for i in range(1000) if out(i) == held] for held in (False, True))
+    rows = [(train[0], "the red fox sleeps"), (train[1], "a blue bird sings"), (train[2], "the cat"), (train[3], "a cat")]
+    df = spark.createDataFrame([*rows, (ask[0], "red fox"), (ask[1], "red bird")], "doc_id long, text string")
+    seen, unseen = (r.score for r in ngram_lm.score_texts(df).filter("held_out").orderBy("doc_id").collect())
+    assert seen > unseen + 0.3
