@@ -6,7 +6,10 @@ the kth is chosen, and the next round counts only inside it, until one value is
 counts only intervals from that of its own kth upwards: k rows of this cell lie there already.
 A last pass keeps the scores above the kth, and of those equal to it the smallest ids.
 
-Defined results: vectors that are null, empty, or hold a null, NaN, infinite (or over 2**52)
+Scores come from matrix products in double precision where all sums stay below 2**53, and from whole
+numbers of any size in the rows and columns of a cell where they may not. A score outside the range of a long is given as its nearest end.
+
+Defined results: vectors that are null, empty, or hold a null, NaN or infinite
 component take no part, neither do rows with a null id; vectors are compared with those of the
 same length; a row is no candidate of a query with its own id; repeated rows count each as candidates,
 and a repeated query is asked once (of different vectors under one id, the smallest); fewer
@@ -15,6 +18,8 @@ than k candidates give fewer rows.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,22 +30,50 @@ from lodestrata.llm.common import default_parallelism, settle, table
 from lodestrata.llm.vectors import packed, unpack, usable
 
 DIGIT = 12
+LEAST, MOST = -(2**63), 2**63 - 1
 QUERIES_A_BLOCK, ROWS_A_BLOCK = 256, 4096
 
 
-def _scores(q: np.ndarray, c: np.ndarray, exact_in_double: bool) -> np.ndarray:
-    if exact_in_double:
-        return (q @ c.T).astype(np.int64)
-    return np.array([[int(np.dot(a, b)) for b in c.astype(np.int64).astype(object)] for a in q.astype(np.int64).astype(object)], dtype=np.int64)
+def _norms(m: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt((m * m).sum(1))
 
 
-def _cells(frames, exact):
+def _whole(m: np.ndarray) -> list[list[int]]:
+    return [[int(x) for x in row] for row in m.tolist()]
+
+
+def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products as longs, exactly; beyond a long's range its nearest end."""
+    a, b = _norms(q), _norms(c)
+    most_a, most_b = a.max(initial=0.0), b.max(initial=0.0)
+    large_a, large_b = a * most_b >= 2.0**52, b * most_a >= 2.0**52
+    if not large_a.any():
+        return (q @ c.T).astype(np.int64)
+    out = np.zeros((len(q), len(c)), dtype=np.int64)
+    small_a, small_b = np.flatnonzero(~large_a), np.flatnonzero(~large_b)
+    out[np.ix_(small_a, small_b)] = (q[small_a] @ c[small_b].T).astype(np.int64)
+    exact = lambda x, y: min(max(sum(i * j for i, j in zip(x, y)), LEAST), MOST)
+    ask, rows = _whole(q), _whole(c)
+    for i in np.flatnonzero(large_a).tolist():
+        # a row of small components against a large query is exact in doubles too
+        fits = a[i] * b < 2.0**52
+        out[i, fits] = (c[fits] @ q[i]).astype(np.int64)
+        for j in np.flatnonzero(~fits).tolist():
+            out[i, j] = exact(ask[i], rows[j])
+    for j in np.flatnonzero(large_b).tolist():
+        for i in small_a.tolist():
+            out[i, j] = int(c[j] @ q[i]) if a[i] * b[j] < 2.0**52 else exact(ask[i], rows[j])
+    return out
+
+
+def _cells(frames):
     """Of each cell: query ids, candidate ids, the scores, and which candidates count."""
     for pdf in frames:
         for r in pdf.itertuples(index=False):
             qid, q = unpack(r.q_ids, r.q_mat, r.dim)
             cid, c = unpack(r.c_ids, r.c_mat, r.dim)
-            yield r, qid, cid, _scores(q, c, exact), qid[:, None] != cid[None, :]
+            yield r, qid, cid, _scores(q, c), qid[:, None] != cid[None, :]
 
 
 def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -64,9 +97,7 @@ def exact_topk(rows: DataFrame, id_col: str, vec_col: str, is_query, k: int = 10
     top, n_blocks = found.agg(F.max(norm)).first()[0], cand.count()
     if top is None or not quer.take(1):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if top >= 2**62:
-        raise ValueError("an inner product may not fit a long")
-    exact, reach = top < 2**52, int(top) + 1
+    reach = int(min(top, 2.0**62)) * 2 + 1  # scores lie between -reach and reach
     bits = -(-(2 * reach).bit_length() // DIGIT) * DIGIT
     groups = max(1, min(n_blocks, 4 * default_parallelism(spark)))
     left = quer.select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
@@ -78,19 +109,19 @@ def exact_topk(rows: DataFrame, id_col: str, vec_col: str, is_query, k: int = 10
 
     def count(shift):
         def run(frames):
-            for r, qid, cid, score, counts in _cells(frames, exact):
+            for r, qid, cid, score, counts in _cells(frames):
                 known = dict(zip(r.s_ids, zip(r.s_prefix, r.s_need))) if shift + DIGIT < bits and r.s_ids is not None else {}
                 out = []
                 for i, x in enumerate(qid):
-                    s = score[i][counts[i]] + reach
+                    s = score[i][counts[i]]
                     prefix, need = known.get(x, (0, k))
                     if shift + DIGIT < bits:
                         if x not in known:
                             continue
-                        s = s[(s >> (shift + DIGIT)) == prefix]
+                        s = s[(s >> min(shift + DIGIT, 63)) == prefix]
                     if not len(s):
                         continue
-                    d = s >> shift
+                    d = s >> min(shift, 63)
                     if len(d) > need:
                         d = d[d >= np.partition(d, len(d) - need)[len(d) - need]]
                     u, n = np.unique(d, return_counts=True)
@@ -115,13 +146,12 @@ def exact_topk(rows: DataFrame, id_col: str, vec_col: str, is_query, k: int = 10
         state = settle(flat.select("q_block", F.col("s.query_id").alias("s_ids"), F.col("s.bucket").alias("s_prefix"), F.col("s.need").cast("array<int>").alias("s_need")), "topk-state")
 
     def pick(frames):
-        for r, qid, cid, score, counts in _cells(frames, exact):
+        for r, qid, cid, score, counts in _cells(frames):
             known = dict(zip(r.s_ids, zip(r.s_prefix, r.s_need))) if r.s_ids is not None else {}
             out = []
             for i, x in enumerate(qid):
                 s, ids = score[i][counts[i]], cid[counts[i]]
-                kth, need = known.get(x, (-1, k))
-                kth -= reach
+                kth, need = known.get(x, (0, k))
                 if x in known:
                     above, tied = np.flatnonzero(s > kth), np.flatnonzero(s == kth)
                     if len(tied) > need:
@@ -141,7 +171,10 @@ def exact_topk(rows: DataFrame, id_col: str, vec_col: str, is_query, k: int = 10
 
 def op9_exact_topk(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(usable(F.col("embedding")))
-    whole = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("double")).alias("whole"))
+    # beyond 2**52 a double has no fraction, and floor would cut it to a long; products over the largest double count as that
+    scaled = lambda x: F.greatest(F.least(x.cast("double") * 1024, F.lit(sys.float_info.max)), F.lit(-sys.float_info.max))
+    floor = lambda x: F.when(F.abs(scaled(x)) < 2.0**52, F.floor(scaled(x)).cast("double")).otherwise(scaled(x))
+    whole = rows.select("vec_id", F.transform("embedding", floor).alias("whole"))
     return exact_topk(whole, "vec_id", "whole", F.col("vec_id") % 100 == 0)
 
 

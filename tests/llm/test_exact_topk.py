@@ -37,3 +37,15 @@ def test_large_numbers_and_empty(spark):
     assert run(spark, rows) == brute(rows, 4)
     assert run(spark, []) == []
     assert run(spark, [(1, [1.0])]) == [] and run(spark, [(3, [1.0])]) == []
+
+
+def test_large_finite_components_and_clashing_columns(spark):
+    rows = [(0, [1e16, 1.0]), (1, [2.0, 3.0]), (2, [-1e300, 5.0]), (3, [float(2**31), float(-(2**31))]), (4, [float(2**31), 7.0]), (6, [1.0, 1.0]), (7, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in rows], "vec_id long, embedding array<double>, id int, block string, dim int")
+    got = sorted(tuple(r) for r in exact_topk.exact_topk(df.filter(exact_topk.usable(F.col("embedding"))), "vec_id", "embedding", F.col("vec_id") % 3 == 0, 4).collect())
+    want = []
+    for q, a in rows:
+        if q % 3 == 0:
+            far = sorted((-min(max(sum(int(x) * int(y) for x, y in zip(a, b)), exact_topk.LEAST), exact_topk.MOST), i) for i, b in rows if i != q)[:4]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(far)]
+    assert got == sorted(want)
