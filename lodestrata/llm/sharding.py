@@ -1,8 +1,8 @@
 """Sharding by a k-d tree: nodes are split at distributed weighted medians along their widest dimension.
 
-The dimensions are the documents' metadata: doc_id, source, lang, size. A node that is to give
+The dimensions are the documents' metadata: doc_id, source and lang (by their ranks), size. A node that is to give
 k shards is split so that its left part holds the bytes of ceil(k / 2) of them; the split is
-found by summing bytes over the leading bits of (scaled value, hash of doc_id) and refining the
+found by summing bytes over the leading bits of (scaled value, hash of the row) and refining the
 bucket in which the sum passes the share, so no rows are sorted and equal values can part. With
 ``target_bytes`` k starts as all bytes over the target; leaves then hold about that many bytes.
 
@@ -10,8 +10,8 @@ Everything is made of DataFrame operations. Equal texts may go to different shar
 copies can be a third of all rows, more than a shard holds.
 
 Defined results: a null text has no bytes and no text_crc32 of its own (0, as an empty one);
-null doc_id, source or lang count as the lowest value; rows with equal doc_id and metadata stay
-together; an empty table gives an empty result; other columns of the input are not used.
+null doc_id, source or lang count as the lowest value; rows with equal doc_id and metadata can
+part; an empty table gives an empty result; other columns of the input are not used.
 """
 
 from __future__ import annotations
@@ -23,32 +23,44 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import hash60, settle, table
-from lodestrata.llm.mixing import attached, thresholds
+from lodestrata.llm.mixing import FEW_SOURCES, attached, thresholds
 
 SCALE, HASH_BITS = 2**20, 40
 PER_ROW = 8
-MOST_SHARDS = 100_000
 ROWS_A_SLICE = 1024
 
 
-def _order_of(text: Column) -> Column:
-    """A number in the order of the first six bytes of a string."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+def _ranked(rows: DataFrame, name: str, rank: str) -> DataFrame:
+    """Adds the rank, from 0, of a column's value among its distinct ones in their order, null first. Values that are few are broadcast."""
+    values = settle(rows.select(name).distinct(), "kd-values")
+    numbered = settle(with_number(values, [F.col(name).asc_nulls_first()], rank), "kd-ranks")
+    few = F.broadcast(numbered) if numbered.count() <= FEW_SOURCES else numbered.hint("merge")
+    return rows.join(few.withColumnRenamed(name, "_v"), F.col(name).eqNullSafe(F.col("_v"))).drop("_v")
+
+
+def with_number(values: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the place, from 0, in the order: ranges are numbered alone and start after those before them."""
+    ranges = settle(values.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "kd-ranges")
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row for each range
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.withColumn("_inside", inside).join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + F.col("_inside")).cast("double")).drop("_range", "_start", "_inside")
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard: shards of nearly equal bytes, numbered from 0 in the order of the tree's leaves."""
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + PER_ROW).cast("long")
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), F.shiftright(hash60(F.col("doc_id")), 60 - HASH_BITS).alias("tie"),
-                       F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)).alias("v0"), _order_of(F.col("source")).alias("v1"), _order_of(F.col("lang")).alias("v2"), size.cast("double").alias("v3"))
+    rows = docs.select("doc_id", "source", "lang", size.alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), F.monotonically_increasing_id().alias("_row"))
+    # equal doc_ids and texts are parted by the place of the row, which is fixed once the rows are written
+    rows = settle(_ranked(_ranked(settle(rows, "kd-read"), "source", "v1"), "lang", "v2").withColumns({
+        "tie": F.shiftright(hash60(F.col("doc_id"), F.col("text_crc32"), F.col("_row")), 60 - HASH_BITS),
+        "v0": F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)), "v3": F.col("size").cast("double"),
+    }).drop("source", "lang", "_row"), "kd-rows")
     dims = ["v0", "v1", "v2", "v3"]
-    rows = settle(rows, "kd-rows")
     ends = rows.agg(F.sum("size").alias("bytes"), *[f(v).alias(f"{f.__name__}_{v}") for v in dims for f in (F.min, F.max)]).first()
     if ends.bytes is None:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"))
     k = shards or max(1, round(ends.bytes / target_bytes))
-    if k > MOST_SHARDS:
-        raise ValueError(f"{k} shards; the table of nodes is broadcast and may have {MOST_SHARDS} rows")
     width = {v: (ends[f"max_{v}"] - ends[f"min_{v}"]) or 1.0 for v in dims}
     scaled = [F.floor((F.col(v) - F.lit(ends[f"min_{v}"])) / F.lit(width[v]) * (SCALE - 1)).cast("long").alias(v) for v in dims]
     rows = rows.select("doc_id", "size", "text_crc32", "tie", *scaled, F.lit(0).alias("_mix_key"), F.lit(k).alias("k"))
@@ -76,8 +88,8 @@ def with_slots(sharded: DataFrame) -> DataFrame:
     n = sharded.count()
     shards = max(1, sharded.select("shard").distinct().count())
     slices = max(1, ceil(n / shards / ROWS_A_SLICE))
-    rows = settle(sharded, "kd-sharded")
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), slices).cast("int"))
+    # written with its slices, so that both readings below have the same
+    rows = settle(sharded.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), slices).cast("int")), "kd-sharded")
     before = W.partitionBy("shard").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "slice").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = F.row_number().over(W.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32")) - 1

@@ -35,3 +35,17 @@ def test_copies_of_one_text_are_spread(spark):
     data = [(i, "same text", "a", "en", 1, "x", 1) for i in range(960)]
     got = sharding.kd_shards(spark.createDataFrame(data, SCHEMA), target_bytes=960 * 17 // 24).toPandas()
     assert got.groupby("shard").size().tolist() == [40] * 24
+
+
+def test_one_doc_id_repeated_often_is_parted(spark):
+    data = [(5 if i < 300 else 1000 + i, "same text" if i < 300 else f"text {i:04d}", f"common_crawl/{i % 3}", "en", 1, "x", 1) for i in range(600)]
+    got = sharding.with_slots(sharding.kd_shards(spark.createDataFrame(data, SCHEMA), shards=6)).toPandas()
+    per = got.groupby("shard").size()
+    assert per.index.tolist() == list(range(6)) and per.max() - per.min() <= 2
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
+def test_sources_with_a_common_beginning_are_told_apart(spark):
+    rows = spark.createDataFrame([("common_crawl/b",), ("common_crawl/a",), (None,), ("common_crawl/b",)], "source string")
+    assert sorted((r.source or "", r.v) for r in sharding._ranked(rows, "source", "v").collect()) == [("", 0.0), ("common_crawl/a", 1.0), ("common_crawl/b", 2.0), ("common_crawl/b", 2.0)]
