@@ -13,8 +13,8 @@ has a row for each turn, with its place in the conversation's text and the spans
 is taken: the texts of assistant turns. A conversation of any length is thus never one value.
 
 Defined results: null texts and roles count as empty; turns are put in the order of turn, null first,
-repeated ones by role and text; rows of a null conv_id form a conversation; a turn without parts
-is an empty one; parts of an unknown type are texts; an empty table gives an empty result.
+repeated ones by role, the first characters of their parts and a hash of all; rows of a null conv_id form a conversation; a turn without parts
+is an empty one; parts of an unknown type are texts; an empty table gives an empty result; other columns of the input are not used.
 """
 
 from __future__ import annotations
@@ -60,29 +60,52 @@ def _is_attached(part: Column) -> Column:
     return F.coalesce(part["type"].isin(*TOKENS_A_UNIT), F.lit(False))
 
 
+def _sums_before(rows: DataFrame, sizes: dict[str, Column]) -> DataFrame:
+    """Adds, for each size, its sum over the rows of smaller _no of the same conversation.
+
+    Rows stand in ranges of their order (_range, _no). Sums run inside ranges, a range starts with the sums of those before it, and a
+    conversation's first row is at its least sum, so no task holds more than a range, whatever a conversation's length is.
+    """
+    rows = rows.withColumns({f"_size_{n}": c.cast("long") for n, c in sizes.items()})
+    inside = W.partitionBy("_range").orderBy("_no").rowsBetween(W.unboundedPreceding, -1)
+    ranges = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    whole = rows.groupBy("_range").agg(*[F.sum(f"_size_{n}").alias(f"_all_{n}") for n in sizes])
+    starts = whole.select("_range", *[F.coalesce(F.sum(f"_all_{n}").over(ranges), F.lit(0)).alias(f"_start_{n}") for n in sizes])
+    upto = rows.join(F.broadcast(starts), "_range").withColumns({n: F.col(f"_start_{n}") + F.coalesce(F.sum(f"_size_{n}").over(inside), F.lit(0)) for n in sizes})
+    upto = settle(upto.drop(*[f"_{w}_{n}" for w in ("size", "start") for n in sizes]), "chat-sums")
+    least = settle(upto.groupBy("conv_id").agg(*[F.min(n).alias(f"_least_{n}") for n in sizes]).withColumnRenamed("conv_id", "_conv"), "chat-least")
+    got = upto.join(least.hint("merge"), F.col("conv_id").eqNullSafe(F.col("_conv")))
+    return got.withColumns({n: F.col(n) - F.col(f"_least_{n}") for n in sizes}).drop("_conv", *[f"_least_{n}" for n in sizes])
+
+
 def format_chat(turns: DataFrame) -> DataFrame:
     """turns: conv_id, turn, role, parts. -> conv_id, place, role, piece, at (code points before it), loss (spans in the
     conversation's text), attachments (ordinal, type, uri, tokens)."""
     row = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(f"array<{PART}>")).alias("parts"))
-    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", F.to_json("parts"))
-    upto = order.rowsBetween(W.unboundedPreceding, -1)
+    # a tie column parts equal rows that repeat very often; they may change places
+    content = F.to_json("parts")
+    row = row.withColumns({"_begin": F.substring(content, 1, 64), "_key": F.md5(content), "_tie": F.xxhash64(F.monotonically_increasing_id())})
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "_begin", "_key", "_tie")]
+    row = settle(row.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "chat-ranges")
+    row = row.withColumn("_no", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
     n_attached = F.size(F.filter("parts", _is_attached))
-    row = row.withColumn("place", F.row_number().over(order) - 1).withColumn("before", F.coalesce(F.sum(n_attached).over(upto), F.lit(0)).cast("int"))
-    nth = lambda i: F.col("before") + F.size(F.filter(F.slice("parts", 1, i + 1), _is_attached)) - 1
-    row = row.withColumn("flat", F.transform("parts", lambda p, i: _visit(p, nth(i))))
+    row = _sums_before(row, {"place": F.lit(1), "before": n_attached}).withColumns({"place": F.col("place").cast("int"), "before": F.col("before").cast("int")})
+    # the places of the attachments, and the flat parts' ends, in one pass over the parts each
+    nth = F.aggregate("parts", F.array().cast("array<int>"), lambda acc, p: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + _is_attached(p).cast("int")))
+    row = row.withColumn("_nth", F.transform(nth, lambda n: n + F.col("before") - 1))
+    row = row.withColumn("flat", F.zip_with("parts", "_nth", lambda p, n: _visit(p, n)))
     head = F.concat(F.lit(TURN), escaped_role(F.col("role")), F.lit("\n"))
     row = row.withColumn("head", F.length(head)).withColumn("piece", F.concat(head, F.array_join("flat", ""), F.lit(END)))
-    row = row.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(upto), F.lit(0)).cast("long"))
-    ahead = lambda i: F.aggregate(F.slice("flat", 1, i), F.col("at") + F.col("head"), lambda a, x: a + F.length(x).cast("long"))
-    spans = F.transform("flat", lambda x, i: F.struct(ahead(i).alias("start"), (ahead(i) + F.length(x)).alias("stop"), _is_attached(F.element_at("parts", i + 1)).alias("out")))
+    row = _sums_before(row, {"at": F.length("piece")})
+    ends = F.aggregate("flat", F.array().cast("array<long>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + F.length(x)))
+    row = row.withColumn("_ends", F.transform(ends, lambda x: x + F.col("at") + F.col("head")))
+    spans = F.transform(F.arrays_zip("flat", "_ends", "parts"), lambda z: F.struct((z["_ends"] - F.length(z["flat"])).alias("start"), z["_ends"].alias("stop"), _is_attached(z["parts"]).alias("out")))
     kept = F.transform(F.filter(spans, lambda s: ~s["out"] & (s["stop"] > s["start"])), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
     loss = F.when(F.col("role") == "assistant", kept).otherwise(F.array().cast("array<struct<start: long, stop: long>>"))
     rate = F.create_map(*[F.lit(x) for kv in TOKENS_A_UNIT.items() for x in kv])
-    refs = F.filter(
-        F.transform("parts", lambda p, i: F.struct(nth(i).alias("ordinal"), p["type"].alias("type"), p["uri"].alias("uri"), (F.coalesce(p["units"], F.lit(1)) * F.coalesce(F.element_at(rate, p["type"]), F.lit(0))).alias("tokens"), _is_attached(p).alias("is"))),
-        lambda r: r["is"],
-    )
-    refs = F.transform(refs, lambda r: F.struct(r["ordinal"].alias("ordinal"), r["type"].alias("type"), r["uri"].alias("uri"), r["tokens"].alias("tokens")))
+    refs = F.filter(F.arrays_zip("parts", "_nth"), lambda z: _is_attached(z["parts"]))
+    tokens = lambda p: F.coalesce(p["units"], F.lit(1)) * F.coalesce(F.element_at(rate, p["type"]), F.lit(0))
+    refs = F.transform(refs, lambda z: F.struct(z["_nth"].alias("ordinal"), z["parts"]["type"].alias("type"), z["parts"]["uri"].alias("uri"), tokens(z["parts"]).alias("tokens")))
     return row.select("conv_id", "place", "role", "piece", "at", loss.alias("loss"), refs.alias("attachments"))
 
 
