@@ -25,7 +25,6 @@ import re
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +37,7 @@ PRIOR, LEAST_ODDS, LEAST_Z = 0.5, 2.0, 3.0
 THRESHOLD = 0.7
 #: Least x of a passage: the chance of 1 - exp(-e^-x) is 1 % there.
 SIGNIFICANT = -math.log(-math.log(1 - 0.01))
+FEATURES_A_FILE = 1_000_000
 #: Token scores are counted in bins of a sixteenth of a nat to find lambda.
 BINS_A_NAT = 16
 #: Up to so many labels (some 24 bytes each) are broadcast; more are joined by shuffling the texts.
@@ -128,19 +128,20 @@ class Lexicon:
 
 
 def _lexicon(kept: DataFrame) -> Lexicon:
-    """kept: feature, odds -> written in ranges of hashes (as unsigned numbers), a file pair for each."""
-    folder = new_path(kept.sparkSession, "toxic-lexicon")
-    order = F.col("h").bitwiseXOR(F.lit(-(2**63)))  # signed numbers in unsigned order
-    ranged = kept.select(F.xxhash64("feature").alias("h"), "odds").repartitionByRange(order).sortWithinPartitions(order)
-
-    def write(batches):
-        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if parts:
-            h, odds = (np.concatenate(x) for x in zip(*parts))
-            yield pa.RecordBatch.from_pydict({"first": pa.array([int(h[:1].view(np.int64)[0])], pa.int64()), "path": [write_arrays(folder, {"hashes": h, "odds": odds})]})
-
-    found = settle(ranged.mapInArrow(write, "first long, path string"), "toxic-segments").collect()  # a row for each range
-    return Lexicon(sorted((r.first % 2**64, r.path) for r in found))
+    """kept: feature, odds -> written by leading bits of the hash, some million features to a file pair."""
+    spark = kept.sparkSession
+    folder = new_path(spark, "toxic-lexicon")
+    rows = settle(kept.select(F.xxhash64("feature").alias("h"), "odds"), "toxic-features")
+    bits = (rows.count() // FEATURES_A_FILE).bit_length()
+    segment = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
+
+    def write(key, pdf):
+        h, odds = pdf["h"].to_numpy().view(np.uint64), pdf["odds"].to_numpy()
+        order = np.argsort(h)
+        return pd.DataFrame({"segment": [key[0]], "path": [write_arrays(folder, {"hashes": h[order], "odds": odds[order]})]})
+
+    found = settle(rows.withColumn("segment", segment).groupBy("segment").applyInPandas(write, "segment long, path string"), "toxic-segments").collect()  # a row for each file pair
+    return Lexicon(sorted((r.segment << (64 - bits) if bits else 0, r.path) for r in found))
 
 
 class Model:
