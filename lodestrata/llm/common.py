@@ -37,11 +37,11 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
+def settle(df: DataFrame, what: str, **options) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it again: it is made once, and its lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 

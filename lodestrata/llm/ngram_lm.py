@@ -34,6 +34,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -284,27 +285,38 @@ class Counter:
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in rows], pa.int32()), pa.array([k for _, k, _ in rows], pa.binary()), pa.array([c for _, _, c in rows], pa.binary())], names=["part", "keys", "counts"])
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Bytes of equal weight stand together, as the heavy ones are mostly zero, and are compressed."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return bytes([values.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{data[0]}").ravel()
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
+    """The first key and the steps to the next ones."""
     steps = np.diff(keys)
     small = not len(steps) or int(steps.max()) < 2**32
-    return bytes([4 if small else 8]) + keys[:1].tobytes() + steps.astype("<u4" if small else "<u8").tobytes()
+    return keys[:1].tobytes() + _squeezed(steps.astype("<u4" if small else "<u8"))
 
 
 def unpack_keys(data: bytes, dtype) -> np.ndarray:
-    steps = np.frombuffer(data, dtype="<u4" if data[0] == 4 else "<u8", offset=9)
+    steps = _unsqueezed(data[8:])
     out = np.empty(len(steps) + 1, dtype=dtype)
-    out[0] = np.frombuffer(data, dtype=dtype, count=1, offset=1)[0]
+    out[0] = np.frombuffer(data, dtype=dtype, count=1)[0]
     out[1:] = steps
     return np.cumsum(out, dtype=dtype)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    size = 1 if counts.max() < 256 else 8
-    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+    return _squeezed(counts.astype("<u1" if counts.max() < 256 else "<u8"))
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
+    return _unsqueezed(data).astype(np.int64)
 
 
 PACKED = "part int, keys binary, counts binary"
@@ -510,7 +522,7 @@ def score_texts(docs: DataFrame, least_count: int = 1, discount: float | None =
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids"],
                 )
 
-    encoded = settle(rows.mapInArrow(encode, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, ids binary"), "lm-ids")
+    encoded = settle(rows.mapInArrow(encode, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, ids binary"), "lm-ids", compression="zstd")
     train = encoded.filter(~F.col("held_out"))
 
     def word_counts(ctx):
