@@ -9,14 +9,14 @@ of 0.8 or more. Texts with the same set are copies: one stands for them, with th
    similarity (uniform prior) is Beta(m + 1, n - m + 1), and the pair goes as soon as its chance
    of reaching 0.8 is below 1e-6.
 3. What is left falls into clusters (connected components). A cluster's shingle sets meet in
-   cells of at most some 256 x 256 texts, where the surviving pairs are verified exactly. A cell returns
+   cells of at most some 512 x 512 texts, fewer of long ones, where the surviving pairs are verified exactly. A cell returns
    how many links each text has and a spanning forest of them, never the pairs.
 
 Bands in which more than 32 texts meet are not expanded into pairs: their texts form one
 cluster, and only pairs from different ones are formed in smaller bands. So a group of thousands of
 near copies costs as many rows as it has texts, times the number of blocks it is cut into.
 
-Defined results: null and empty texts are copies of each other and of nothing else; a text of
+Defined results: null and empty texts are copies of each other and of nothing else; rows of one doc_id with unlike texts are of different classes; a text of
 one to four words is one shingle; a repeated row is a copy; rows with a null doc_id take part, and a
 class that has no other has a null class_id; an empty table gives an empty result.
 """
@@ -37,7 +37,7 @@ from lodestrata.llm.components import components
 from lodestrata.llm.shingles import MinHash, shingle_hashes
 
 HASHES, ROWS_A_BAND, STEP = 128, 4, 16
-EXPANDED, BLOCK = 32, 256
+EXPANDED, BLOCK, SHINGLES_A_BLOCK = 32, 512, 2_000_000
 TOLERANCE = 1e-6
 
 
@@ -101,10 +101,10 @@ def _clusters(reps: DataFrame, need: dict[int, int]) -> DataFrame:
     width = 4 * ROWS_A_BAND
     band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
     rows = reps.filter("n > 0").select("nid", "sig", band).select("nid", F.xxhash64("band", F.expr(f"substring(sig, band * {width} + 1, {width})")).alias("bucket"))
-    several = rows.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
+    # written first, so that Spark may split a bucket that many texts share
+    several = settle(rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("nid").alias("b")).filter("m > 1"), "bands")
     hits = settle(rows.join(several.hint("merge"), "bucket"), "band-hits")
-    large = hits.filter(F.col("m") > EXPANDED)
-    stars = large.join(large.groupBy("bucket").agg(F.min("nid").alias("b")).hint("merge"), "bucket").select(F.col("nid").alias("a"), "b").distinct()
+    stars = hits.filter(F.col("m") > EXPANDED).select(F.col("nid").alias("a"), "b").distinct()
     stars = settle(components(stars), "band-stars")
     small = hits.filter(F.col("m") <= EXPANDED).join(stars.withColumnRenamed("node", "nid").hint("merge"), "nid", "left")
     met = small.groupBy("bucket").agg(F.collect_list(F.struct("nid", F.coalesce("comp", "nid").alias("comp"))).alias("x")).filter(F.size(F.array_distinct("x.comp")) > 1)
@@ -178,14 +178,21 @@ def _verified(nodes: list[dict], crossing: bool, threshold: float, need: dict[in
 
 def jaccard_links(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), links (documents at or above the threshold, copies included), class_size."""
+    signed, of = _classes(docs, threshold)
+    return signed.select("doc_id", "k1", "k2").join(of.hint("merge"), ["k1", "k2"]).select("doc_id", "class_id", "links", "class_size")
+
+
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k1, k2 of every row; of every text k1, k2, comp, class_id, links, class_size)."""
     need = least_matches(threshold)
     signed = settle(_signed(docs), "signed")
     # a signature is the same for all rows of a key
     per = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     reps = settle(per.withColumn("nid", F.monotonically_increasing_id()), "reps")
     clusters = _clusters(reps, need)
-    sizes = clusters.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    nodes = clusters.join(sizes.hint("merge"), "comp").join(reps.hint("merge"), F.col("node") == F.col("nid"))
+    known = settle(clusters.join(reps.hint("merge"), F.col("node") == F.col("nid")), "cluster-texts")
+    sizes = settle(known.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES_A_BLOCK)).cast("int").alias("blocks")), "cluster-sizes")
+    nodes = known.join(sizes.hint("merge"), "comp")
     nodes = settle(nodes.select("comp", "nid", "rep", "k1", "k2", "copies", "sig", "blocks", F.pmod(F.xxhash64("nid"), "blocks").cast("int").alias("blk")), "nodes")
 
     def again(batches):
@@ -223,15 +230,38 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     of = reps.select("k1", "k2", "nid", "rep", "copies").join(classes.withColumnRenamed("node", "nid").hint("merge"), "nid", "left").join(linked.hint("merge"), "nid", "left")
     of = of.withColumn("comp", F.coalesce("comp", "nid"))
     whole = of.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    of = settle(of.join(whole.hint("merge"), "comp").select("k1", "k2", "class_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("links"), "class_size"), "text-classes")
-    return signed.select("doc_id", "k1", "k2").join(of.hint("merge"), ["k1", "k2"]).select("doc_id", "class_id", "links", "class_size")
+    of = settle(of.join(whole.hint("merge"), "comp").select("k1", "k2", "comp", "class_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("links"), "class_size"), "text-classes")
+    return signed, of
 
 
 def one_of_each_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents without near duplicates: of each class that with the least doc_id. Of rows with a null doc_id only exact copies go."""
-    kept = jaccard_links(docs, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    some = docs.filter("doc_id IS NOT NULL").join(kept.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return some.unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
+    """The documents without near duplicates: of each class the row of the least doc_id, null last, and of those the one of the least text key."""
+    signed, of = _classes(docs, threshold)
+    mine = signed.select("doc_id", "k1", "k2").join(of.select("k1", "k2", "comp", "class_id").hint("merge"), ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = mine.groupBy("comp").agg(F.min(F.struct("k1", "k2", "doc_id")).alias("k")).select(F.col("k.k1").alias("_k1"), F.col("k.k2").alias("_k2"), F.col("k.doc_id").alias("_kept"))
+    often = signed.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    kept = settle(kept.join(often.hint("merge"), kept["_kept"].eqNullSafe(often["_kept"])).select("_k1", "_k2", kept["_kept"], "_rows"), "kept")
+    of_kept = lambda some: docs.join(some.select("_kept").distinct().hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    alone = of_kept(kept.filter("_rows = 1"))
+    # a doc_id of several rows: only these texts are read again for their keys, and of rows with one key one is taken
+    several = kept.filter("_rows > 1")
+    keyed = _keyed(of_kept(several))
+    one = keyed.join(several.hint("merge"), (F.col("_k1") == F.col("_k1_")) & (F.col("_k2") == F.col("_k2_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return alone.unionByName(one.dropDuplicates(["_k1_", "_k2_"]).select(*docs.columns))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with _k1_ and _k2_, the digest of their shingle set."""
+
+    def key(batches):
+        for batch in batches:
+            for part in _pieces(batch):
+                text = part.column("text").fill_null("")
+                keys = [_key(s) for s in shingle_hashes(text)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64())], names=[*part.schema.names, "_k1_", "_k2_"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(key, f"{shape}, _k1_ long, _k2_ long")
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -91,3 +91,18 @@ def test_components(spark):
 def test_pruning_keeps_what_can_reach_the_threshold():
     need = jaccard_join.least_matches(0.8)
     assert all(need[n] < 0.8 * n for n in need) and need[128] > 70 and need[16] < need[32]
+
+
+def test_one_doc_id_with_unlike_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, 1), (1, b, 2), (1, a, 3), (2, b + " more", 4), (3, a, 5), (None, "c d e f g h", 6), (None, "c d e f g h", 7), (None, b, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, links int")
+    kept = sorted((str(r.doc_id), r.text) for r in jaccard_join.one_of_each_class(df).collect())
+    assert kept == sorted([("1", a), ("1", b), ("None", "c d e f g h")])
+
+
+def test_components_of_many_edges(spark, monkeypatch):
+    monkeypatch.setattr("lodestrata.llm.components.FEW_EDGES", 3)
+    edges = [(i, i + 1) for i in range(12)] + [(50, 50 + i) for i in range(1, 9)] + [(90, 91)]
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(13)}, **{50 + i: 50 for i in range(9)}, 90: 90, 91: 90}

@@ -57,3 +57,12 @@ def test_run_and_edges(spark):
             now = stage(spark, now, "/root/testdata/sf0.001")
             assert now.columns == docs.columns
         assert now.agg(F.count("*")).first()[0] >= 0
+        last = corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001")
+        assert last.count() == now.count() and last.filter("NOT exact").isEmpty()
+
+
+def test_last_stage_takes_long_runs_without_spaces(spark):
+    texts = ["\U0001f600" * 10_000, "一" * 10_000, "\x01" * 10_000, "qzx" * 350_000, "=" * 200_000]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}
+    assert len(got) == len(texts) and all(r.exact and r.n_pieces == len(r.ids) for r in got.values())

@@ -132,3 +132,11 @@ def test_a_rare_feature_with_a_high_z_score_is_kept(spark):
     text = F.when(F.col("id") < 8, "vermin").when(F.col("id") < 900, F.lit("filth")).otherwise(F.lit("calm"))
     rows = spark.range(20900).select(text.alias("text"), (F.col("id") < 900).cast("int").alias("toxic"))
     assert "vermin" in toxicity.fit(rows).odds
+
+
+def test_lexicon_of_several_files(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES_A_FILE", 7)
+    kept = spark.createDataFrame([(f"é{i}*", i + 0.5) for i in range(60)], "feature string, odds double")
+    got = toxicity._lexicon(kept)
+    assert len(got.paths) > 4 and got.many([f"é{i}*" for i in range(60)] + ["none", ""]).tolist() == [i + 0.5 for i in range(60)] + [0.0, 0.0]
+    assert toxicity._lexicon(kept.limit(0)).many(["a"]).tolist() == [0.0]
