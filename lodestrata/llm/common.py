@@ -45,6 +45,11 @@ def settle(df: DataFrame, what: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checked(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Marked for broadcasting up to a number of (narrow) rows, to be merged beyond it. ``df`` is written."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -27,8 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import settle, table
-from lodestrata.llm.mixing import FEW_SOURCES
+from lodestrata.llm.common import checked, settle, table
 from lodestrata.llm.sharding import with_number
 
 FANOUT = 16
@@ -73,15 +72,10 @@ def _sources(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     return ranged, settle(starts.select("skey", "part", "start", "s", "n", "blocks"), "merkle-sources")
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """Marked for broadcasting up to a number of rows (some 100 bytes each), to be merged beyond it."""
-    return F.broadcast(df) if df.count() <= FEW_SOURCES else df.hint("merge")
-
-
 def _blocks(ranged: DataFrame, starts: DataFrame, fanout: int) -> DataFrame:
     """A row for each block: s, block, n, blocks, leaves (doc_id, leaf, bad), low (the hashes above the leaves), hash."""
     inside = F.row_number().over(W.partitionBy("skey", "part").orderBy("doc_id", "leaf", "tie")) - 1
-    placed = ranged.withColumn("inside", inside).join(_checked(starts), ["skey", "part"]).withColumn("pos", F.col("start") + F.col("inside"))
+    placed = ranged.withColumn("inside", inside).join(checked(starts), ["skey", "part"]).withColumn("pos", F.col("start") + F.col("inside"))
     size = fanout**2
     held = placed.groupBy("s", F.expr(f"pos div {size}").alias("block")).agg(F.first("n").alias("n"), F.first("blocks").alias("blocks"), F.sort_array(F.collect_list(F.struct("pos", "doc_id", "leaf", "bad"))).alias("leaves"))
     hashes = F.col("leaves.leaf")
@@ -138,10 +132,10 @@ def _upper(blocks: DataFrame, starts: DataFrame, fanout: int) -> DataFrame:
     for _ in range(_rounds(ends.sources, fanout)):
         up = held.groupBy(F.expr(f"node div {fanout}").alias("up")).agg(F.max("held").alias("most"), F.sum("held").alias("all"))
         up = settle(up, "merkle-lanes")
-        widest = state.join(_checked(up.select("up", "most")), F.expr(f"node div {fanout}") == F.col("up"))
+        widest = state.join(checked(up).drop("all"), F.expr(f"node div {fanout}") == F.col("up"))
         state = settle(exchange(widest, F.col("most"), fanout), "merkle-round")
         held = up.select(F.col("up").alias("node"), F.col("all").alias("held"))
-    return state.select("s", "block", "steps", F.col("hash").alias("root")).join(_checked(settle(subroots, "merkle-subroots")), "s")
+    return state.select("s", "block", "steps", F.col("hash").alias("root")).join(checked(settle(subroots, "merkle-subroots")), "s")
 
 
 def manifest(rows: DataFrame, fanout: int = FANOUT) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import ann, chat, exact_topk, jaccard_join, merkle, mixing, ngram_lm, pieces, secret_scan, sharding, token_files, toxicity
+from lodestrata.llm import ann, chat, exact_topk, jaccard_join, merkle, mixing, ngram_lm, phrases, pieces, secret_scan, sharding, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_nearest": ann.op8_nearest,
         "op10_ngram_lm": ngram_lm.op10_ngram_lm,
         "op9_exact_topk": exact_topk.op9_exact_topk,
+        "op11_phrases": phrases.op11_phrases,
         "op12_secret_scan": secret_scan.op12_secret_scan,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
@@ -32,6 +33,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": mixing.OP1_SQL,
         "op9_exact_topk": exact_topk.OP9_SQL,
+        "op11_phrases": phrases.OP11_SQL,
         "op12_secret_scan": secret_scan.OP12_SQL,
         "op13_merkle_manifest": merkle.OP13_SQL,
     }
