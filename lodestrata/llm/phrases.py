@@ -9,7 +9,9 @@ occurrence once the corpus is large, and everything would be a candidate.
 
 Within a shard phrases grow by a word a level. A phrase of m words is counted only where both its parts of m - 1
 words are frequent in some shard; tasks know that from a bitmap of hashes with a fixed upper size, in which a false hit
-costs a count and nothing else. Tasks sum what they read before rows are shuffled by (shard, phrase), so a common phrase is a row a task.
+costs a count and nothing else. Local counts are those of 48-bit hashes, packed by (shard, range of hashes): where two
+phrases share one, both become candidates sooner, and none is missed. The last pass counts phrases, not hashes. Tasks sum what they read before
+anything is shuffled, so a common phrase is one entry a task.
 
 Words are known by 64-bit hashes of language and word. Words that share a hash are found in the
 vocabulary, and the corpus is then tokenised again with another hash for these, so counts are exact.
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,10 +34,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import checked, settle, table
+from lodestrata.llm.ngram_lm import pack_counts, pack_keys, unpack_counts, unpack_keys
 
 SHARDS = 16
 SUPPORT, MOST_WORDS, TOP = 100, 5, 2000
-TOKENS_AT_ONCE = 2_000_000
+TOKENS_AT_ONCE = 500_000
+#: Hashes of phrases have so many bits; so many of them are summed in one group of a shard.
+HASH_BITS, HASHES_A_GROUP = 48, 1_000_000
 #: A bitmap has 16 bits for each phrase, up to 2**27 bits (16 MB); beyond that more phrases are counted in vain.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 BREAK = b"\xff"  # in no UTF-8 text
@@ -72,8 +78,10 @@ def tokenized(docs: DataFrame, others: frozenset = frozenset()) -> DataFrame:
         codes = np.concatenate(held)
         words = list(known)[1:]
         counts = np.bincount(codes, minlength=len(known))[1:]
-        ids = [_id(lang, w, others) for w in words]
-        return pa.RecordBatch.from_pydict({"lang": [lang], "codes": [codes.tobytes()], "ids": [ids], "words": [words], "counts": [counts.tolist()]}, schema=pa.schema([("lang", pa.string()), ("codes", pa.binary()), ("ids", pa.list_(pa.int64())), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]))
+        ids = np.fromiter((_id(lang, w, others) for w in words), np.int64, len(words))
+        ends = pa.array([0, len(words)], pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((ids, pa.int64()), (words, pa.binary()), (counts, pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([codes.tobytes()], pa.binary()), *lists], names=["lang", "codes", "ids", "words", "counts"])
 
     def run(batches):
         held: dict[str, tuple[list, _Codes]] = {}
@@ -123,7 +131,7 @@ def _mix(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
-    return x.view(np.int64)
+    return (x >> np.uint64(64 - HASH_BITS)).view(np.int64)
 
 
 def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -145,6 +153,51 @@ def places(codes: np.ndarray, ids: np.ndarray, bitmaps: list[np.ndarray], upto:
             at, h = at[kept], h[kept]
 
 
+def mined(chunks: DataFrame, bitmaps: list[np.ndarray], m: int, least: dict[int, int], tokens: int) -> DataFrame:
+    """h: the hashes of m-word phrases that occur in a shard as often as ``least`` says for it."""
+    shared = chunks.sparkSession.sparkContext.broadcast(bitmaps)  # each of at most MOST_BITS
+    bits = max(3, (tokens // (SHARDS * HASHES_A_GROUP)).bit_length())
+    bounds = np.arange(1, 1 << bits, dtype=np.int64) << (HASH_BITS - bits)
+
+    def run(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        n = 0
+
+        def flush():
+            for shard, some in held.items():
+                keys, counts = np.unique(np.concatenate(some), return_counts=True)
+                cut = [0, *np.searchsorted(keys, bounds), len(keys)]
+                rows = [(p, pack_keys(keys[a:z]), pack_counts(counts[a:z])) for p, (a, z) in enumerate(zip(cut, cut[1:])) if a < z]
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int32()), pa.array([p for p, _, _ in rows], pa.int32()), pa.array([k for _, k, _ in rows], pa.binary()), pa.array([c for _, _, c in rows], pa.binary())], names=["shard", "part", "keys", "counts"])
+
+        for shard, codes, ids in _chunks(batches):
+            for k, at, h in places(codes, ids, shared.value, m):
+                if k == m and len(h):
+                    held.setdefault(shard, []).append(h)
+                    n += len(h)
+            if n >= 4 * TOKENS_AT_ONCE:
+                yield from flush()
+                held, n = {}, 0
+        yield from flush()
+
+    def add_up(key, pdf):
+        keys, counts = np.concatenate([unpack_keys(k, np.int64) for k in pdf["keys"]]), np.concatenate([unpack_counts(c) for c in pdf["counts"]])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return pd.DataFrame({"h": keys[first][np.add.reduceat(counts, first) >= least[key[0]]]})
+
+    packed = chunks.select("shard", "codes", "ids").mapInArrow(run, "shard int, part int, keys binary, counts binary")
+    return packed.groupBy("shard", "part").applyInPandas(add_up, "h long").distinct()
+
+
+def _chunks(batches):
+    """(shard, codes, ids) of each chunk; ids[0] belongs to the break."""
+    for batch in batches:
+        for shard, codes, ids in zip(batch.column(0), batch.column(1), batch.column(2)):
+            yield shard.as_py(), np.frombuffer(codes.as_py(), np.uint32), np.append(0, ids.values.to_numpy()).astype(np.int64)
+
+
 def _sums(m: int, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct phrases (rows of m ids), their hashes and numbers. Two phrases of one hash may come as several rows, and never as one."""
     h, words = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
@@ -156,47 +209,34 @@ def _sums(m: int, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
     return words[first], h[first], np.diff(np.append(first, len(h)))
 
 
-def counted(chunks: DataFrame, bitmaps: list[np.ndarray], only: int | None = None, by: tuple[str, ...] = ("shard", "words")) -> DataFrame:
-    """shard (or not), words, h, n: the phrases of ``only`` so many words whose parts are in the bitmaps; without ``only``, of all lengths, those in the bitmaps themselves."""
-    shared = chunks.sparkSession.sparkContext.broadcast(bitmaps)  # each of at most MOST_BITS
-
-    def emit(held):
-        for m, found in held.items():
-            words, h, n = _sums(m, found)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(h) * m + 1, m, dtype=np.int32)), pa.array(words.ravel()))
-            yield m, flat, h, n
+def counted(chunks: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
+    """words, h, n: how often each phrase occurs whose hash is in the bitmap of its length."""
+    shared = chunks.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches):
-        maps = shared.value
-        upto = only or len(maps)
-        held: dict[int, dict[int, list]] = {}
+        held: dict[int, list] = {}
         n = 0
 
         def flush():
-            for shard, per in held.items():
-                for _, flat, h, k in emit(per):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard, np.int32)), flat, pa.array(h), pa.array(k)], names=["shard", "words", "h", "n"])
-
-        for batch in batches:
-            for shard, codes, ids in zip(batch.column(0), batch.column(1), batch.column(2)):
-                codes = np.frombuffer(codes.as_py(), np.uint32)
-                ids = np.concatenate([[0], ids.values.to_numpy()]).astype(np.int64)
-                for m, at, h in places(codes, ids, maps, upto):
-                    if only is None:
-                        kept = _in(maps[m - 1], h)
-                        at, h = at[kept], h[kept]
-                    if len(at) and m == (only or m):
-                        words = ids[codes[at[:, None] + np.arange(m)]]
-                        held.setdefault(shard.as_py(), {}).setdefault(m, []).append((h, words))
-                        n += len(at)
-                if n >= TOKENS_AT_ONCE:
-                    yield from flush()
-                    held.clear()
-                    n = 0
+            for m, found in held.items():
+                words, h, k = _sums(m, found)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(h) * m + 1, m, dtype=np.int32)), pa.array(words.ravel()))
+                yield pa.RecordBatch.from_arrays([flat, pa.array(h), pa.array(k)], names=["words", "h", "n"])
+
+        for _, codes, ids in _chunks(batches):
+            for m, at, h in places(codes, ids, shared.value, len(shared.value)):
+                kept = _in(shared.value[m - 1], h)
+                at, h = at[kept], h[kept]
+                if len(at):
+                    held.setdefault(m, []).append((h, ids[codes[at[:, None] + np.arange(m)]]))
+                    n += len(at)
+            if n >= 2 * TOKENS_AT_ONCE:
+                yield from flush()
+                held, n = {}, 0
         yield from flush()
 
-    found = chunks.select("shard", "codes", "ids").mapInArrow(run, "shard int, words array<long>, h long, n long")
-    return found.groupBy(*by).agg(F.first("h").alias("h"), F.sum("n").alias("n"))
+    found = chunks.select("shard", "codes", "ids").mapInArrow(run, "words array<long>, h long, n long")
+    return found.groupBy("words").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
 
 
 def bitmap_of(hashes: DataFrame, n: int) -> np.ndarray:
@@ -218,14 +258,14 @@ def frequent(docs: DataFrame, support: int = SUPPORT, most_words: int = MOST_WOR
     bitmaps = [bitmap_of(often.select(F.col("id").alias("h")), often.count())]
     sizes = {r.shard: r.n for r in chunks.groupBy("shard").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()}  # SHARDS rows
     total = sum(sizes.values())
-    least = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, max(1, -(-support * n // max(total, 1))))]) if sizes else F.create_map(F.lit(0), F.lit(1))
+    least = {s: -(-support * n // total) if total else 1 for s, n in sizes.items()}
     candidates = None
     for m in range(2, most_words + 1):
-        local = settle(counted(chunks, bitmaps, m).filter(F.col("n") >= least[F.col("shard")]).select("words", "h").distinct(), "phrase-local")
+        local = settle(mined(chunks, bitmaps, m, least, total), "phrase-local")
         bitmaps.append(bitmap_of(local, local.count()))
-        candidates = local.select("words") if candidates is None else candidates.unionAll(local.select("words"))
-    everywhere = counted(chunks, bitmaps, by=("words",)).filter(F.col("n") >= support)
-    phrases = everywhere.join(candidates.hint("merge"), "words", "left_semi").select("words", F.col("n").alias("a"))
+        candidates = local if candidates is None else candidates.unionAll(local)
+    everywhere = counted(chunks, bitmaps).filter(F.col("n") >= support)
+    phrases = everywhere.join(candidates.hint("merge"), "h", "left_semi").select("words", F.col("n").alias("a"))
     return settle(phrases.unionAll(often.select(F.array("id"), "n")), "phrase-frequent"), often
 
 

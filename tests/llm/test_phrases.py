@@ -74,14 +74,19 @@ def test_local_mining_is_complete_at_the_lowered_support(spark):
     often = words.filter("n >= 5")
     maps = [phrases.bitmap_of(often.select(F.col("id").alias("h")), often.count())]
     names = {r.id: (r.lang, bytes(r.word)) for r in words.collect()}
-    got = {(r.shard, tuple(names[x] for x in r.words)): r.n for r in phrases.counted(chunks, maps, 2).collect()}
     frequent = {(o.lang, bytes(o.word)) for o in often.collect()}
-    want = Counter()
+    want, ids = Counter(), {w: x for x, w in names.items()}
     for r in chunks.collect():
         codes = phrases.np.frombuffer(r.codes, phrases.np.uint32).tolist()
         pairs = [tuple((r.lang, bytes(r.words[x - 1])) for x in p) for p in zip(codes, codes[1:]) if all(p)]
-        want.update((r.shard, p) for p in pairs if frequent.issuperset(p))
-    assert {k: n for k, n in got.items() if frequent.issuperset(k[1])} == want
+        want.update((r.shard, p) for p in pairs)
+    np = phrases.np
+    least = {s: 1 + s for s in range(phrases.SHARDS)}
+    got = {r.h for r in phrases.mined(chunks, maps, 2, least, 1000).collect()}
+    hashed = lambda p: int(phrases._mix(np.array([ids[p[0]]]), np.array([ids[p[1]]]))[0])
+    local = {p for (s, p), n in want.items() if n >= least[s]}
+    # a false hit of the bitmap may let a pair with a rare word through, if that is frequent too
+    assert set() < {hashed(p) for p in local if frequent.issuperset(p)} <= got <= {hashed(p) for p in local}
 
 
 def test_bitmap(spark):
