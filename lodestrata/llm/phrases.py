@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import checked, settle, table
 from lodestrata.llm.ngram_lm import pack_counts, pack_keys, unpack_counts, unpack_keys
 
-SHARDS = 16
+SHARDS = 4
 SUPPORT, MOST_WORDS, TOP = 100, 5, 2000
 TOKENS_AT_ONCE = 500_000
 #: Hashes of phrases have so many bits; so many of them are summed in one group of a shard.
@@ -198,20 +198,21 @@ def _chunks(batches):
             yield shard.as_py(), np.frombuffer(codes.as_py(), np.uint32), np.append(0, ids.values.to_numpy()).astype(np.int64)
 
 
-def _sums(m: int, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct phrases (rows of m ids), their hashes and numbers. Two phrases of one hash may come as several rows, and never as one."""
-    h, words = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
-    order = np.argsort(h, kind="stable")
-    h, words = h[order], words[order]
+def _sums(h: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct phrases (rows of ids) in the order of their hashes, and the sums of their counts."""
+    order = np.lexsort((*words.T, h))
+    h, words, counts = h[order], words[order], counts[order]
     new = np.ones(len(h), bool)
     new[1:] = (words[1:] != words[:-1]).any(1)
     first = np.flatnonzero(new)
-    return words[first], h[first], np.diff(np.append(first, len(h)))
+    return h[first], words[first], np.add.reduceat(counts, first)
 
 
-def counted(chunks: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
-    """words, h, n: how often each phrase occurs whose hash is in the bitmap of its length."""
+def counted(chunks: DataFrame, bitmaps: list[np.ndarray], least: int, tokens: int) -> DataFrame:
+    """words, h, n: how often each phrase occurs whose hash is in the bitmap of its length, where that is ``least`` or more."""
     shared = chunks.sparkSession.sparkContext.broadcast(bitmaps)
+    bits = max(5, (tokens // HASHES_A_GROUP).bit_length())
+    bounds = np.arange(1, 1 << bits, dtype=np.int64) << (HASH_BITS - bits)
 
     def run(batches):
         held: dict[int, list] = {}
@@ -219,9 +220,11 @@ def counted(chunks: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
 
         def flush():
             for m, found in held.items():
-                words, h, k = _sums(m, found)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(h) * m + 1, m, dtype=np.int32)), pa.array(words.ravel()))
-                yield pa.RecordBatch.from_arrays([flat, pa.array(h), pa.array(k)], names=["words", "h", "n"])
+                h, words, counts = _sums(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]), np.ones(sum(len(a) for a, _ in found), np.int64))
+                cut = [0, *np.searchsorted(h, bounds), len(h)]
+                rows = [(p, pack_keys(h[a:z]), words[a:z].tobytes(), pack_counts(counts[a:z])) for p, (a, z) in enumerate(zip(cut, cut[1:])) if a < z]
+                part, keys, flat, sums = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array([m] * len(rows), pa.int32()), pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(flat, pa.binary()), pa.array(sums, pa.binary())], names=["m", "part", "keys", "words", "counts"])
 
         for _, codes, ids in _chunks(batches):
             for m, at, h in places(codes, ids, shared.value, len(shared.value)):
@@ -235,8 +238,14 @@ def counted(chunks: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
                 held, n = {}, 0
         yield from flush()
 
-    found = chunks.select("shard", "codes", "ids").mapInArrow(run, "words array<long>, h long, n long")
-    return found.groupBy("words").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
+    def add_up(key, pdf):
+        parts = [np.concatenate(x) for x in ([unpack_keys(k, np.int64) for k in pdf["keys"]], [np.frombuffer(w, np.int64).reshape(-1, key[0]) for w in pdf["words"]], [unpack_counts(c) for c in pdf["counts"]])]
+        h, words, n = _sums(*parts)
+        kept = n >= least
+        return pd.DataFrame({"words": list(words[kept]), "h": h[kept], "n": n[kept]})
+
+    packed = chunks.select("shard", "codes", "ids").mapInArrow(run, "m int, part int, keys binary, words binary, counts binary")
+    return packed.groupBy("m", "part").applyInPandas(add_up, "words array<long>, h long, n long")
 
 
 def bitmap_of(hashes: DataFrame, n: int) -> np.ndarray:
@@ -264,7 +273,7 @@ def frequent(docs: DataFrame, support: int = SUPPORT, most_words: int = MOST_WOR
         local = settle(mined(chunks, bitmaps, m, least, total), "phrase-local")
         bitmaps.append(bitmap_of(local, local.count()))
         candidates = local if candidates is None else candidates.unionAll(local)
-    everywhere = counted(chunks, bitmaps).filter(F.col("n") >= support)
+    everywhere = counted(chunks, bitmaps, support, total)
     phrases = everywhere.join(candidates.hint("merge"), "h", "left_semi").select("words", F.col("n").alias("a"))
     return settle(phrases.unionAll(often.select(F.array("id"), "n")), "phrase-frequent"), often
 
