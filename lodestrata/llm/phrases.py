@@ -242,7 +242,7 @@ def counted(chunks: DataFrame, bitmaps: list[np.ndarray], least: int, tokens: in
         parts = [np.concatenate(x) for x in ([unpack_keys(k, np.int64) for k in pdf["keys"]], [np.frombuffer(w, np.int64).reshape(-1, key[0]) for w in pdf["words"]], [unpack_counts(c) for c in pdf["counts"]])]
         h, words, n = _sums(*parts)
         kept = n >= least
-        return pd.DataFrame({"words": list(words[kept]), "h": h[kept], "n": n[kept]})
+        return pd.DataFrame({"words": pd.Series(list(words[kept]), dtype=object), "h": h[kept], "n": n[kept]})
 
     packed = chunks.select("shard", "codes", "ids").mapInArrow(run, "m int, part int, keys binary, words binary, counts binary")
     return packed.groupBy("m", "part").applyInPandas(add_up, "words array<long>, h long, n long")
