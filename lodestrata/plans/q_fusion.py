@@ -252,31 +252,6 @@ def judge_average(spark, sf_dir):
     return spark_view(spark, sf_dir, "gate_input").select("query_id", "turn", F.round(mean, 3).cast("double").alias("average_score"), F.round(mean / 5, 3).cast("double").alias("scaled"))
 
 
-_AVG = "(faithfulness + answer_relevancy + context_precision + citation_grounding) / 4.0"
-#: The ladder's rules in order, in SQL that both engines read.
-_LADDER = [
-    ("NOT needs_correction AND overall_verdict = 'pass'", "stop_accept"),
-    (f"NOT needs_correction AND overall_verdict IN ('pass', 'borderline') AND {_AVG} >= 3.75 AND faithfulness >= 4 AND answer_relevancy >= 4 AND citation_grounding >= 4", "stop_accept"),
-    ("total_rounds_used >= 2", "stop_best_effort"),
-    ("overall_verdict IN ('fail', 'borderline') AND answer_relevancy <= 3 AND repairs_used < 1", "answer_regeneration_only"),
-    ("overall_verdict = 'fail' AND (faithfulness <= 2 OR context_precision <= 2) AND repairs_used < 1", "full_pipeline_rerun_once"),
-    ("needs_correction AND repairs_used < 1", "targeted_answer_repair"),
-    ("overall_verdict = 'borderline' AND citation_grounding <= 3 AND repairs_used < 1", "citation_strict_repair"),
-]
-_ACTION = "CASE " + " ".join(f"WHEN {r} THEN '{a}'" for r, a in _LADDER) + " ELSE 'stop_best_effort' END"
-
-
-@register("runtime_gate", with_views(f"SELECT query_id, turn, {_ACTION} AS action FROM gate_input", "gate_input"))
-def runtime_gate(spark, sf_dir):
-    return spark_view(spark, sf_dir, "gate_input").select("query_id", "turn", F.expr(_ACTION).alias("action"))
-
-
-@register("gate_rounds", with_views(f"SELECT query_id, count(*) AS rounds, count(*) FILTER ({_ACTION} = 'stop_accept') AS accepted, arg_max({_ACTION}, turn) AS last_action FROM gate_input GROUP BY query_id", "gate_input"))
-def gate_rounds(spark, sf_dir):
-    rows = runtime_gate(spark, sf_dir)
-    return rows.groupBy("query_id").agg(F.count("*").alias("rounds"), F.count_if(F.col("action") == "stop_accept").alias("accepted"), F.max_by("action", "turn").alias("last_action"))
-
-
 _REPAIR = "CASE WHEN NOT needs_correction THEN 'no_op' WHEN context_precision <= 2 THEN 'targeted_coverage_repair' WHEN faithfulness <= 2 THEN 'conflict_aware_regeneration' WHEN citation_grounding <= 3 THEN 'citation_strict_regeneration' ELSE 'general_grounded_regeneration' END"
 
 

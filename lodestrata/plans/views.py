@@ -65,7 +65,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
     ),
     "gate_input": (
         (),
-        "SELECT conv_id AS query_id, turn, 1 + (conv_id + turn) % 5 AS faithfulness, 1 + (conv_id * 3 + turn) % 5 AS answer_relevancy, 1 + (conv_id + 2 * turn) % 5 AS context_precision, 1 + (2 * conv_id + turn) % 5 AS citation_grounding, CASE (conv_id + turn) % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'borderline' ELSE 'fail' END AS overall_verdict, turn % 2 AS repairs_used, turn % 3 AS total_rounds_used, (conv_id % 2 = 0) AS needs_correction FROM conversations WHERE role = 'assistant'",
+        "SELECT conv_id AS query_id, turn, 1 + (conv_id + turn) % 5 AS faithfulness, 1 + (conv_id * 3 + turn) % 5 AS answer_relevancy, 1 + (conv_id + 2 * turn) % 5 AS context_precision, 1 + (2 * conv_id + turn) % 5 AS citation_grounding, CASE (conv_id + turn) % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'borderline' ELSE 'fail' END AS overall_verdict, turn % 2 AS repairs_used, turn % 3 AS total_rounds_used, (conv_id % 2 = 0) AS needs_correction, turn % 5 % 2 AS answer_regenerations_used, (turn + 1) % 2 AS pipeline_reruns_used, turn % 4 % 3 AS actions_taken, CASE WHEN turn % 3 = 0 THEN NULL ELSE CAST(conv_id % 5 AS DOUBLE) END AS last_score, (conv_id * 7 + turn) % 11 = 0 AS missing_inline, (conv_id + 5 * turn) % 13 = 0 AS inline_not_declared, (conv_id * 3 + turn) % 7 = 0 AS unknown_used, (conv_id + turn) % 4 = 1 AS unanswered, (conv_id + turn) % 4 IN (1, 2) AS coverage_gap FROM conversations WHERE role = 'assistant'",
+        None,
+    ),
+    # the answers of a conversation are the rounds of one question; no more than three can count
+    "gate_rounds_input": (
+        (),
+        "SELECT conv_id AS query_id, CAST(n - 1 AS INTEGER) AS round, 1 + (conv_id + turn) % 5 AS faithfulness, 1 + (conv_id * 3 + turn) % 5 AS answer_relevancy, 1 + (conv_id + 2 * turn) % 5 AS context_precision, 1 + (2 * conv_id + turn) % 5 AS citation_grounding, CASE (conv_id + n) % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'borderline' ELSE 'fail' END AS overall_verdict, (conv_id % 2 = 0) AS needs_correction, (conv_id * 7 + turn) % 11 = 0 AS missing_inline, (conv_id + 5 * turn) % 13 = 0 AS inline_not_declared, (conv_id * 3 + turn) % 7 = 0 AS unknown_used, (conv_id + turn) % 4 = 1 AS unanswered, (conv_id + turn) % 4 IN (1, 2) AS coverage_gap FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations WHERE role = 'assistant') t WHERE n <= 3",
         None,
     ),
     "query_log": (
@@ -114,6 +120,8 @@ def with_views(sql: str, *names: str) -> str:
         visit(n)
     ctes = [f"{n} AS ({VIEWS[n][2] or VIEWS[n][1]})" for n in order]
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(ctes)}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {', '.join(ctes)}, {body[5:]}"
     return f"WITH {', '.join(ctes)} {body}"
