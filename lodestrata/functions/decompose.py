@@ -74,3 +74,49 @@ def repair_reasons(query: Column, sub_queries: Column, split: Column) -> Column:
         (some(SPLIT_CUE) & ~compares, "multi_intent_subquery"),
     ]
     return F.array_sort(flags(rules))
+
+
+#: What a sub-query asks for, by the first pattern that it has.
+SIGNATURES = [
+    (r"((who is|identify|tell me).*(ceo).*(microsoft|microsoft's))|((who is|identify|tell me).*(microsoft|microsoft's).*(ceo))|((who is|identify|tell me).*(ceo))", "microsoft_ceo"),
+    (r"(revenue growth).*(fy2025)|fy2025.*revenue growth", "microsoft_fy2025_revenue_growth"),
+    (r"(revenue).*(fy2025)|fy2025.*revenue", "microsoft_fy2025_revenue"),
+    (r"(operating income).*(fy2025)|fy2025.*operating income", "microsoft_fy2025_operating_income"),
+    (r"(net income).*(fy2025)|fy2025.*net income", "microsoft_fy2025_net_income"),
+    (r"(cash flow).*(fy2025)|fy2025.*cash flow", "microsoft_fy2025_cash_flow"),
+    (r"cybersecurity risks", "microsoft_fy2025_cybersecurity_risks"),
+    (r"azure growth", "azure_growth"),
+    (r"ai demand", "ai_demand"),
+    (r"compare.*azure.*microsoft 365.*revenue drivers|compare.*revenue drivers.*azure.*microsoft 365", "compare_azure_m365_revenue_drivers"),
+]
+#: Terms that mean the same.
+SAME_TERMS = [("fiscal year 2025", "fy2025"), ("fiscal 2025", "fy2025"), ("microsoft azure", "azure")]
+
+
+def plain_query(x: Column) -> Column:
+    """A sub-query as it is compared with another."""
+    x = F.regexp_replace(F.regexp_replace(F.lower(x), r"^\s+|\s+$", ""), r"[?.!,;:]+$", "")
+    for term, meant in SAME_TERMS:
+        x = F.replace(x, F.lit(term), F.lit(meant))
+    return F.regexp_replace(x, r"\s+", " ")
+
+
+def signature(x: Column) -> Column:
+    """What a sub-query asks for; its plain form where no pattern says."""
+    plain = plain_query(x)
+    out = plain
+    for pattern, name in reversed(SIGNATURES):
+        out = F.when(plain.rlike(pattern), F.lit(name)).otherwise(out)
+    return out
+
+
+def decomposition_eval(rows: DataFrame, actual: str, expected: str, needs: str, gold_needs: str) -> DataFrame:
+    """Adds missing and extra sub-queries in plain form, semantic_missing and semantic_extra by signature, passed (by signature) and exact_passed."""
+    from lodestrata.operators.evaluation import list_checks
+
+    plain = {"_a": F.transform(actual, plain_query), "_e": F.transform(expected, plain_query)}
+    rows = rows.withColumns(plain).withColumns({"_sa": F.transform(actual, signature), "_se": F.transform(expected, signature)})
+    rows = list_checks(list_checks(rows, "_a", "_e", ""), "_sa", "_se", "_s").withColumnsRenamed({"missing_s": "semantic_missing", "extra_s": "semantic_extra"})
+    same = F.col(needs).eqNullSafe(F.col(gold_needs))
+    none = lambda *cs: (F.size(cs[0]) == 0) & (F.size(cs[1]) == 0)
+    return rows.withColumns({"passed": same & none("semantic_missing", "semantic_extra"), "exact_passed": same & none("missing", "extra")}).drop("_a", "_e", "_sa", "_se")

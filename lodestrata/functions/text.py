@@ -70,6 +70,14 @@ def graph_tokens(text: Column) -> Column:
     return F.transform(kept, graph_stem)
 
 
+def extraction_text(text: Column) -> Column:
+    """Extracted names, evidence and passages as they are compared: like ``graph_text``, but dashes stay."""
+    text = F.lower(text)
+    for bad, good in (("â€™", "'"), ("’", "'"), ("—", "-"), ("–", "-")):
+        text = F.replace(text, F.lit(bad), F.lit(good))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9$%+\-./ ]+", " "), r"\s+", " "))
+
+
 def clean_name(name: Column) -> Column:
     name = F.regexp_replace(stripped(name), r"\s+", " ")
     for bad, good in (("â€™", "'"), ("’", "'"), ("—", "-"), ("–", "-")):

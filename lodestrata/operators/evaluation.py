@@ -66,3 +66,67 @@ def routing_eval(routes: DataFrame, must: list[str], must_not: list[str]) -> Dat
     arr = lambda xs: F.array(*[F.lit(x) for x in xs])
     missing, forbidden = F.size(F.array_except(arr(must), "sources")), F.size(F.array_intersect(F.col("sources"), arr(must_not)))
     return routes.select("query_id", missing.cast("long").alias("missing"), forbidden.cast("long").alias("forbidden"), ((missing == 0) & (forbidden == 0)).alias("passed"))
+
+
+def set_recall(gold: DataFrame, found: DataFrame, case: str, item: list[str]) -> DataFrame:
+    """case, expected, actual, matched: how many distinct items of a case the gold table has, the prediction has, and both. Cases of either."""
+    one = lambda df, name: df.select(case, *item).distinct().withColumn(name, F.lit(1))
+    both = one(gold, "_g").join(one(found, "_f").hint("merge"), [case, *item], "full")
+    return both.groupBy(case).agg(F.count("_g").alias("expected"), F.count("_f").alias("actual"), F.count_if(F.col("_g").isNotNull() & F.col("_f").isNotNull()).alias("matched"))
+
+
+def triple(source: str, relation: str, target: str, clean) -> list[Column]:
+    """A relation as it is compared: the ends by their cleaned names, the type in lower case."""
+    return [clean(F.col(source)).alias("source"), F.lower(F.trim(relation)).alias("relation_type"), clean(F.col(target)).alias("target")]
+
+
+def graph_eval(cases: DataFrame, nodes: DataFrame, relations: DataFrame, top_nodes: DataFrame, top_edges: DataFrame, clean) -> DataFrame:
+    """cases: case; gold nodes (case, name) and relations (case, source, relation_type, target) against what was retrieved: nodes and the ends of
+    edges count as nodes. A case passes if all of its nodes and relations are there."""
+    ends = top_edges.select("case", F.explode(F.array("source", "target")).alias("name"))
+    said = top_nodes.select("case", "name").union(ends)
+    names = lambda df: df.select("case", clean(F.col("name")).alias("name"))
+    triples = lambda df: df.select("case", *triple("source", "relation_type", "target", clean))
+    n = set_recall(names(nodes), names(said), "case", ["name"]).select("case", F.col("expected").alias("expected_node_count"), F.col("matched").alias("node_hit_count"))
+    r = set_recall(triples(relations), triples(top_edges), "case", ["source", "relation_type", "target"]).select("case", F.col("expected").alias("expected_relation_count"), F.col("matched").alias("relation_hit_count"))
+    got = cases.select("case").join(n.hint("merge"), "case", "left").join(r.hint("merge"), "case", "left").na.fill(0)
+    return got.withColumn("passed", (F.col("node_hit_count") == F.col("expected_node_count")) & (F.col("relation_hit_count") == F.col("expected_relation_count")))
+
+
+def extraction_eval(gold_entities: DataFrame, gold_relations: DataFrame, entities: DataFrame, relations: DataFrame, passages: DataFrame, clean) -> DataFrame:
+    """Precision, recall and grounding of extracted entities (case, name, evidence, ord) and relations (case, source, relation_type, target, evidence, ord)
+    against gold ones, and their weighted quality. Of equal extractions the first counts; one is grounded if its evidence is in the case's passage (case, text). A
+    share of nothing is 0."""
+    entities = entities.select("case", clean(F.col("name")).alias("name"), "evidence", "ord").filter("name <> ''")
+    relations = relations.select("case", *triple("source", "relation_type", "target", clean), "evidence", "ord")
+    passages = passages.select("case", clean(F.col("text")).alias("text"))
+
+    def part(gold: DataFrame, found: DataFrame, item: list[str], name: str) -> DataFrame:
+        first = found.groupBy("case", *item).agg(F.min_by("evidence", F.struct("ord", "evidence")).alias("evidence"))
+        said = clean(F.coalesce("evidence", F.lit("")))
+        per = first.groupBy("case", said.alias("said")).agg(F.count("*").alias("n")).join(passages.hint("merge"), "case", "left")
+        grounded = per.groupBy("case").agg(F.coalesce(F.sum(F.when((F.col("said") != "") & F.col("text").contains(F.col("said")), F.col("n"))), F.lit(0)).alias("grounded"))
+        counts = set_recall(gold, first, "case", item).join(grounded.hint("merge"), "case", "left")
+        share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+        return counts.select("case", F.col("expected").alias(f"expected_{name}_count"), F.col("actual").alias(f"actual_{name}_count"), share("matched", "actual").alias(f"{name}_precision"), share("matched", "expected").alias(f"{name}_recall"), share("grounded", "actual").alias(f"{name}_grounding_precision"))
+
+    e = part(gold_entities.select("case", clean(F.col("name")).alias("name")), entities, ["name"], "entity")
+    r = part(gold_relations.select("case", *triple("source", "relation_type", "target", clean)), relations, ["source", "relation_type", "target"], "relation")
+    both = e.join(r.hint("merge"), "case", "full").na.fill(0)
+    #: The weights of the quality score.
+    weights = [("entity_recall", 0.30), ("relation_recall", 0.25), ("entity_precision", 0.15), ("relation_precision", 0.10), ("entity_grounding_precision", 0.10), ("relation_grounding_precision", 0.10)]
+    quality = sum((F.col(c) * w for c, w in weights[1:]), F.col(weights[0][0]) * weights[0][1])
+    out = both.withColumn("quality_score", quality)
+    return out.select("case", *[c for c in both.columns if c.endswith("_count")], *[F.round(F.round(c, 12), 4).alias(c) for c in out.columns if c.endswith(("_precision", "_recall", "_score"))])
+
+
+def field_checks(rows: DataFrame, fields: list[str], gold: str = "gold_") -> DataFrame:
+    """Whether each field equals the gold field of its name, two nulls too, and whether all do."""
+    same = {f"{f}_ok": F.col(f).eqNullSafe(F.col(f"{gold}{f}")) for f in fields}
+    return rows.withColumns(same).withColumn("passed", F.forall(F.array(*[F.col(c) for c in same]), lambda x: x))
+
+
+def list_checks(rows: DataFrame, actual: str, expected: str, name: str) -> DataFrame:
+    """Adds missing{name} and extra{name}: the expected items that are not among the actual ones, and the reverse, in their order, repeated ones too."""
+    without = lambda a, b: F.filter(a, lambda x: ~F.array_contains(b, x))
+    return rows.withColumns({f"missing{name}": without(F.col(expected), F.col(actual)), f"extra{name}": without(F.col(actual), F.col(expected))})

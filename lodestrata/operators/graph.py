@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from lodestrata.operators.retrieval import top_k
 
 #: Up to so many nodes (some 50 bytes each) are broadcast.
 FEW_NODES = 100_000
+#: Phrases of so many characters in all go into one automaton that is broadcast (some 100 bytes a character at most).
+PHRASE_CHARACTERS = 1_000_000
 #: The entity and relation types of the graph.
 HIGH_VALUE_TYPES = ["organization", "segment", "product_or_service", "technology_or_platform", "regulatory_or_external_body", "geography"]
 CONDITIONAL_TYPES = ["initiative_or_strategy", "risk_or_issue", "financial_or_business_concept", "time_period", "other"]
@@ -136,14 +140,51 @@ def rejection_counts(checked: DataFrame, kind: str) -> DataFrame:
 
 
 def contained(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """texts: id, text; phrases: phrase, and others -> id and the columns of phrases for each phrase that a text contains: an equi-join with the
-    texts' distinct substrings of the lengths that phrases have. Empty phrases are in no text."""
-    phrases = phrases.filter("phrase <> ''")
+    """texts: id (of any type), text; phrases: phrase, and others -> id and the columns of phrases for each phrase that a text contains. Empty phrases are in no text.
+
+    Up to PHRASE_CHARACTERS the distinct phrases make one automaton, which is broadcast; a text is read once, and only hits leave the task.
+    Beyond that the texts' substrings are joined to the phrases.
+    """
+    phrases = settled(phrases.filter("phrase <> ''"))
+    distinct = phrases.select("phrase").distinct()
+    size = distinct.agg(F.sum(F.length("phrase"))).first()[0] or 0
+    if size > PHRASE_CHARACTERS:
+        hits = _substrings(texts, phrases)
+    else:
+        hits = _automaton_hits(texts, [r.phrase for r in distinct.collect()])
+    return hits.join(phrases.hint("merge"), "phrase")
+
+
+def _automaton_hits(texts: DataFrame, phrases: list[str]) -> DataFrame:
+    """id, phrase: each phrase that a text contains, once. The automaton (goto, failure and output links) finds all phrases in one pass over a text."""
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select("id").schema)
+    if not phrases:
+        return texts.select("id", F.col("text").alias("phrase")).limit(0)
+    machine = ahocorasick.Automaton()
+    for x in phrases:
+        machine.add_word(x, x)
+    machine.make_automaton()
+    shared = texts.sparkSession.sparkContext.broadcast(machine)
+
+    def scan(batches):
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                some = sorted({x for _, x in shared.value.iter(text)}) if text else []
+                at.extend([i] * len(some))
+                found.extend(some)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], names=["id", "phrase"])
+
+    return texts.select("id", "text").mapInArrow(scan, f"{shape}, phrase string")
+
+
+def _substrings(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """id, phrase by an equi-join with the texts' distinct substrings of the lengths that phrases have."""
     lengths = sorted(r[0] for r in phrases.select(F.length("phrase")).distinct().collect())
     starts = texts.filter("text <> ''").select("id", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("start"))
     sizes = starts.select("*", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("size")).filter("start + size - 1 <= length(text)")
     parts = sizes.select("id", F.expr("substring(text, start, size)").alias("phrase")).distinct()
-    return parts.join(phrases.hint("merge"), "phrase")
+    return parts.join(phrases.select("phrase").distinct().hint("merge"), "phrase", "left_semi")
 
 
 def _said_anywhere(q: DataFrame, n: DataFrame) -> DataFrame:
@@ -179,8 +220,19 @@ def neighborhood(edges: DataFrame, top: DataFrame) -> DataFrame:
     return ends[0].unionByName(ends[1]).dropDuplicates(["query_id", "edge_no"])
 
 
-def edge_topk(queries: DataFrame, edges: DataFrame, top: DataFrame, nodes: DataFrame, k: int = 8) -> DataFrame:
-    near = neighborhood(edges, top)
+def edge_snippets(relations: DataFrame, k: int = 2) -> DataFrame:
+    """source_key, relation_type, target_key, snippets: the k earliest distinct pieces of evidence of an edge, in order. Equal ones are merged first, and
+    of the rest only k a task and edge are kept, so a hot edge stays small."""
+    equal = relations.groupBy("source", "relation_type", "target", "evidence").agg(F.min("ord").alias("ord")).filter("evidence is not null")
+    edge = ["source_key", "relation_type", "target_key"]
+    each = equal.withColumns({"source_key": name_key(F.col("source")), "target_key": name_key(F.col("target"))}).groupBy(*edge, "evidence").agg(F.min("ord").alias("ord"))
+    first = top_k(each, edge, [F.col("ord"), F.col("evidence")], k, "n")
+    return first.groupBy(*edge).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "evidence"))), lambda x: x["evidence"]).alias("snippets"))
+
+
+def edge_topk(queries: DataFrame, edges: DataFrame, top: DataFrame, nodes: DataFrame, snippets: DataFrame, k: int = 8) -> DataFrame:
+    """The best edges that touch a query's nodes. snippets: of ``edge_snippets``; their words count like those of the ends' names."""
+    near = neighborhood(edges, top).join(snippets.hint("merge"), ["source_key", "relation_type", "target_key"], "left")
     name = nodes.select("key", "canonical_name")
     near = near.join(name.withColumnsRenamed({"key": "source_key", "canonical_name": "s_name"}).hint("merge"), "source_key").join(name.withColumnsRenamed({"key": "target_key", "canonical_name": "t_name"}).hint("merge"), "target_key")
     q = queries.select("query_id", F.array_distinct(graph_tokens(F.col("query_text"))).alias("q_tokens"), graph_text(F.col("query_text")).alias("q_norm"))
@@ -188,10 +240,11 @@ def edge_topk(queries: DataFrame, edges: DataFrame, top: DataFrame, nodes: DataF
     rows = near.join(q.hint("merge"), "query_id").join(tops.hint("merge"), "query_id")
     said = lambda c: F.when((graph_text(F.col(c)) != "") & F.col("q_norm").contains(graph_text(F.col(c))), 3.0).otherwise(0.0)
     at = lambda c: F.when(F.array_contains("tops", F.col(c)), 1.0).otherwise(0.0)
-    tokens = F.array_union(graph_tokens(F.col("s_name")), graph_tokens(F.col("t_name")))
+    told = F.flatten(F.transform(F.coalesce("snippets", F.array().cast("array<string>")), graph_tokens))
+    tokens = F.array_union(F.array_union(graph_tokens(F.col("s_name")), graph_tokens(F.col("t_name"))), told)
     score = 1.5 * F.size(F.array_intersect("q_tokens", tokens)) + said("s_name") + said("t_name") + at("source_key") + at("target_key") + 0.2 * F.least("mention_count", F.lit(3))
     rows = rows.withColumn("score", F.round(score, 4)).filter("score > 0").withColumn("edge_id", F.concat(F.lit("edge_"), F.col("edge_no").cast("string")))
-    return top_k(rows, ["query_id"], [F.col("score").desc(), F.col("mention_count").desc(), F.col("edge_id")], k).select("query_id", "edge_id", "source_key", "relation_type", "target_key", "score", "rk")
+    return top_k(rows, ["query_id"], [F.col("score").desc(), F.col("mention_count").desc(), F.col("edge_id")], k).select("query_id", "edge_id", "source_key", "relation_type", "target_key", "score", "rk", "s_name", "t_name")
 
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:

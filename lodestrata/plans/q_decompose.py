@@ -63,8 +63,3 @@ def decomposition_check(spark, sf_dir):
     rows = _decomposed(spark, sf_dir)
     why = D.repair_reasons(F.col("clean"), F.col("sub_queries"), ~F.col("reasoning_type").isin("single_intent", "empty"))
     return rows.select("query_id", why.alias("why")).select("query_id", (F.size("why") > 0).alias("should_repair"), F.array_join("why", "|").alias("reasons"))
-
-
-@register("decomposition_eval", with_views(f"WITH {_SPLIT} SELECT reasoning_type, count(*) AS cases, count(*) FILTER (len(sub_queries) > 1) AS split FROM dec GROUP BY reasoning_type", "query_log"))
-def decomposition_eval(spark, sf_dir):
-    return _decomposed(spark, sf_dir).groupBy("reasoning_type").agg(F.count("*").alias("cases"), F.count_if(F.size("sub_queries") > 1).alias("split"))

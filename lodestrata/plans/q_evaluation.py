@@ -114,12 +114,6 @@ def retrieval_eval(spark, sf_dir):
     return E.retrieval_eval(texts, want)
 
 
-@register("graph_eval", with_views(f"WITH {q_graph._SCORED} SELECT query_id, count(*) FILTER (starts_with(key, 'nation')) AS node_hits, count(*) FILTER (starts_with(key, 'nation')) = count(*) AS passed FROM top GROUP BY query_id", *q_graph._BOTH, "queries"))
-def graph_eval(spark, sf_dir):
-    hit = F.count_if(F.col("key").startswith("nation"))
-    return q_graph.node_score_topk(spark, sf_dir).groupBy("query_id").agg(hit.alias("node_hits"), (hit == F.count("*")).alias("passed"))
-
-
 @register("result_compare", "WITH a AS (SELECT o_custkey, round(sum(o_totalprice), 4) AS t FROM orders GROUP BY ALL), b AS (SELECT o_custkey, round(sum(CASE WHEN o_orderkey % 97 = 0 THEN 0 ELSE o_totalprice END), 4) AS t FROM orders GROUP BY ALL) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS missing_rows, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS extra_rows")
 def result_compare(spark, sf_dir):
     """Two results as multisets of rows, numbers rounded to 4 digits."""
@@ -134,12 +128,6 @@ def routing_eval(spark, sf_dir):
     return E.routing_eval(q_rules._ruled(spark, sf_dir), ["vector_document"], ["sql_structured"])
 
 
-@register("gating_eval", with_views("SELECT query_id, turn, (faithfulness = answer_relevancy) AS same_score, (overall_verdict = 'pass') = needs_correction AS contradicts, CAST(faithfulness = answer_relevancy AS INT) + CAST(context_precision = citation_grounding AS INT) AS matched FROM gate_input", "gate_input"))
-def gating_eval(spark, sf_dir):
-    same, other = F.col("faithfulness").eqNullSafe(F.col("answer_relevancy")), F.col("context_precision").eqNullSafe(F.col("citation_grounding"))
-    return spark_view(spark, sf_dir, "gate_input").select("query_id", "turn", same.alias("same_score"), ((F.col("overall_verdict") == "pass") == F.col("needs_correction")).alias("contradicts"), (same.cast("int") + other.cast("int")).alias("matched"))
-
-
 @register("answer_eval", with_views(f"SELECT query_id, turn, len({_IDS}) >= 2 AS enough_citations, contains(lower(answer_markdown), 'the') AS phrase_present, len({_IDS}) >= 2 AND contains(lower(answer_markdown), 'the') AS passed FROM answers", "answers"))
 def answer_eval(spark, sf_dir):
     enough, phrase = F.size(q_fusion._ids()) >= 2, F.lower("answer_markdown").contains("the")

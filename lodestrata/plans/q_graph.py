@@ -171,19 +171,25 @@ def neighborhood(spark, sf_dir):
     return G.neighborhood(_edges(spark, sf_dir), G.settled(node_score_topk(spark, sf_dir))).select("query_id", "edge_no", "source_key", "relation_type", "target_key", "mention_count")
 
 
-@register(
-    "edge_score_topk",
-    with_views(
-        f"""WITH {_SCORED}, x AS (SELECT nb.*, s.canonical_name AS sn, t.canonical_name AS tn, qt, qn, (SELECT list(key) FROM top WHERE top.query_id = nb.query_id) AS tops FROM nb JOIN q USING (query_id) JOIN nodes s ON s.key = source_key JOIN nodes t ON t.key = target_key),
-        es AS (SELECT query_id, 'edge_' || CAST(edge_no AS VARCHAR) AS edge_id, source_key, relation_type, target_key, mention_count, CAST(round(1.5 * len(list_intersect(qt, list_concat({_gtokens('sn')}, {_gtokens('tn')}))) + CASE WHEN contains(qn, {_norm('sn')}) THEN 3.0 ELSE 0.0 END + CASE WHEN contains(qn, {_norm('tn')}) THEN 3.0 ELSE 0.0 END
-          + CASE WHEN list_contains(tops, source_key) THEN 1.0 ELSE 0.0 END + CASE WHEN list_contains(tops, target_key) THEN 1.0 ELSE 0.0 END + 0.2 * least(mention_count, 3), 4) AS DOUBLE) AS score FROM x)
-        SELECT query_id, edge_id, source_key, relation_type, target_key, score, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mention_count DESC, edge_id) AS rk FROM es WHERE score > 0) WHERE rk <= 8""",
-        *_BOTH, "queries",
-    ),
-)
-def edge_score_topk(spark, sf_dir):
+_EDGE_SCORED = f"""{_SCORED}, s1 AS (SELECT source_key, relation_type, target_key, evidence, row_number() OVER (PARTITION BY source_key, relation_type, target_key ORDER BY min(ord), evidence) AS n FROM rk GROUP BY source_key, relation_type, target_key, evidence),
+        s2 AS (SELECT source_key, relation_type, target_key, string_agg(evidence, ' ' ORDER BY n) AS said FROM s1 WHERE n <= 2 GROUP BY ALL),
+        x AS (SELECT nb.*, s.canonical_name AS sn, t.canonical_name AS tn, qt, qn, coalesce(said, '') AS said, (SELECT list(key) FROM top WHERE top.query_id = nb.query_id) AS tops FROM nb JOIN q USING (query_id) JOIN nodes s ON s.key = source_key JOIN nodes t ON t.key = target_key LEFT JOIN s2 USING (source_key, relation_type, target_key)),
+        es AS (SELECT query_id, 'edge_' || CAST(edge_no AS VARCHAR) AS edge_id, source_key, relation_type, target_key, mention_count, sn, tn, CAST(round(1.5 * len(list_intersect(qt, list_concat({_gtokens('sn')}, {_gtokens('tn')}, {_gtokens('said')}))) + CASE WHEN contains(qn, {_norm('sn')}) THEN 3.0 ELSE 0.0 END + CASE WHEN contains(qn, {_norm('tn')}) THEN 3.0 ELSE 0.0 END
+          + CASE WHEN list_contains(tops, source_key) THEN 1.0 ELSE 0.0 END + CASE WHEN list_contains(tops, target_key) THEN 1.0 ELSE 0.0 END + 0.2 * least(mention_count, 3), 4) AS DOUBLE) AS score FROM x),
+        tope AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mention_count DESC, edge_id) AS rk FROM es WHERE score > 0) WHERE rk <= 8)"""
+
+
+def _retrieved(spark, sf_dir, queries):
+    """(best nodes, best edges with their ends' names) of the queries."""
     nodes = G.settled(_nodes(spark, sf_dir))
-    return G.edge_topk(_queries(spark, sf_dir), _edges(spark, sf_dir), G.settled(G.node_topk(_queries(spark, sf_dir), nodes)), nodes)
+    top = G.settled(G.node_topk(queries, nodes))
+    edges = G.edge_topk(queries, _edges(spark, sf_dir), top, nodes, G.edge_snippets(spark_view(spark, sf_dir, "relation_mentions")))
+    return top, edges, nodes
+
+
+@register("edge_score_topk", with_views(f"WITH {_EDGE_SCORED} SELECT query_id, edge_id, source_key, relation_type, target_key, score, rk FROM tope", *_BOTH, "queries"))
+def edge_score_topk(spark, sf_dir):
+    return _retrieved(spark, sf_dir, _queries(spark, sf_dir))[1].drop("s_name", "t_name")
 
 
 @register("graph_load_stats", with_views(f"WITH {_EDGES} SELECT (SELECT count(*) FROM nodes) AS node_count, count(*) AS edge_count, count(DISTINCT relation_type) AS relation_types FROM edges", *_BOTH))

@@ -101,19 +101,3 @@ def case_enrich(spark, sf_dir):
     k = F.col("item_id") % 4
     cases = load(spark, sf_dir, "benchmark").select("item_id", F.when(k == 0, "en").when(k == 1, "de").when(k == 2, "fr").otherwise("es").alias("lang"))
     return cases.join(per.hint("merge"), "lang").select("item_id", "lang", "sections", "section_chars")
-
-
-@register(
-    "extraction_eval",
-    with_views(f"WITH {q_graph._KEPT}, g AS (SELECT DISTINCT {q_graph._key('n_name')} AS key FROM nation), f AS (SELECT DISTINCT key FROM kept), h AS (SELECT count(*) AS hits FROM f WHERE key IN (SELECT key FROM g)) SELECT hits, round(hits / (SELECT count(*) FROM f), 6) AS precision_, round(hits / (SELECT count(*) FROM g), 6) AS recall_ FROM h", "entity_mentions"),
-)
-def extraction_eval(spark, sf_dir):
-    """Precision and recall of the extracted entities against the nations."""
-    from lodestrata.functions.text import name_key
-    from lodestrata.operators import graph
-
-    gold = load(spark, sf_dir, "nation").select(name_key(F.col("n_name")).alias("key")).distinct()
-    found = graph.kept_mentions(spark_view(spark, sf_dir, "entity_mentions")).select("key").distinct()
-    both = found.withColumn("f", F.lit(1)).join(gold.withColumn("g", F.lit(1)).hint("merge"), "key", "full")
-    hits = F.count_if(F.col("f").isNotNull() & F.col("g").isNotNull())
-    return both.agg(hits.alias("hits"), F.round(F.try_divide(hits, F.count("f")), 6).alias("precision_"), F.round(F.try_divide(hits, F.count("g")), 6).alias("recall_"))

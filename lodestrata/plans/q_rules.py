@@ -224,10 +224,11 @@ def meta_intent(spark, sf_dir):
     return _log(spark, sf_dir).select("query_id", out.otherwise("none").alias("intent"))
 
 
-@register("meta_answer", "SELECT conv_id, turn, lag(CASE WHEN role = 'user' THEN text END) OVER w AS previous_user, lag(CASE WHEN role = 'assistant' THEN text END) OVER w AS previous_assistant, coalesce(string_agg(role, ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS recap_roles FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@register("meta_answer", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER b AS previous_user, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER b AS previous_assistant, coalesce(string_agg(role, ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS recap_roles FROM conversations WINDOW b AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def meta_answer(spark, sf_dir):
+    """The last turn of each role before a turn, and the roles of the last five."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    said = lambda r: F.lag(F.when(F.col("role") == r, F.col("text"))).over(w)
+    said = lambda r: F.last(F.when(F.col("role") == r, F.col("text")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", said("user").alias("previous_user"), said("assistant").alias("previous_assistant"), F.concat_ws(",", F.collect_list("role").over(w.rowsBetween(-5, -1))).alias("recap_roles"))
 
 

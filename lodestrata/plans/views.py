@@ -74,6 +74,21 @@ VIEWS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
         "SELECT conv_id AS query_id, CAST(n - 1 AS INTEGER) AS round, 1 + (conv_id + turn) % 5 AS faithfulness, 1 + (conv_id * 3 + turn) % 5 AS answer_relevancy, 1 + (conv_id + 2 * turn) % 5 AS context_precision, 1 + (2 * conv_id + turn) % 5 AS citation_grounding, CASE (conv_id + n) % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'borderline' ELSE 'fail' END AS overall_verdict, (conv_id % 2 = 0) AS needs_correction, (conv_id * 7 + turn) % 11 = 0 AS missing_inline, (conv_id + 5 * turn) % 13 = 0 AS inline_not_declared, (conv_id * 3 + turn) % 7 = 0 AS unknown_used, (conv_id + turn) % 4 = 1 AS unanswered, (conv_id + turn) % 4 IN (1, 2) AS coverage_gap FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations WHERE role = 'assistant') t WHERE n <= 3",
         None,
     ),
+    # questions of five kinds over the parts, with what their decomposition and their gates should be: written down here, not taken from the rules
+    "gold_queries": (
+        (),
+        "SELECT p_partkey AS case_id, CASE p_partkey % 5 WHEN 0 THEN concat('What is the retail price of ', p_name, '?') WHEN 1 THEN concat('Show the price of ', p_name, ' and list the suppliers of ', p_name) WHEN 2 THEN concat('Compare revenue growth of ', p_name, ' and fiscal year 2025 revenue of ', p_brand) WHEN 3 THEN concat('Identify fiscal 2025 net income and describe cybersecurity risks of ', p_name) WHEN 4 THEN concat('Explain why its price changed and what that means for ', p_name) END AS query_text, CASE p_partkey % 5 WHEN 0 THEN concat('what is the retail price of ', p_name) WHEN 1 THEN concat('show the price of ', p_name, '|list the suppliers of ', p_name) WHEN 2 THEN concat('revenue growth of ', p_name, '|FY2025 revenue of ', p_brand) WHEN 3 THEN concat('Identify net income in FY2025|What are the cybersecurity risks of ', p_name, '?') WHEN 4 THEN concat('explain why its price changed and what that means for ', p_name) END AS gold_sub_queries, CASE p_partkey % 5 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN true WHEN 4 THEN false END AS gold_needs, CASE p_partkey % 5 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false END AS gold_run_decomposition, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN false END AS gold_run_multi_query, CASE p_partkey % 5 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true END AS gold_run_step_back, CASE p_partkey % 5 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN false END AS gold_run_hyde, CASE p_partkey % 5 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN true END AS gold_is_ambiguous_case, CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 1 END AS gold_estimated_sub_queries FROM part",
+        None,
+    ),
+    # questions about suppliers; what they should find comes from the suppliers' own table, and a fifth expect a relation that the graph lacks
+    "graph_questions": (
+        (),
+        "SELECT s_suppkey AS query_id, CASE s_suppkey % 4 WHEN 0 THEN concat('Which nation includes ', s_name, '?') WHEN 1 THEN concat('What of ', n_name, ' supports ', lower(s_name)) WHEN 2 THEN 'Which suppliers are there?' ELSE concat('Suppliers of ', n_name) END AS query_text, n_name AS nation, CASE s_suppkey % 5 WHEN 4 THEN 'invests_in' ELSE 'includes' END AS relation, s_name AS supplier FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+        None,
+    ),
+    # a case is an order: its passage, and what should be extracted from it by the customers' and suppliers' tables
+    "case_passages": ((), "SELECT o_orderkey AS case_id, concat('Order ', o_orderstatus, ' of ', c_name, ' in ', n_name, ', ', o_orderpriority, ' and of ', c_mktsegment) AS text, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey", None),
+    "case_gold": ((), "SELECT DISTINCT l_orderkey AS case_id, s_name, n_name, l_quantity < 25 AS direct FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_discount < 0.08", None),
     "query_log": (
         (),
         "SELECT concat('b', CAST(item_id AS VARCHAR(20))) AS query_id, text AS query_text FROM benchmark UNION ALL SELECT concat('c', CAST(conv_id AS VARCHAR(20)), '_', CAST(turn AS VARCHAR(20))), text FROM conversations WHERE role = 'user'",
