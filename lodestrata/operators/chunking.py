@@ -19,12 +19,45 @@ def page_stitch(pages: DataFrame, doc: str, page: str, marker: Column, text: str
     return rows.withColumn("character_count", F.length("text").cast("long"))
 
 
+#: Side of the smallest grid cells; a rectangle lies in at most four cells of its level, whose cells have a side of CELL * 2 ** level.
+CELL = 32.0
+
+
+def _celled(rects: DataFrame, most: int) -> DataFrame:
+    """A row for each cell that a rectangle touches, from its own level up to ``most``: own, level, cx, cy."""
+    a, z = lambda c: F.least(f"{c}0", f"{c}1"), lambda c: F.greatest(f"{c}0", f"{c}1")
+    rows = rects.withColumn("own", _level()).withColumn("level", F.explode(F.sequence(F.col("own"), F.lit(most))))
+    for c in ("x", "y"):
+        side = F.lit(CELL) * F.pow(F.lit(2.0), F.col("level"))
+        rows = rows.withColumn(f"c{c}", F.explode(F.sequence(F.floor(a(c) / side), F.floor(z(c) / side))))
+    return rows
+
+
+def _level() -> Column:
+    size = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(CELL)) / CELL))).cast("int")
+
+
+def meeting(blocks: DataFrame, boxes: DataFrame, key: list[str]) -> DataFrame:
+    """The keys of blocks that meet a box of their document: an equi-join on the cells of a grid. A pair is compared at the coarser
+    one of its levels, where each has at most four cells, so neither many small rectangles nor a few that cover a page are compared with all others."""
+    corners = ["x0", "y0", "x1", "y1"]
+    whole = F.forall(F.array(*corners), lambda v: v.isNotNull() & (F.abs(v) < 1e12))
+    b = blocks.select("doc_id", *[k for k in key if k != "doc_id"], *corners).filter(whole)
+    t = boxes.select("doc_id", *corners).filter(whole).distinct()
+    most = max(r[0] or 0 for df in (b, t) for r in df.agg(F.max(_level())).collect())  # one number a side
+    left = _celled(b, most).alias("b")
+    right = _celled(t, most).withColumnsRenamed({c: f"t_{c}" for c in [*corners, "own"]}).alias("t")
+    met = (F.col("x0") < F.col("t_x1")) & (F.col("x1") > F.col("t_x0")) & (F.col("y0") < F.col("t_y1")) & (F.col("y1") > F.col("t_y0"))
+    pairs = left.join(right.hint("merge"), ["doc_id", "level", "cx", "cy"]).filter((F.greatest("own", "t_own") == F.col("level")) & met)
+    return pairs.select(*key).distinct()
+
+
 def layout_block_filter(blocks: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Text blocks that meet no table box of their document, with their place in reading order."""
-    b, t = blocks.alias("b"), boxes.alias("t")
-    meets = (F.col("b.doc_id") == F.col("t.doc_id")) & (F.col("b.x0") < F.col("t.x1")) & (F.col("b.x1") > F.col("t.x0")) & (F.col("b.y0") < F.col("t.y1")) & (F.col("b.y1") > F.col("t.y0"))
+    """Text blocks that meet no table box of their document, with their place in reading order. A block with an unknown corner meets none."""
     order = W.partitionBy("doc_id").orderBy("y0", "x0", "line_no")
-    return b.join(t.hint("merge"), meets, "left_anti").withColumn("reading_order", F.row_number().over(order))
+    met = meeting(blocks, boxes, ["doc_id", "line_no"])
+    return blocks.join(met.hint("merge"), ["doc_id", "line_no"], "left_anti").withColumn("reading_order", F.row_number().over(order))
 
 
 def section_split(lines: DataFrame) -> DataFrame:

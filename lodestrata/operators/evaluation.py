@@ -51,14 +51,53 @@ def retrieval_eval(texts: DataFrame, want: DataFrame) -> DataFrame:
     return got.select("query_id", "hits", "duplicates", F.size(F.filter("terms", lambda t: F.col("found").contains(t))).cast("long").alias("terms_found"))
 
 
-def result_compare(a: DataFrame, b: DataFrame, digits: int = 4) -> DataFrame:
-    """missing_rows, extra_rows of b against a as multisets, in the columns they share, doubles rounded."""
-    shared = [c for c in a.columns if c in b.columns]
-    kinds = dict(a.dtypes)
-    cut = lambda df: df.select(*[F.round(c, digits).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in shared])
-    a, b = cut(a), cut(b)
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    return count(a.exceptAll(b), "missing_rows").join(F.broadcast(count(b.exceptAll(a), "extra_rows")))
+def _differences(a: DataFrame, b: DataFrame, columns: list[str], digits: int) -> DataFrame:
+    """missing_rows (of b), extra_rows: as multisets of rows in the columns, in one shuffle of both sides."""
+    kinds = dict(a.dtypes) | dict(b.dtypes)
+    cut = lambda df, n: df.select(*[F.round(F.col(c).cast("double"), digits).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns], F.lit(n).alias("_n"))
+    left = cut(a, 1).unionByName(cut(b, -1)).groupBy(*columns).agg(F.sum("_n").alias("_n"))
+    return left.agg(F.coalesce(F.sum(F.greatest("_n", F.lit(0))), F.lit(0)).alias("missing_rows"), F.coalesce(F.sum(F.greatest(-F.col("_n"), F.lit(0))), F.lit(0)).alias("extra_rows"))
+
+
+def _placed(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row of a result that is ordered by the columns (each ``name`` or ``name desc``); rows that tie are told apart by their other columns."""
+    from lodestrata.operators.graph import numbered
+
+    signs = df.withColumn("_order", F.struct(*[_rank(df, c) for c in order], *[F.col(c).alias(f"_o{c}") for c in df.columns]))
+    return numbered(signs, ["_order"], name).drop("_order")
+
+
+def _rank(df: DataFrame, by: str) -> Column:
+    column, _, way = by.partition(" ")
+    if way and not dict(df.dtypes)[column].startswith(("double", "float", "int", "bigint", "decimal")):
+        raise ValueError("a descending order is of numbers")
+    return (-F.col(column) if way else F.col(column)).alias(f"_r{column}")
+
+
+def result_compare(actual: DataFrame, expected: DataFrame, order: tuple[list[str], list[str]] | None = None, digits: int = 4) -> DataFrame:
+    """One row: how an actual result compares with an expected one, doubles rounded.
+
+    Without ``order`` as multisets of rows; with it (what the actual and what the expected result is ordered by) place by place, by
+    row numbers over ranges. missing_rows and extra_rows are in the expected columns, that is of the projected result; with columns missing they
+    are null. A result passes strictly if columns, their order and rows are the same, and as an answer if its projection is.
+    """
+    missing = [c for c in expected.columns if c not in actual.columns]
+    extra = [c for c in actual.columns if c not in expected.columns]
+    counts = actual.agg(F.count("*").alias("actual_row_count")).join(F.broadcast(expected.agg(F.count("*").alias("expected_row_count"))))
+    place = []
+    if order is not None:
+        actual, expected, place = _placed(actual, order[0], "_place"), _placed(expected, order[1], "_place"), ["_place"]
+    columns = [c for c in expected.columns if c not in place]
+    if missing:
+        found = counts.select("*", F.lit(None).cast("long").alias("missing_rows"), F.lit(None).cast("long").alias("extra_rows"))
+    else:
+        found = counts.join(F.broadcast(_differences(expected, actual, [*columns, *place], digits)))
+    same_columns = [c for c in actual.columns if c not in place] == columns
+    projected = F.coalesce((F.col("missing_rows") == 0) & (F.col("extra_rows") == 0), F.lit(False))
+    return found.select(
+        F.lit(same_columns).alias("same_columns"), F.lit("|".join(missing)).alias("missing_columns"), F.lit("|".join(extra)).alias("extra_columns"), "missing_rows", "extra_rows", projected.alias("projected_rows_match"),
+        (F.lit(same_columns) & projected).alias("strict_passed"), projected.alias("answer_passed"), "actual_row_count", "expected_row_count",
+    )
 
 
 def routing_eval(routes: DataFrame, must: list[str], must_not: list[str]) -> DataFrame:

@@ -118,11 +118,31 @@ def parent_context(hits: DataFrame, parents: int = 4, children: int = 2) -> Data
     return top_k(rows, ["query_id"], [F.col("best_rank"), F.col("best_score").desc()], parents, "parent_rank")
 
 
-def profile(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Which retrieval profile a query ends with: the fast one, the balanced one, or all of it."""
-    got = scores.groupBy(*keys).agg(F.round(F.avg("coverage_score"), 4).alias("average"), F.count_if(F.col("coverage_label") == "weak").alias("weak"))
-    kind = F.when((F.col("average") >= 0.70) & (F.col("weak") == 0), "balanced").when((F.col("average") >= 0.62) & (F.col("weak") == 0), "fast").otherwise("full")
-    return got.withColumn("profile", kind)
+#: What the average coverage must reach for a cheaper profile to stand, and how many matches it then gives.
+PROFILES = {"fast": (0.62, 3), "balanced": (0.70, 4)}
+PROFILE_NAMES = ["skip", "fast", "balanced", "full", "fast_escalated", "balanced_escalated"]
+
+
+def decided_profiles(plan: DataFrame, scores: DataFrame, key: str) -> DataFrame:
+    """plan: key, planned (skip, fast, balanced or full); scores: key, coverage_score, coverage_label -> plan with average, weak and profile: the planned
+    one if it stands, else full, or ``_escalated`` where a cheaper one was planned. Without scores a cheaper profile does not stand."""
+    got = scores.groupBy(key).agg(F.round(F.avg("coverage_score"), 4).alias("average"), F.count_if(F.col("coverage_label") == "weak").alias("weak"))
+    stands = F.lit(False)
+    for name, (least, _) in PROFILES.items():
+        stands = stands | ((F.col("planned") == name) & (F.col("average") >= least) & (F.col("weak") == 0))
+    stands = F.coalesce(stands, F.lit(False)) | F.col("planned").isin("skip", "full")
+    return plan.join(got.hint("merge"), key, "left").withColumn("profile", F.when(stands, F.col("planned")).otherwise(F.concat("planned", F.lit("_escalated"))))
+
+
+def execute_profiles(decided: DataFrame, ranked_matches: DataFrame, full, key: str) -> DataFrame:
+    """key, profile, place, chunk_no, score: the first matches where a cheaper profile stood, and what ``full`` (a function from matches to
+    key, place, chunk_no, score) gives for the others; only their matches go through it."""
+    first = F.coalesce(*[F.when(F.col("profile") == name, n) for name, (_, n) in PROFILES.items()], F.lit(0))
+    some = ranked_matches.join(decided.select(key, "profile").hint("merge"), key)
+    cheap = some.filter(F.col("rk") <= first).select(key, "profile", F.col("rk").alias("place"), "chunk_no", F.col("best_score").alias("score"))
+    again = decided.filter((F.col("profile") == "full") | F.col("profile").endswith("_escalated")).select(key, "profile")
+    dear = full(ranked_matches.join(again.hint("merge"), key, "left_semi")).join(again.hint("merge"), key)
+    return cheap.unionByName(dear.select(key, "profile", "place", "chunk_no", "score"))
 
 
 def zero_filled(counts: DataFrame, key: str, values: list[str], count: str) -> DataFrame:

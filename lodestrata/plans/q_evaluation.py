@@ -6,6 +6,9 @@ conversations' roles and turns are expectations and outcomes of the planning ste
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
@@ -114,13 +117,34 @@ def retrieval_eval(spark, sf_dir):
     return E.retrieval_eval(texts, want)
 
 
-@register("result_compare", "WITH a AS (SELECT o_custkey, round(sum(o_totalprice), 4) AS t FROM orders GROUP BY ALL), b AS (SELECT o_custkey, round(sum(CASE WHEN o_orderkey % 97 = 0 THEN 0 ELSE o_totalprice END), 4) AS t FROM orders GROUP BY ALL) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS missing_rows, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS extra_rows")
+_RESULTS = """a AS (SELECT o_custkey, round(sum(o_totalprice), 4) AS t, count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT o_custkey, round(sum(CASE WHEN o_orderkey % 97 = 0 THEN 0 ELSE o_totalprice END), 4) AS t FROM orders GROUP BY ALL),
+    e AS (SELECT o_custkey, t FROM a), up AS (SELECT row_number() OVER (ORDER BY o_custkey) AS p, * FROM e), down AS (SELECT row_number() OVER (ORDER BY o_custkey DESC) AS p, * FROM e)"""
+
+
+def _compared_sql(case: str, same: bool, missing: str, extra: str, actual: str | None, expected: str | None) -> str:
+    rows = "CAST(NULL AS BIGINT)" if actual is None else "(SELECT count(*) FROM (SELECT * FROM {0} EXCEPT ALL SELECT * FROM {1}))"
+    ok = "false" if actual is None else f"{rows.format(expected, actual)} = 0 AND {rows.format(actual, expected)} = 0"
+    return f"""SELECT '{case}' AS compared, {same} AS same_columns, '{missing}' AS missing_columns, '{extra}' AS extra_columns, {rows.format(expected, actual)} AS missing_rows, {rows.format(actual, expected)} AS extra_rows,
+      {ok} AS projected_rows_match, {same} AND {ok} AS strict_passed, {ok} AS answer_passed, (SELECT count(*) FROM a) AS actual_row_count, (SELECT count(*) FROM a) AS expected_row_count"""
+
+
+@register(
+    "result_compare",
+    f"WITH {_RESULTS} "
+    + " UNION ALL ".join([
+        _compared_sql("same", True, "", "", "e", "e"), _compared_sql("altered", True, "", "", "b", "e"), _compared_sql("same_order", True, "", "", "up", "up"), _compared_sql("other_order", True, "", "", "down", "up"),
+        _compared_sql("more_columns", False, "", "n", "e", "e"), _compared_sql("fewer_columns", False, "t", "", None, None),
+    ]),
+)
 def result_compare(spark, sf_dir):
-    """Two results as multisets of rows, numbers rounded to 4 digits."""
+    """An expected result (sums by customer) against the same, an altered one, the same in the same and in another order, one with another column, and one without a column."""
     o = load(spark, sf_dir, "orders")
-    a = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t"))
+    a = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t"), F.count("*").alias("n"))
     b = o.groupBy("o_custkey").agg(F.sum(F.when(F.col("o_orderkey") % 97 == 0, 0.0).otherwise(F.col("o_totalprice"))).alias("t"))
-    return E.result_compare(a, b)
+    e, up = a.drop("n"), ["o_custkey"]
+    cases = {"same": (e, None), "altered": (b, None), "same_order": (e, (up, up)), "other_order": (e, (["o_custkey desc"], up)), "more_columns": (a, None), "fewer_columns": (e.drop("t"), None)}
+    out = [E.result_compare(actual, e, order).select(F.lit(case).alias("compared"), "*") for case, (actual, order) in cases.items()]
+    return reduce(DataFrame.unionByName, out)
 
 
 @register("routing_eval", with_views(f"WITH {q_rules._RULED} SELECT query_id, len(list_filter(['vector_document'], lambda x: NOT list_contains(sources, x))) AS missing, len(list_filter(sources, lambda x: x = 'sql_structured')) AS forbidden, list_contains(sources, 'vector_document') AND NOT list_contains(sources, 'sql_structured') AS passed FROM ruled", "query_log"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import fusion as X
 from lodestrata.operators import sqlsource as S
-from lodestrata.operators.merging import zero_filled
 from lodestrata.plans.registry import register
 from lodestrata.plans.views import load, spark_view, with_views
 
@@ -278,9 +277,3 @@ def pass_rates(spark, sf_dir):
 def model_rank(spark, sf_dir):
     m = spark_view(spark, sf_dir, "gate_input").groupBy(F.col("overall_verdict").alias("model")).agg(F.round(F.avg(F.col("faithfulness") + F.col("citation_grounding")), 6).alias("quality"))
     return m.withColumn("rk", F.row_number().over(W.orderBy(F.col("quality").desc(), "model")))
-
-
-@register("profile_usage", with_views("SELECT s AS overall_verdict, count(query_id) AS n FROM (SELECT unnest(['pass', 'borderline', 'fail', 'error']) AS s) LEFT JOIN gate_input ON overall_verdict = s GROUP BY s", "gate_input"))
-def profile_usage(spark, sf_dir):
-    counts = spark_view(spark, sf_dir, "gate_input").groupBy("overall_verdict").agg(F.count("*").alias("n"))
-    return zero_filled(counts, "overall_verdict", ["pass", "borderline", "fail", "error"], "n")

@@ -278,18 +278,6 @@ def hyde_trigger(spark, sf_dir):
     return _coverage(spark, sf_dir).withColumn("r", merging.hyde_reasons()).select("sub_query_id", F.array_join("r", "|").alias("reasons"), (F.size("r") > 0).alias("triggered"))
 
 
-@register(
-    "profile_escalation",
-    with_views(
-        f"""WITH {_COVER}, g AS (SELECT sub_query_id // 5 AS query_no, round(avg(coverage_score), 4) AS average, count(*) FILTER ({_WEAK}) AS weak FROM coverage GROUP BY ALL)
-        SELECT *, CASE WHEN average >= 0.70 AND weak = 0 THEN 'balanced' WHEN average >= 0.62 AND weak = 0 THEN 'fast' ELSE 'full' END AS profile FROM g""",
-        "matches", "chunks",
-    ),
-)
-def profile_escalation(spark, sf_dir):
-    return merging.profile(_coverage(spark, sf_dir).withColumn("query_no", F.floor(F.col("sub_query_id") / 5)), ["query_no"])
-
-
 @register(
     "fast_evidence",
     with_views(f"WITH {_MERGED} SELECT sub_query_id, rk, chunk_no, best_score FROM ranked WHERE rk <= 3", "matches"),
@@ -321,6 +309,58 @@ def _mmr_sql() -> str:
     return with_views(f"WITH {_MERGED}, {', '.join(out)} {picks}", "matches")
 
 
+#: Stand-ins for a policy's plan and for scores on a hybrid scale: which profile a sub-query should have, and how far its coverage is lifted.
+_PLANNED = "CASE sub_query_id % 4 WHEN 0 THEN 'fast' WHEN 1 THEN 'balanced' WHEN 2 THEN 'full' ELSE 'skip' END"
+_LIFTED = "least(coverage_score + 0.2 * (sub_query_id % 5), 1.0)"
+_DECIDED = f"""{_COVER}, lifted AS (SELECT sub_query_id, {_PLANNED} AS planned, CAST(round({_LIFTED}, 4) AS DOUBLE) AS average, {_LIFTED} < 0.48 AS weak FROM coverage),
+    decided AS (SELECT *, CASE WHEN planned IN ('skip', 'full') OR (planned = 'fast' AND average >= 0.62 AND NOT weak) OR (planned = 'balanced' AND average >= 0.70 AND NOT weak) THEN planned ELSE planned || '_escalated' END AS profile FROM lifted)"""
+
+
+def _decided(spark, sf_dir):
+    lifted = _coverage(spark, sf_dir).withColumn("coverage_score", F.expr(_LIFTED))
+    lifted = lifted.withColumn("coverage_label", F.when(F.col("coverage_score") < 0.48, "weak").otherwise("moderate"))
+    lifted = settled(lifted.select("sub_query_id", "coverage_score", "coverage_label"))
+    return merging.decided_profiles(lifted.select("sub_query_id", F.expr(_PLANNED).alias("planned")), lifted, "sub_query_id")
+
+
+@register(
+    "profile_escalation",
+    f"""WITH w AS ({with_views(f"WITH {_DECIDED} SELECT * FROM decided", "matches", "chunks")}), r AS ({with_views(f"WITH {_MERGED} SELECT sub_query_id, rk, chunk_no, best_score FROM ranked", "matches")}), m AS (SELECT sub_query_id, place, chunk_no, mmr_score FROM ({_mmr_sql()})),
+    x AS (SELECT sub_query_id, rk AS place, chunk_no, best_score AS score FROM r JOIN w USING (sub_query_id) WHERE (profile = 'fast' AND rk <= 3) OR (profile = 'balanced' AND rk <= 4)
+      UNION ALL SELECT sub_query_id, place, chunk_no, mmr_score FROM m JOIN w USING (sub_query_id) WHERE profile = 'full' OR ends_with(profile, '_escalated'))
+    SELECT sub_query_id, planned, profile, average, place, chunk_no, score FROM w LEFT JOIN x USING (sub_query_id)""",
+)
+def profile_escalation(spark, sf_dir):
+    """What each sub-query ends with: the first matches of a profile that stood, or the diversified ones of the full path; a skipped one has no match."""
+    v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_no"), F.col("embedding").alias("vec"))
+
+    def full(matches):
+        best = matches.filter("rk <= 6").select("sub_query_id", "chunk_no", F.col("rk").alias("rank"), F.col("best_score").alias("relevance"))
+        return merging.mmr_select(best.join(v.hint("merge"), "chunk_no"), ["sub_query_id"]).withColumnRenamed("mmr_score", "score")
+
+    decided = settled(_decided(spark, sf_dir))
+    got = merging.execute_profiles(decided, settled(_merged(spark, sf_dir)), full, "sub_query_id")
+    return decided.select("sub_query_id", "planned", "profile", "average").join(got.drop("profile").hint("merge"), "sub_query_id", "left")
+
+
+@register(
+    "profile_usage",
+    with_views(
+        f"""WITH {_DECIDED}, u AS (SELECT 'profile' AS kind, profile AS name FROM decided UNION ALL SELECT 'source', 'vector_document' FROM decided WHERE profile <> 'skip' UNION ALL SELECT 'source', 'sql_structured' FROM decided WHERE profile = 'skip'),
+        k AS (SELECT 'profile' AS kind, unnest([{', '.join(f"'{p}'" for p in merging.PROFILE_NAMES)}]) AS name UNION ALL SELECT 'source', unnest(['vector_document', 'graph_relationships', 'sql_structured']))
+        SELECT k.kind, k.name, count(u.name) AS n FROM k LEFT JOIN u ON u.kind = k.kind AND u.name = k.name GROUP BY ALL""",
+        "matches", "chunks",
+    ),
+)
+def profile_usage(spark, sf_dir):
+    """How often each profile and each source was used, 0 where never. A sub-query whose vector source is skipped is answered from tables here."""
+    profiles = settled(_decided(spark, sf_dir).groupBy("profile").agg(F.count("*").alias("n")))
+    sources = profiles.groupBy(F.when(F.col("profile") == "skip", "sql_structured").otherwise("vector_document").alias("source")).agg(F.sum("n").alias("n"))
+    both = [("profile", merging.zero_filled(profiles, "profile", merging.PROFILE_NAMES, "n")), ("source", merging.zero_filled(sources, "source", ["vector_document", "graph_relationships", "sql_structured"], "n"))]
+    named = [df.select(F.lit(kind).alias("kind"), F.col(kind).alias("name"), "n") for kind, df in both]
+    return named[0].unionByName(named[1])
+
+
 @register("mmr_select", _mmr_sql())
 def mmr_select(spark, sf_dir):
     v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_no"), F.col("embedding").alias("vec"))
