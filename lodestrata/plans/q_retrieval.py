@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.functions.cut import settled
+from lodestrata.functions.cut import settled, shared_folder
 from lodestrata.functions.text import COVERAGE_STOPWORDS, index_terms
 from lodestrata.operators import chunking, merging, retrieval
 from lodestrata.plans.registry import FLAGSHIP, register
 from lodestrata.plans.views import load, spark_view, with_views
+from lodestrata.sources import upsert
 
 _TERMS = r"list_transform(regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9\-&+.]*'), lambda x: lower(x))"
 _T = _TERMS.format("child_text")
@@ -412,8 +415,10 @@ def dense_sparse_assemble(spark, sf_dir):
     "SELECT doc_id AS record_id, lang AS namespace, batch, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, doc_id ORDER BY batch DESC) AS n FROM (SELECT doc_id, lang, source, 0 AS batch FROM documents UNION ALL SELECT doc_id, lang, 'new', 1 FROM documents JOIN labels USING (doc_id))) WHERE n = 1",
 )
 def vector_upsert(spark, sf_dir):
-    """The last write of a record in its namespace counts."""
-    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("lang").alias("namespace"), "source")
-    new = d.join(load(spark, sf_dir, "labels").select(F.col("doc_id").alias("record_id")).hint("merge"), "record_id", "left_semi").withColumn("source", F.lit("new"))
-    both = d.withColumn("batch", F.lit(0)).unionByName(new.withColumn("batch", F.lit(1)))
-    return both.groupBy("record_id", "namespace").agg(F.max("batch").alias("batch"), F.max_by("source", "batch").alias("source"))
+    """Two batches written to an upsert sink, the second one twice, and read back: the last write of a record in its namespace counts."""
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("lang").alias("namespace"), "source", F.lit(0).alias("batch"))
+    new = d.join(load(spark, sf_dir, "labels").select(F.col("doc_id").alias("record_id")).hint("merge"), "record_id", "left_semi").withColumns({"source": F.lit("new"), "batch": F.lit(1)})
+    path, columns = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}", "record_id long, batch int, source string, namespace string"
+    for number, rows in ((0, d), (1, new), (1, new)):
+        upsert.upsert(rows, path, number, columns)
+    return upsert.read_records(spark, path, columns).select("record_id", "namespace", "batch", "source")
