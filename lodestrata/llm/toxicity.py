@@ -306,8 +306,8 @@ def passages_of(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and label of the rows that may teach: labelled, and not held out."""
-    marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """text and label of the rows that may teach: labelled 0 or 1, and not held out. Other labels say nothing."""
+    marks = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = F.broadcast(marks) if labels.count() <= FEW_LABELS else marks.hint("merge")
     return docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(marks, "doc_id")
 

@@ -140,3 +140,12 @@ def test_lexicon_of_several_files(spark, monkeypatch):
     got = toxicity._lexicon(kept)
     assert len(got.paths) > 4 and got.many([f"é{i}*" for i in range(60)] + ["none", ""]).tolist() == [i + 0.5 for i in range(60)] + [0.0, 0.0]
     assert toxicity._lexicon(kept.limit(0)).many(["a"]).tolist() == [0.0]
+
+
+def test_labels_other_than_0_and_1_say_nothing(spark):
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(40)], "doc_id long, text string")
+    marks = [(i, [0, 1, 2, -1, None][i % 5]) for i in range(40)]
+    got = toxicity.training(docs, spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+    seen = {r.doc_id: r.toxic for r in got}
+    assert set(seen.values()) == {0, 1} and all(dict(marks)[i] == t for i, t in seen.items())
+    toxicity.fit(toxicity.training(docs, spark.createDataFrame(marks, "doc_id long, toxic int")))
