@@ -51,6 +51,32 @@ def test_copies_nulls_and_few_rows(spark):
     assert ann.nearest_rows(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_lengths_are_searched_among_themselves(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6 if i % 7 == 0 else 3 if i % 10 == 9 else 5 if i == 300 else 4).tolist()) for i in range(800)] + [(200, [9.0] * 6), (100, [-9.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = {}
+    for i, v in rows:
+        if i % 100 == 0:
+            asked[i] = min(asked.get(i, v), v)
+    want = {}
+    for q, v in asked.items():
+        far = sorted((math.dist(v, w), i) for i, w in rows if i != q and len(w) == len(v))
+        if far:
+            want[q] = [i for _, i in far[:10]]
+    assert {len(v) for v in asked.values()} == {3, 4, 5, 6} and 300 not in want
+    # all but the most common length in blocks; lists for every length; cells of a few rows and queries
+    for least, cell, ask in ((200, 32 << 20, 8 << 20), (2, 32 << 20, 8 << 20), (2, 6000, 64), (200, 600, 48)):
+        for name, value in (("FIT_LEAST", least), ("CELL_BYTES", cell), ("ASK_BYTES", ask)):
+            monkeypatch.setattr(ann, name, value)
+        got = ann.nearest_rows(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0, share=1.0).toPandas().sort_values(["query_id", "rank"])
+        found = got.groupby("query_id").vec_id.agg(list).to_dict()
+        assert set(found) == set(want)
+        assert sum(len(set(found[q]) & set(want[q])) for q in want) >= 0.97 * sum(map(len, want.values()))
+        if least == 200:
+            assert all(found[q] == want[q] for q in want if len(asked[q]) != 4)
+
+
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(5)
     rows = rng.normal(size=(5000, 64)) @ ann.rotation(64)
