@@ -5,10 +5,14 @@ n**2 / 2**65 among n words. Every level is a run of segment files in the shared
 
 * level 1: the sorted hashes of all training words in Elias-Fano form, and their counts. A word's id
   is its rank. The end of a text has an id of its own and is also the context of its first word.
-* levels 2 and 3: for the contexts of a segment the children's ids, sorted within each context; pointers
-  to each context's first child, a monotone sequence in Elias-Fano form; 16-bit codes of the
+* levels 2 and 3: for the contexts of a segment the children's ids, sorted within each context and each raised by its
+  context's base, which is the last number of the context before, so that all of them ascend; pointers
+  to each context's first child; both monotone sequences in Elias-Fano form; 16-bit codes of the
   discounted probability of each child and of the mass that each context leaves to shorter ones.
 
+A level's directory is a file too, of some 150 bytes for a segment of a million tokens: one task writes it from narrow rows, the others map it, and
+only its path passes the driver. Tasks keep the last 256 segments of a level mapped, each by one mapping and no open descriptor.
+
 p(w | uv) = a(uvw) + g(uv) p(w | v), p(w | v) = a(vw) + g(v) p(w), p(w) = (c + 1) / (N + V + 1), with
 a = (c - D(c)) / c(context) for every n-gram that was seen, else 0, and g = 1 - the sum of a. So the
 probabilities of all V + 1 words (one for all unknown) sum to 1 after any context, but for the codes, which
@@ -16,7 +20,7 @@ divide a decade by 4096. A level has three discounts D, for counts of one, two,
 its n-grams were seen once to four times (modified absolute discounting); where some of those numbers are 0, D is 0.75.
 No n-gram is left out; ``least_count`` above 1 drops rarer ones, for a smaller model.
 
-A child is found by a successor search for its id in its context's range. Counting: tasks sum sorted
+A child is found by a successor search for its id plus its context's base, within its context's range. Counting: tasks sum sorted
 keys (context, word) of some million tokens, cut them at bounds that split all keys evenly, so
 that a frequent context is cut too; one task for each cut adds them up, and when the discounts are known writes a segment. A trigram is counted only
 if both its bigrams were kept. Bounds come from a bounded sample of
@@ -26,11 +30,14 @@ Segments are mapped, not loaded: from the shared folder where that is a path of
 process of a machine makes.
 
 Defined results: a null text has no words, only the end; a null doc_id belongs to the training rows;
-repeated rows count each; without training rows every score is 0; an empty table gives an empty result.
+repeated rows count each; without training rows every score is 0; an empty table gives an empty result. A trigram's key is the rank of its first bigram times
+the number of words plus a word, in 64 bits: a corpus whose distinct bigrams times distinct words reach 2**63 (a billion by nine billion) ends with an error.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -47,6 +54,7 @@ DISCOUNT = 0.75
 CODES_A_DECADE = 4096
 TOKENS_AT_ONCE, IDS_AT_ONCE = 1_000_000, 250_000
 SAMPLE_DOCS, SAMPLE_KEYS = 2000, 200
+MOST_OPEN = 256
 #: The least position of the k-th set bit of a byte.
 _BIT = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8)] for b in range(256)], dtype=np.int64)
 
@@ -160,80 +168,124 @@ def decode(c: np.ndarray) -> np.ndarray:
     return 10.0 ** (-c.astype(np.float64) / CODES_A_DECADE)
 
 
+class Segments:
+    """The segments of a level by its directory, ascending; ``opened`` makes of a segment's arrays what is kept of the last ``MOST_OPEN`` ones."""
+
+    def __init__(self, directory: str | None, opened):
+        self.column = reader(directory) if directory else lambda name: np.empty(0, dtype=np.int64)
+        self.paths, self.first, self.size = self.column("path"), self.column("first"), self.column("n")
+        self.opened, self.held = opened, OrderedDict()
+
+    def __len__(self):
+        return len(self.paths)
+
+    def __getitem__(self, i: int):
+        if i not in self.held:
+            self.held[i] = self.opened(reader(self.paths[i].decode()))
+            if len(self.held) > MOST_OPEN:
+                self.held.popitem(last=False)
+        self.held.move_to_end(i)
+        return self.held[i]
+
+    def ranges(self, ranks: np.ndarray):
+        """(segment, places) of sorted ranks: each segment that holds some of them."""
+        of = np.searchsorted(self.first, ranks, side="right") - 1
+        for i in np.unique(of[of >= 0]):
+            a, z = np.searchsorted(of, [i, i + 1])
+            yield int(i), slice(a, z)
+
+
+def _directory(found: DataFrame, folder: str) -> tuple[str | None, int]:
+    """Writes what the rows of ``found`` (part, path, n, numbers) say of a level's segments, by ascending part. (path, sum of n)."""
+    numbers = [c for c in found.columns if c not in ("path", "n")]
+
+    def write(batches):
+        rows = [pdf for pdf in batches if len(pdf)]
+        if rows:
+            rows = pd.concat(rows, ignore_index=True)
+            n = rows["n"].to_numpy()
+            arrays = {c: rows[c].to_numpy() for c in numbers} | {"n": n, "first": np.cumsum(n) - n, "path": np.array([x.encode() for x in rows["path"]])}
+            yield pd.DataFrame({"path": [write_arrays(folder, arrays)], "n": [int(n.sum())]})
+
+    made = found.repartition(1).sortWithinPartitions("part").mapInPandas(write, "path string, n long").first()
+    return (made.path, made.n) if made else (None, 0)
+
+
 class Words:
-    """Level 1. segments: (path, first id), by range of hashes: ``bits`` leading bits choose the segment."""
+    """Level 1, by range of hashes: ``bits`` leading bits are the part that a segment holds."""
 
-    def __init__(self, segments: list[tuple[str, int]], bits: int, n_words: int):
+    def __init__(self, directory: str | None, bits: int, n_words: int):
         self.bits, self.n = bits, n_words
-        self.first = [f for _, f in segments]
-        loads = [reader(p) for p, _ in segments]
-        self.hashes = [EliasFano.read(x, "") for x in loads]
-        self.counts = [x("counts") for x in loads]
+        self.segments = Segments(directory, lambda load: (EliasFano.read(load, ""), load("counts")))
+        self.part = self.segments.column("part")
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of sorted hashes; the id of an unknown word is the number of words + 1."""
         ids, counts = np.full(len(h), self.n + 1, dtype=np.int64), np.zeros(len(h), dtype=np.int64)
-        cut = np.searchsorted(h, np.arange(1, len(self.first), dtype=np.uint64) << np.uint64(64 - self.bits)) if self.bits else []
-        for s, (a, z) in enumerate(zip([0, *cut], [*cut, len(h)])):
-            if a < z:
-                got = self.hashes[s].find(h[a:z] & np.uint64((1 << (64 - self.bits)) - 1))
-                ok = got >= 0
-                ids[a:z][ok] = got[ok] + self.first[s]
-                counts[a:z][ok] = self.counts[s][got[ok]]
+        starts = np.searchsorted(h, self.part.astype(np.uint64) << np.uint64(64 - self.bits))
+        ends = np.searchsorted(h, (((self.part.astype(np.uint64) + np.uint64(1)) << np.uint64(64 - self.bits)) - np.uint64(1)), side="right")
+        for s in np.flatnonzero(starts < ends):
+            a, z = starts[s], ends[s]
+            hashes, seen = self.segments[s]
+            got = hashes.find(h[a:z] & np.uint64((1 << (64 - self.bits)) - 1))
+            ok = got >= 0
+            ids[a:z][ok] = got[ok] + self.segments.first[s]
+            counts[a:z][ok] = seen[got[ok]]
         return ids, counts
 
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of the words with sorted ids."""
+        out = np.zeros(len(ids))
+        for s, at in self.segments.ranges(ids):
+            out[at] = self.segments[s][1][ids[at] - self.segments.first[s]]
+        return out
+
 
 class Level:
-    """Children of contexts. segments: dicts path, first_ctx, last_ctx, first_key, rank, first_sum, last_sum, by ascending keys."""
+    """Children of contexts, by ascending keys."""
 
-    def __init__(self, segments: list[dict], vocabulary: int, last: bool):
+    def __init__(self, directory: str | None, vocabulary: int, last: bool):
         self.v = vocabulary
-        self.first_key = np.array([s["first_key"] for s in segments], dtype=np.int64)
-        self.segments = []
-        shared: dict[int, float] = {}
-        for s in segments:
-            for c, x in {s["first_ctx"]: s["first_sum"], s["last_ctx"]: s["last_sum"]}.items():
-                shared[c] = shared.get(c, 0.0) + x
-        self.edge_ctx = np.array(sorted(shared), dtype=np.int64)
-        self.edge_left = np.array([max(1 - shared[c], 1e-12) for c in sorted(shared)])
-        for s in segments:
-            load = reader(s["path"])
-            self.segments.append((s["first_ctx"], s["last_ctx"], s["rank"], EliasFano.read(load, ""), load("ids"), load("alpha"), load("left"), None if last else load("counts")))
+        self.segments = Segments(directory, lambda load: (EliasFano.read(load, "p_"), EliasFano.read(load, "i_"), load("alpha"), load("left"), None if last else load("counts")))
+        self.first_key, self.first_ctx, self.last_ctx, first_sum, last_sum = (self.segments.column(c) for c in ("first_key", "first_ctx", "last_ctx", "first_sum", "last_sum"))
+        many = self.first_ctx != self.last_ctx
+        self.edge_ctx, back = np.unique(np.concatenate([self.first_ctx, self.last_ctx[many]]), return_inverse=True)
+        self.edge_left = np.maximum(1 - np.bincount(back, weights=np.concatenate([first_sum, last_sum[many]])), 1e-12)
 
     def find(self, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank or -1, discounted probability or 0) of the children; (ctx, word) is sorted, a ctx below 0 has none."""
         rank, alpha = np.full(len(ctx), -1, dtype=np.int64), np.zeros(len(ctx))
-        if not len(self.first_key):
-            return rank, alpha
         cut = np.searchsorted(ctx * self.v + word, self.first_key)
-        for (c0, c1, base, pointers, ids, codes, _, _), a, z in zip(self.segments, cut, [*cut[1:], len(ctx)]):
-            inside = np.flatnonzero((ctx[a:z] >= c0) & (ctx[a:z] <= c1)) + a
+        ends = np.append(cut[1:], len(ctx))
+        for i in np.flatnonzero(cut < ends):
+            a, c0 = cut[i], self.first_ctx[i]
+            inside = np.flatnonzero(ctx[a : ends[i]] <= self.last_ctx[i]) + a
             if not len(inside):
                 continue
+            pointers, children, codes, _, _ = self.segments[i]
             some, back = np.unique(ctx[inside] - c0, return_inverse=True)
-            lo, hi = pointers.get(some).astype(np.int64)[back], pointers.get(some + 1).astype(np.int64)[back]
-            end, want = hi.copy(), word[inside]
-            while True:
-                open_ = np.flatnonzero(lo < hi)
-                if not len(open_):
-                    break
-                mid = (lo[open_] + hi[open_]) >> 1
-                less = ids[mid] < want[open_]
-                lo[open_[less]] = mid[less] + 1
-                hi[open_[~less]] = mid[~less]
-            ok = lo < end
-            ok[ok] = ids[lo[ok]] == want[ok]
-            at, lo = inside[ok], lo[ok]
-            rank[at], alpha[at] = base + lo, decode(codes[lo])
+            lo, hi = pointers.get(some).astype(np.int64), pointers.get(some + 1).astype(np.int64)
+            base = np.zeros(len(some), dtype=np.int64)
+            base[lo > 0] = children.get(lo[lo > 0] - 1).astype(np.int64)
+            at = children.find((base[back] + word[inside] + 1).astype(np.uint64))
+            ok = (at >= lo[back]) & (at < hi[back])
+            rank[inside[ok]], alpha[inside[ok]] = self.segments.first[i] + at[ok], decode(codes[at[ok]])
         return rank, alpha
 
+    def counts(self, ranks: np.ndarray) -> np.ndarray:
+        """Counts of the children with sorted ranks."""
+        out = np.ones(len(ranks))
+        for i, at in self.segments.ranges(ranks):
+            out[at] = self.segments[i][4][ranks[at] - self.segments.first[i]]
+        return out
+
     def left(self, ctx: np.ndarray) -> np.ndarray:
         """The mass that each of the sorted contexts leaves to shorter ones."""
         out = np.ones(len(ctx))
-        for c0, c1, _, _, _, _, left, _ in self.segments:
-            a, z = np.searchsorted(ctx, [c0, c1 + 1])
-            if a < z:
-                out[a:z] = decode(left[ctx[a:z] - c0])
+        starts, ends = np.searchsorted(ctx, self.first_ctx), np.searchsorted(ctx, self.last_ctx, side="right")
+        for i in np.flatnonzero(starts < ends):
+            some = ctx[starts[i] : ends[i]]
+            out[starts[i] : ends[i]] = decode(self.segments[i][3][some - self.first_ctx[i]])
         if len(self.edge_ctx):
             at = np.minimum(np.searchsorted(self.edge_ctx, ctx), len(self.edge_ctx) - 1)
             out = np.where(self.edge_ctx[at] == ctx, self.edge_left[at], out)
@@ -326,8 +378,8 @@ def _totals(pdf: pd.DataFrame, dtype) -> tuple[np.ndarray, np.ndarray]:
     return _sums(np.concatenate([unpack_keys(k, dtype) for k in pdf["keys"]]), np.concatenate([unpack_counts(c) for c in pdf["counts"]]))
 
 
-def _word_level(train: DataFrame, folder: str, n_docs: int) -> tuple[list[tuple[str, int]], int, int, int]:
-    """Writes level 1. (segments, leading bits, number of words, number of word tokens)."""
+def _word_level(train: DataFrame, folder: str, n_docs: int) -> tuple[str | None, int, int, int]:
+    """Writes level 1. (directory, leading bits, number of words, number of word tokens)."""
     bits = max(3, int(n_docs // 8000).bit_length())
     bounds = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
@@ -349,23 +401,20 @@ def _word_level(train: DataFrame, folder: str, n_docs: int) -> tuple[list[tuple[
 
     packed = train.select("text").mapInArrow(count, PACKED)
     packed = packed.repartition(1 << bits, "part")
-    found = settle(packed.groupBy("part").applyInPandas(build, "part int, path string, n long, tokens long"), "lm-words").orderBy("part").collect()
-    by = {r.part: r for r in found}
-    segments, first = [], 0
-    empty = None
-    for p in range(1 << bits):
-        if p not in by and empty is None:
-            empty = write_arrays(folder, EliasFano.of(np.empty(0, np.uint64), 1 << (64 - bits)).arrays() | {"counts": np.empty(0, np.uint32)})
-        segments.append((by[p].path if p in by else empty, first))
-        first += by[p].n if p in by else 0
-    return segments, bits, first, sum(r.tokens for r in found)
-
-
-def _tokens_of(batch: pa.RecordBatch, name: str = "ids") -> tuple[np.ndarray, np.ndarray]:
+    found = settle(packed.groupBy("part").applyInPandas(build, "part int, path string, n long, tokens long"), "lm-words")
+    directory, n_words = _directory(found, folder)
+    return directory, bits, n_words, found.agg(F.sum("tokens").alias("n")).first().n or 0
+
+
+def id_type(vocabulary: int) -> np.dtype:
+    return np.dtype("<i4" if vocabulary < 2**31 else "<i8")
+
+
+def _tokens_of(batch: pa.RecordBatch, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, their starts) of an encoded batch."""
-    raw = batch.column(name).to_pylist()
-    ids = np.frombuffer(b"".join(raw), dtype=np.int32).astype(np.int64)
-    return ids, np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int64)
+    raw, kind = batch.column("ids").to_pylist(), id_type(vocabulary)
+    ids = np.frombuffer(b"".join(raw), dtype=kind).astype(np.int64)
+    return ids, np.concatenate([[0], np.cumsum([len(x) // kind.itemsize for x in raw])]).astype(np.int64)
 
 
 def _small(batches, name: str = "ids"):
@@ -387,13 +436,13 @@ def discounts(seen: dict[int, int]) -> np.ndarray:
     return np.array([0.0, *[min(max(x, 0.1), i - 0.1) for i, x in enumerate(d, 1)]])
 
 
-def _higher_level(encoded: DataFrame, keys_of, context_counts, folder: str, vocabulary: int, tokens: int, n_docs: int, least_count: int, discount: float | None, last: bool) -> list[dict]:
-    """Counts the keys (context * vocabulary + word) that ``keys_of(ids, starts)`` gives and writes a level of them."""
+def _higher_level(encoded: DataFrame, keys_of, context_counts, folder: str, vocabulary: int, tokens: int, n_docs: int, least_count: int, discount: float | None, last: bool) -> tuple[str | None, int]:
+    """Counts the keys (context * vocabulary + word) that ``keys_of(ids, starts)`` gives and writes a level of them. (directory, number of keys)."""
     every = max(1, n_docs // SAMPLE_DOCS)
 
     def some(batches):
         for batch in _small(batches):
-            keys = np.unique(keys_of(*_tokens_of(batch)))
+            keys = np.unique(keys_of(*_tokens_of(batch, vocabulary)))
             yield pa.RecordBatch.from_arrays([pa.array(keys[:: max(1, len(keys) // (SAMPLE_KEYS * batch.num_rows))])], names=["key"])
 
     texts = encoded.filter(F.pmod(F.xxhash64("ids"), every) == 0).select("ids").distinct().limit(2 * SAMPLE_DOCS)
@@ -404,8 +453,7 @@ def _higher_level(encoded: DataFrame, keys_of, context_counts, folder: str, voca
     def count(batches):
         sums = Counter(bounds)
         for batch in _small(batches):
-            ids, starts = _tokens_of(batch)
-            keys = keys_of(ids, starts)
+            keys = keys_of(*_tokens_of(batch, vocabulary))
             if len(keys):
                 yield from sums.add(keys)
         yield from sums.flush()
@@ -429,26 +477,25 @@ def _higher_level(encoded: DataFrame, keys_of, context_counts, folder: str, voca
         for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows)):
             keys, counts = unpack_keys(row["keys"], np.int64), unpack_counts(row["counts"])
             row = {"part": row["part"]}
-            ctx, ids = keys // vocabulary, (keys % vocabulary).astype(np.uint32)
+            ctx, ids = keys // vocabulary, keys % vocabulary
             c0, c1 = int(ctx[0]), int(ctx[-1])
             some_ctx, back = np.unique(ctx, return_inverse=True)
             alpha = (counts - less[np.minimum(counts, 3)]) / context_counts(some_ctx)[back]
             sums = np.bincount(ctx - c0, weights=alpha, minlength=c1 - c0 + 1)
             pointers = np.concatenate([[0], np.cumsum(np.bincount(ctx - c0, minlength=c1 - c0 + 1))])
-            arrays = EliasFano.of(pointers, len(keys) + 1).arrays()
-            arrays |= {"ids": ids, "alpha": code(alpha), "left": code(1 - sums)}
+            last_of = np.flatnonzero(np.append(ctx[1:] != ctx[:-1], True))
+            ascending = (np.cumsum(ids[last_of] + 1) - ids[last_of] - 1)[back] + ids + 1
+            arrays = {f"p_{k}": a for k, a in EliasFano.of(pointers, len(keys) + 1).arrays().items()}
+            arrays |= {f"i_{k}": a for k, a in EliasFano.of(ascending, int(ascending[-1]) + vocabulary + 2).arrays().items()}
+            arrays |= {"alpha": code(alpha), "left": code(1 - sums)}
             if not last:  # the next level's context counts
                 arrays["counts"] = counts.astype(np.min_scalar_type(int(counts.max())))
             yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]], pa.int32()), "path": [write_arrays(folder, arrays)], "n": [len(keys)], "first_key": [int(keys[0])], "first_ctx": [c0], "last_ctx": [c1], "first_sum": [float(sums[0])], "last_sum": [float(sums[-1])]})
 
     shape = "part int, path string, n long, first_key long, first_ctx long, last_ctx long, first_sum double, last_sum double"
-    found = settle(summed.select("part", "keys", "counts").mapInArrow(build, shape), "lm-level").orderBy("part").collect()
+    made = _directory(settle(summed.select("part", "keys", "counts").mapInArrow(build, shape), "lm-level"), folder)
     drop_folder(path)
-    rank, segments = 0, []
-    for r in found:
-        segments.append({k: v for k, v in r.asDict().items() if k not in ("part", "n")} | {"rank": rank})
-        rank += r.n
-    return segments
+    return made
 
 
 def _bigrams(end: int):
@@ -498,12 +545,10 @@ def score_texts(docs: DataFrame, least_count: int = 1, discount: float | None =
     rows = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     n_docs = rows.filter(~F.col("held_out")).count()
     spark, folder = docs.sparkSession, new_path(docs.sparkSession, "lm")
-    segments, bits, end, n_words = _word_level(rows.filter(~F.col("held_out")), folder, n_docs)
+    directory, bits, end, n_words = _word_level(rows.filter(~F.col("held_out")), folder, n_docs)
     tokens, vocabulary = n_words + n_docs, end + 2  # ids: words, the end, unknown
     distinct = end + (1 if n_docs else 0)
-    words = lambda: _cached(f"{folder}1", lambda: Words(segments, bits, end))
-    if vocabulary >= 2**31:
-        raise ValueError("word ids of 32 bits do not hold this vocabulary")
+    words = lambda: _cached(f"{folder}1", lambda: Words(directory, bits, end))
 
     def encode(batches):
         for batch in batches:
@@ -515,7 +560,7 @@ def score_texts(docs: DataFrame, least_count: int = 1, discount: float | None =
                 n = np.diff(starts)
                 base = np.array([logs[a:z].sum() for a, z in zip(starts[:-1], starts[1:])]) + np.log10((n_docs + 1) / (tokens + distinct + 1))
                 known = np.concatenate([[0], np.cumsum(counts[back] > 0)])
-                flat = np.insert(ids, starts[1:], end).astype(np.int32)
+                flat = np.insert(ids, starts[1:], end).astype(id_type(vocabulary))
                 cut = starts + np.arange(len(starts))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(some)), batch.column(1).slice(at, len(some)), pa.array(n + 1), pa.array(known[starts[1:]] - known[starts[:-1]] + (1 if n_docs else 0)), pa.array(base), pa.array([flat[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())],
@@ -526,29 +571,19 @@ def score_texts(docs: DataFrame, least_count: int = 1, discount: float | None =
     train = encoded.filter(~F.col("held_out"))
 
     def word_counts(ctx):
-        w = words()
-        first = np.array(w.first)
-        seg = np.searchsorted(first, ctx, side="right") - 1
+        """Counts of sorted contexts: words, and the end."""
         out = np.full(len(ctx), float(n_docs))
-        for s in np.unique(seg):
-            mine = (seg == s) & (ctx < end)
-            out[mine] = w.counts[s][ctx[mine] - first[s]]
+        some = ctx < end
+        out[some] = words().counts(ctx[some])
         return out
 
-    two = _higher_level(train, _bigrams(end), word_counts, folder, vocabulary, tokens, n_docs, least_count, discount, False)
+    two, n_pairs = _higher_level(train, _bigrams(end), word_counts, folder, vocabulary, tokens, n_docs, least_count, discount, False)
     level2 = lambda: _cached(f"{folder}2", lambda: Level(two, vocabulary, False))
     pairs = lambda: Pairs(level2(), end)
 
-    def pair_counts(ctx):
-        out = np.ones(len(ctx))
-        for _, _, base, _, ids, _, _, counts in level2().segments:
-            a, z = np.searchsorted(ctx, [base, base + len(ids)])
-            out[a:z] = counts[ctx[a:z] - base]
-        return out
-
-    if two and (two[-1]["rank"] + tokens) * vocabulary >= 2**63:
+    if n_pairs * vocabulary >= 2**63:
         raise ValueError("keys of 64 bits do not hold the pairs of this corpus")
-    three = _higher_level(train, _trigrams(pairs, vocabulary), pair_counts, folder, vocabulary, tokens, n_docs, least_count, discount, True)
+    three, _ = _higher_level(train, _trigrams(pairs, vocabulary), lambda ctx: level2().counts(ctx), folder, vocabulary, tokens, n_docs, least_count, discount, True)
     level3 = lambda: _cached(f"{folder}3", lambda: Level(three, vocabulary, True))
 
     def left_of(level, ctx):
@@ -557,7 +592,7 @@ def score_texts(docs: DataFrame, least_count: int = 1, discount: float | None =
 
     def score(batches):
         for batch in _small(batches):
-            ids, starts = _tokens_of(batch)
+            ids, starts = _tokens_of(batch, vocabulary)
             if not len(ids):
                 continue
             before, rank, alpha = pairs().find(ids, starts)

@@ -1,5 +1,7 @@
 import collections
 import math
+import os
+import resource
 import zlib
 
 import numpy as np
@@ -116,3 +118,38 @@ def test_pairs_seen_once_count(spark):
     df = spark.createDataFrame([*rows, (ask[0], "red fox"), (ask[1], "red bird")], "doc_id long, text string")
     seen, unseen = (r.score for r in ngram_lm.score_texts(df).filter("held_out").orderBy("doc_id").collect())
     assert seen > unseen + 0.3
+
+
+def test_many_segments_under_a_limit_of_descriptors(tmp_path, monkeypatch):
+    """3,000 segments of a level are read with 256 open at once and no descriptor each."""
+    vocabulary, rows = 1000, []
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 3000 * vocabulary, 30_000))
+    for part in range(3000):
+        mine = keys[part * len(keys) // 3000 : (part + 1) * len(keys) // 3000]
+        ctx, ids = mine // vocabulary, mine % vocabulary
+        some, back = np.unique(ctx, return_inverse=True)
+        last = np.flatnonzero(np.append(ctx[1:] != ctx[:-1], True))
+        up = (np.cumsum(ids[last] + 1) - ids[last] - 1)[back] + ids + 1
+        pointers = np.concatenate([[0], np.cumsum(np.bincount(ctx - ctx[0]))])
+        arrays = {f"p_{k}": a for k, a in ngram_lm.EliasFano.of(pointers, len(mine) + 1).arrays().items()}
+        arrays |= {f"i_{k}": a for k, a in ngram_lm.EliasFano.of(up, int(up[-1]) + vocabulary + 2).arrays().items()}
+        arrays |= {"alpha": ngram_lm.code(np.full(len(mine), 0.25)), "left": ngram_lm.code(np.full(len(pointers) - 1, 0.5)), "counts": (mine % 251).astype(np.uint8)}
+        rows.append((ngram_lm.write_arrays(f"file:{tmp_path}", arrays).encode(), len(mine), mine[0], ctx[0], ctx[-1]))
+    path, n, first, c0, c1 = (np.array(x) for x in zip(*rows))
+    columns = {"path": path, "n": n, "first": np.cumsum(n) - n, "first_key": first, "first_ctx": c0, "last_ctx": c1, "first_sum": np.full(3000, 0.1), "last_sum": np.full(3000, 0.1)}
+    directory = ngram_lm.write_arrays(f"file:{tmp_path}", columns)
+    before = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (min(1024, before[0]), before[1]))
+    try:
+        open_ = len(os.listdir("/proc/self/fd"))
+        level = ngram_lm.Level(directory, vocabulary, False)
+        ask = np.unique(np.concatenate([keys, rng.integers(0, 3000 * vocabulary, 30_000)]))
+        rank, alpha = level.find(ask // vocabulary, ask % vocabulary)
+        at = {int(k): i for i, k in enumerate(keys)}
+        assert rank.tolist() == [at.get(int(k), -1) for k in ask]
+        assert np.allclose(alpha, np.where(rank >= 0, 0.25, 0.0), atol=1e-3)
+        assert level.counts(np.arange(len(keys))).tolist() == (keys % 251).tolist()
+        assert len(level.segments.held) == 256 and len(os.listdir("/proc/self/fd")) <= open_ + 2
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, before)
