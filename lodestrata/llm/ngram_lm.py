@@ -443,10 +443,11 @@ def _higher_level(encoded: DataFrame, keys_of, context_counts, folder: str, voca
     def some(batches):
         for batch in _small(batches):
             keys = np.unique(keys_of(*_tokens_of(batch, vocabulary)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:: max(1, len(keys) // (SAMPLE_KEYS * batch.num_rows))])], names=["key"])
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array([pack_keys(keys[:: max(1, len(keys) // (SAMPLE_KEYS * batch.num_rows))])], pa.binary())], names=["keys"])
 
     texts = encoded.filter(F.pmod(F.xxhash64("ids"), every) == 0).select("ids").distinct().limit(2 * SAMPLE_DOCS)
-    sample = texts.mapInArrow(some, "key long").toPandas()["key"].to_numpy()
+    sample = np.concatenate([np.empty(0, np.int64), *[unpack_keys(r.keys, np.int64) for r in texts.mapInArrow(some, "keys binary").collect()]])
     parts = max(8, tokens // TOKENS_AT_ONCE)
     bounds = np.unique(np.quantile(sample, np.arange(1, parts) / parts, method="nearest")) if len(sample) else np.empty(0, np.int64)
 
