@@ -52,7 +52,7 @@ from lodestrata.llm.shingles import slices, word_hashes
 
 DISCOUNT = 0.75
 CODES_A_DECADE = 4096
-TOKENS_AT_ONCE, IDS_AT_ONCE = 1_000_000, 250_000
+TOKENS_AT_ONCE, IDS_AT_ONCE = 1_000_000, 500_000
 SAMPLE_DOCS, SAMPLE_KEYS = 2000, 200
 MOST_OPEN = 256
 #: The least position of the k-th set bit of a byte.
@@ -82,8 +82,7 @@ class EliasFano:
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.width, self.low, self.high, self.ones = n, width, low, high, ones
-        bits = np.arange(len(ones), dtype=np.int64) * 512
-        self.zeros = bits - ones
+        self.sums = {}  # of the bits of a kind before each word, made when first asked for
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -108,20 +107,28 @@ class EliasFano:
 
     def select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """Position of the k-th (from 0) bit of that kind."""
-        sums = self.ones if bit else self.zeros
-        block = np.searchsorted(sums, k, side="right") - 1
-        left = k - sums[block]
-        words = self.high.reshape(-1, 8)[block]
-        words = words if bit else ~words
-        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        at = (upto <= left[:, None]).sum(1)
-        row = np.arange(len(k))
-        left = left - np.where(at > 0, upto[row, np.maximum(at - 1, 0)], 0)
-        octets = np.ascontiguousarray(words[row, at]).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
-        o = (upto <= left[:, None]).sum(1)
-        left = left - np.where(o > 0, upto[row, np.maximum(o - 1, 0)], 0)
-        return block * 512 + at * 64 + o * 8 + _BIT[octets[row, o], left]
+        if bit not in self.sums:
+            ones = np.cumsum(np.bitwise_count(self.high), dtype=np.int64) - np.bitwise_count(self.high)
+            self.sums[bit] = ones if bit else np.arange(len(ones), dtype=np.int64) * 64 - ones
+        at = np.searchsorted(self.sums[bit], k, side="right") - 1
+        left = k - self.sums[bit][at]
+        word = self.high[at] if bit else ~self.high[at]
+        place = at * 64
+        for width in (32, 16, 8):  # the half that has it, down to a byte
+            below = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
+            above = left >= below
+            left -= below * above
+            word >>= above * np.uint64(width)
+            place += above * width
+        return place + _BIT[(word & np.uint64(255)).astype(np.int64), left]
+
+    def run(self, at: np.ndarray, bit: int) -> np.ndarray:
+        """How many bits of that kind stand from a position on, up to the next of the other kind; 64 or more are given as 64."""
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        more = np.where(shift > 0, self.high[np.minimum(word + 1, len(self.high) - 1)] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        window = (self.high[word] >> shift) | more
+        other = ~window if bit else window
+        return np.bitwise_count(~other & (other - np.uint64(1))).astype(np.int64)
 
     def low_bits(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -135,13 +142,27 @@ class EliasFano:
         top = (self.select(i, 1) - i).astype(np.uint64)
         return (top << np.uint64(self.width)) | self.low_bits(i)
 
+    def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of ranks i and i + 1."""
+        at = self.select(i, 1)
+        gap = self.run(at + 1, 0)
+        after = at + 1 + gap
+        far = np.flatnonzero(gap >= 64)
+        after[far] = self.select(i[far] + 1, 1)
+        both = [((x - r).astype(np.uint64) << np.uint64(self.width)) | self.low_bits(r) for x, r in ((at, i), (after, i + 1))]
+        return both[0], both[1]
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """Rank of each x, -1 where it is not in the sequence."""
         if not self.n:
             return np.full(len(x), -1, dtype=np.int64)
         top = (x >> np.uint64(self.width)).astype(np.int64)
-        end = self.select(top, 0) - top
-        start = np.where(top > 0, self.select(np.maximum(top - 1, 0), 0) - np.maximum(top - 1, 0), 0)
+        place = np.where(top > 0, self.select(np.maximum(top - 1, 0), 0) + 1, 0)
+        start = place - top
+        size = self.run(place, 1)
+        end = start + size
+        far = np.flatnonzero(size >= 64)
+        end[far] = self.select(top[far], 0) - top[far]
         want = x & np.uint64((1 << self.width) - 1)
         lo, hi = start, end.copy()
         while True:
@@ -263,8 +284,10 @@ class Level:
             if not len(inside):
                 continue
             pointers, children, codes, _, _ = self.segments[i]
-            some, back = np.unique(ctx[inside] - c0, return_inverse=True)
-            lo, hi = pointers.get(some).astype(np.int64), pointers.get(some + 1).astype(np.int64)
+            near = ctx[inside] - c0
+            new = np.append(True, near[1:] != near[:-1])
+            some, back = near[new], np.cumsum(new) - 1
+            lo, hi = (x.astype(np.int64) for x in pointers.get_two(some))
             base = np.zeros(len(some), dtype=np.int64)
             base[lo > 0] = children.get(lo[lo > 0] - 1).astype(np.int64)
             at = children.find((base[back] + word[inside] + 1).astype(np.uint64))
@@ -418,7 +441,7 @@ def _tokens_of(batch: pa.RecordBatch, vocabulary: int) -> tuple[np.ndarray, np.n
 
 
 def _small(batches, name: str = "ids"):
-    """Slices of some 250,000 tokens, or single longer texts."""
+    """Slices of some 500,000 tokens, or single longer texts."""
     for batch in batches:
         at = 0
         for some in slices(batch.column(name), IDS_AT_ONCE * 4):
@@ -607,8 +630,9 @@ def score_texts(docs: DataFrame, least_count: int = 1, discount: float | None =
             at = np.flatnonzero(context >= 0)
             if len(at):
                 keys, back = np.unique(context[at] * vocabulary + ids[at], return_inverse=True)
-                _, more = level3().find(keys // vocabulary, keys % vocabulary)
-                p[at] = more[back] + left_of(level3(), context[at]) * p[at]
+                ctx = keys // vocabulary
+                _, more = level3().find(ctx, keys % vocabulary)
+                p[at] = more[back] + level3().left(ctx)[back] * p[at]
             logs = np.log10(np.minimum(p, 1.0))
             total = np.add.reduceat(logs, starts[:-1])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")], pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
