@@ -78,7 +78,10 @@ def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class EliasFano:
-    """A sorted sequence of n numbers below 2**64: their low bits packed, their high bits as a unary bit vector with a sum of ones for each 512 bits."""
+    """A sorted sequence of n numbers below 2**64: their low bits packed, their high bits as a unary bit vector with a sum of ones for each 512 bits.
+
+    Sums before each word of 64 bits, by which ``select`` searches, are made in memory when first asked for: 8 bytes a word and kind of bit.
+    """
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.width, self.low, self.high, self.ones = n, width, low, high, ones
