@@ -68,3 +68,18 @@ def test_a_planned_profile_stands_or_all_of_it_runs_again(spark):
     assert asked == [2, 4, 5, 7, 8]
     counts = {q: sorted(r.chunk_no for r in got if r.sub_query_id == q) for q in range(1, 9)}
     assert counts == {1: [101, 102, 103], 2: [206], 3: [301, 302, 303, 304], 4: [406], 5: [506], 6: [], 7: [706], 8: [806]}
+
+
+def test_counted_mentions_give_the_graph_of_single_ones(spark):
+    """Rows with n stand for so many mentions; the counted views hold fewer rows than lineitem and give the same nodes and edges."""
+    from lodestrata.operators import graph as G
+    from lodestrata.plans.views import load, spark_view
+
+    d = "/root/testdata/sf0.001"
+    counts = spark_view(spark, d, "entity_mention_counts")
+    assert counts.count() < 2 * load(spark, d, "lineitem").count() == counts.agg({"n": "sum"}).first()[0]
+    made = [sorted(map(str, G.graph_nodes(spark_view(spark, d, v)).collect())) for v in ("entity_mention_counts", "entity_mentions")]
+    assert made[0] == made[1]
+    keys = G.kept_keys(counts)
+    made = [sorted(map(str, G.graph_edges(spark_view(spark, d, v), keys).collect())) for v in ("relation_mention_counts", "relation_mentions")]
+    assert made[0] == made[1]
