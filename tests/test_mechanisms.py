@@ -83,3 +83,22 @@ def test_counted_mentions_give_the_graph_of_single_ones(spark):
     keys = G.kept_keys(counts)
     made = [sorted(map(str, G.graph_edges(spark_view(spark, d, v), keys).collect())) for v in ("relation_mention_counts", "relation_mentions")]
     assert made[0] == made[1]
+
+
+def test_mentions_are_counted_by_what_is_asked_for_alone(spark):
+    """Fewer rows than the view with all columns, for the same mentions; and an edge between two of a query's nodes is found once."""
+    from lodestrata.operators import graph as G
+    from lodestrata.plans.views import counted_entities, counted_relations, spark_view
+
+    d = "/root/testdata/sf0.001"
+    every = spark_view(spark, d, "entity_mention_counts")
+    for columns in (["name"], ["name", "entity_type"], ["name", "evidence"], ["name", "section_title", "page_end"]):
+        few = counted_entities(spark, d, *columns)
+        each = lambda df: sorted(map(str, df.groupBy(*columns).agg(F.sum("n").alias("n"), F.min("ord").alias("ord")).collect()))  # noqa: E731, B023
+        assert each(few) == each(every) and few.count() < every.count()
+    triple = ["source", "relation_type", "target"]
+    made = [sorted(map(str, r.groupBy(*triple).agg(F.sum("n").alias("n"), F.min("ord").alias("ord")).collect())) for r in (counted_relations(spark, d), spark_view(spark, d, "relation_mention_counts"))]
+    assert made[0] == made[1]
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "d", 3), ("b", "b", 4)], "source_key string, target_key string, edge_no int")
+    top = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "c")], "query_id int, key string")
+    assert sorted((r.query_id, r.edge_no) for r in G.neighborhood(edges, top).collect()) == [(1, 1), (1, 2), (1, 4), (2, 2), (2, 3)]
