@@ -94,3 +94,17 @@ def test_every_evaluation_has_both_outcomes(spark):
 def test_cases_are_dealt_to_many_tasks(spark):
     """The table of parts is one small file, and its texts are much work."""
     assert registry.queries()["decomposition_eval"](spark, DIR).rdd.getNumPartitions() >= 8
+
+
+def test_extractions_are_grouped_with_their_gold(spark):
+    """Nulls match nothing, as in joins, and each side is dealt out once: fewer exchanges than joins of distinct items took (14)."""
+    e = spark.createDataFrame([(1, "A"), (1, "B"), (None, "A")], "case long, name string")
+    r = spark.createDataFrame([(1, "a", "x", None), (1, "a", "x", "b")], "case long, source string, relation_type string, target string")
+    found_e = spark.createDataFrame([(1, "a", "told twice", 2), (1, "a", "gone", 1), (None, "a", "told", 3)], "case long, name string, evidence string, ord long")
+    found_r = spark.createDataFrame([(1, "a", "x", None, "told", 1), (1, "a", "x", "b", None, 2)], "case long, source string, relation_type string, target string, evidence string, ord long")
+    text = spark.createDataFrame([(1, "Told twice."), (1, "told")], "case long, text string")
+    df = E.extraction_eval(e, r, found_e, found_r, text, extraction_text)
+    got = {x.case: x for x in df.filter("case = 1").collect()}[1]
+    assert (got.expected_entity_count, got.actual_entity_count, got.entity_recall, got.entity_grounding_precision) == (2, 1, 0.5, 0.0)
+    assert (got.expected_relation_count, got.actual_relation_count, got.relation_recall, got.relation_grounding_precision) == (2, 2, 0.5, 1.0)
+    assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= 12
