@@ -9,9 +9,10 @@ the last sequence of a part is padded; its mask is false there. A part's files g
 own in each attempt, and the table of parts, which Spark commits, names those of the attempt that
 ended; an attempt that is lost leaves files that nothing names.
 
-A byte-level BPE never merges across the start of a word, so a text is cut before single spaces
-and every piece is encoded once a process while it is in a cache of a million pieces. New pieces
-lose a final mark, which is a token of its own, and are encoded a thousand at a time, as lines of one text: a line feed between two words is a token of its own.
+A byte-level BPE never merges across the start of a word, so a text is cut before single spaces. Arrow tells the words of some 8 MB
+of texts apart, each distinct one is looked up once, without its final marks, and its ids are taken to each place. What is
+new to a cache of a million pieces is encoded by the library, a thousand pieces as one text: each ends with an id, which the lengths of the ids' texts
+show. A full cache keeps what the present texts use.
 A text that holds the string of a special token is encoded whole, as the library does by itself; with ``special_as_text`` such strings are plain text.
 
 Defined results: a null text is encoded as an empty one; every document ends with the end id;
@@ -28,17 +29,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import new_path, settle, table
 
-LENGTH, SEQUENCES_A_BATCH, CACHED = 2048, 256, 1_000_000
+LENGTH, SEQUENCES_A_BATCH, CACHED, AT_ONCE = 2048, 256, 1_000_000, 1 << 23
 MANIFEST = "part int, ids_file string, docs_file string, n_docs long, n_tokens long"
 _INSIDE_SPACE = re.compile(r"(?:^|\s) (?:\s|$)")
-_MARKS = frozenset(".,;:!?")
-_ONE_WORD = re.compile(r" ?\S+\Z")
+#: The same for RE2; it may find more, as each text that it finds is cut by the other.
+_PERHAPS_INSIDE_SPACE = r"(?:\A|[\s\v\x1c-\x1f\x{85}\pZ]) (?:[\s\v\x1c-\x1f\x{85}\pZ]|\z)"
+_MARKS, _BEGINS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", (" ", "\n")
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
@@ -51,18 +54,20 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
         #: Pieces, and those that begin with a space without it.
         self.cache: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
-        lone = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.feed = lone[0] if len(lone) == 1 else None
+        #: Bytes of each id's text: a byte-level token has a character for each.
+        self.width = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(token)
+        self.joins = not any(" " in s or "\n" in s for s in self.special)
 
     def pieces(self, text: str) -> list[str]:
         """Cut before each space that follows or precedes something else than white space; not at all where a special token is."""
-        if self.special is not None and self.special.search(text):
+        if any(s in text for s in self.special):
             return [text]
         parts = text.split(" ")
         if not _INSIDE_SPACE.search(text):
@@ -76,36 +81,60 @@ class PieceEncoder:
                 out[-1] += " " + p
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) + len(self.spaced) > CACHED:
-            self.cache.clear()
-            self.spaced.clear()
-        cut = [self.words(t) for t in texts]
-        found = [self._look_up(c) for c in cut]
-        new = {p for c, got in zip(cut, found) if None in got for p, x in zip(self._full(c), got) if x is None}
-        if new:
-            self._learn(new)
-            found = [self._look_up(c) if None in got else got for c, got in zip(cut, found)]
-        return [b"".join(got) for got in found]
-
-    def words(self, text: str) -> tuple[str | None, list[str]]:
-        """(first piece, the others without the one space that each begins with), or (None, pieces) where a text is not cut at every space."""
-        parts = text.split(" ")
-        if (self.special is not None and self.special.search(text)) or _INSIDE_SPACE.search(text):
-            return None, self.pieces(text)
-        return parts[0], parts[1:]
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text (none null). Words of all texts are told apart by Arrow, so each distinct one is looked up once."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(texts, _PERHAPS_INSIDE_SPACE)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        cut = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        bounds, words = cut.offsets.to_numpy() - cut.offsets[0].as_py(), cut.flatten().dictionary_encode()
+        code = words.indices.to_numpy().astype(np.int64)
+        # The first piece of a text has no space before it.
+        heads, place = np.unique(code[bounds[:-1]], return_inverse=True)
+        code[bounds[:-1]] = len(words.dictionary) + place
+        known = pa.concat_arrays([self._spaced(words.dictionary), pa.array(self._pieces(words.dictionary.take(pa.array(heads)).to_pylist()), pa.large_binary())])
+        got = known.take(pa.array(code))
+        ends, data = np.frombuffer(got.buffers()[1], dtype=np.int64)[bounds].tolist(), memoryview(got.buffers()[2] or b"")
+        out = [bytes(data[i:j]) for i, j in zip(ends, ends[1:])]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            pieces = self.pieces(texts[i].as_py())
+            out[i] = self._alone(pieces)[0] if len(pieces) == 1 else b"".join(self._pieces(pieces))
+        return out
 
-    def _look_up(self, cut: tuple[str | None, list[str]]) -> list[bytes | None]:
-        first, parts = cut
-        if first is None:
-            return [self._known(p) for p in parts]
-        return [self.cache.get(first), *map(self.spaced.get, parts)]
+    def _spaced(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """The ids of distinct words, each after a space; see ``_parts`` for what is looked up."""
+        lines = pc.match_substring(words, "\n")
+        stems = pc.utf8_rtrim(words, _MARKS)
+        marked = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(words)), pc.utf8_is_alnum(pc.utf8_slice_codeunits(stems, -1)))
+        marked = pc.and_not(marked, lines)
+        parts = [_parts(w) for w in words.filter(lines).to_pylist()]
+        rest = [p[1:] for p in parts]
+        tails = [w[n:] for w, n in zip(words.filter(marked).to_pylist(), pc.utf8_length(stems.filter(marked)).to_pylist())]
+        firsts = pc.replace_with_mask(pc.if_else(marked, stems, words), lines, pa.array([p[0] for p in parts], words.type)).dictionary_encode()
+        names = firsts.dictionary.to_pylist()
+        found = list(map(self.spaced.get, names))
+        others = {x for r in rest for x in r}.union(tails)
+        new = [" " + w for w, x in zip(names, found) if x is None]
+        self._learn([*new, *[x for x in others if x not in self.cache]])
+        if new:
+            found = list(map(self.spaced.get, names))
+        after = pa.nulls(len(words), pa.large_binary()).fill_null(b"")
+        after = pc.replace_with_mask(after, marked, pa.array([self.cache[x] for x in tails], pa.large_binary()))
+        after = pc.replace_with_mask(after, lines, pa.array([b"".join([self.cache[x] for x in r]) for r in rest], pa.large_binary()))
+        out = pc.binary_join_element_wise(pa.array(found, pa.large_binary()).take(firsts.indices), after, pa.scalar(b"", pa.large_binary()))
+        if len(self.cache) + len(self.spaced) > CACHED:
+            self.spaced, self.cache = dict(zip(names, found)), {x: self.cache[x] for x in others}
+        return out
 
-    def _full(self, cut: tuple[str | None, list[str]]) -> list[str]:
-        return cut[1] if cut[0] is None else [cut[0], *[" " + p for p in cut[1]]]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of whole pieces."""
+        self._learn([p for p in set(pieces) if not self._has(p)])
+        return [self.spaced[p[1:]] if p[:1] == " " else self.cache[p] for p in pieces]
 
-    def _known(self, piece: str) -> bytes | None:
-        return self.spaced.get(piece[1:]) if piece[:1] == " " else self.cache.get(piece)
+    def _has(self, piece: str) -> bool:
+        return piece[1:] in self.spaced if piece[:1] == " " else piece in self.cache
 
     def _keep(self, piece: str, data: bytes) -> None:
         if piece[:1] == " ":
@@ -113,29 +142,46 @@ class PieceEncoder:
         else:
             self.cache[piece] = data
 
-    def _learn(self, pieces: set[str]) -> None:
-        marked = [p for p in pieces if p[-1:] in _MARKS and p[-2:-1].isalnum()]
-        bare = {p[:-1] if p[-1:] in _MARKS and p[-2:-1].isalnum() else p for p in pieces}.union(p[-1] for p in marked)
-        new = [p for p in bare if self._known(p) is None]
-        plain = [p for p in new if _ONE_WORD.match(p)] if self.feed is not None else []
-        self._encode_lines(plain)
-        if len(plain) < len(new):
-            some = [p for p in new if self._known(p) is None]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self._keep(piece, np.array(got.ids, dtype=self.dtype).tobytes())
-        for p in marked:
-            self._keep(p, self._known(p[:-1]) + self._known(p[-1]))
-
-    def _encode_lines(self, pieces: list[str]) -> None:
-        size = self.dtype.itemsize
-        cuts = range(0, len(pieces), 1000)
-        for at, got in zip(cuts, self.tokenizer.encode_batch_fast(["\n".join(pieces[a : a + 1000]) for a in cuts], add_special_tokens=False)):
-            ids = np.array(got.ids, dtype=self.dtype)
-            ends = [*(np.flatnonzero(ids == self.feed) * size).tolist(), len(ids) * size]
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces; those that begin a token wherever they stand a thousand at a time, as one text."""
+        joined = [p for p in pieces if p[:1] in _BEGINS and not p[1:2].isspace() and not p[-1].isspace()] if self.joins else []
+        for at in range(0, len(joined), 1000):
+            self._learn_joined(joined[at : at + 1000])
+        rest = [p for p in pieces if not self._has(p)]
+        for piece, data in zip(rest, self._alone(rest)):
+            self._keep(piece, data)
+
+    def _learn_joined(self, pieces: list[str]) -> None:
+        """Encodes one text of all pieces and keeps each one's ids; none where a piece does not end with an id."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        ends, want = np.cumsum(self.width[ids]), np.cumsum(pc.binary_length(pa.array(pieces)).to_numpy(), dtype=np.int64)
+        if not len(ends) or ends[-1] != want[-1]:
+            return
+        at = np.searchsorted(ends, want)
+        if (ends[at] == want).all():
             data, start = ids.tobytes(), 0
-            for piece, end in zip(pieces[at : at + 1000], ends):
+            for piece, end in zip(pieces, ((at + 1) * self.dtype.itemsize).tolist()):
                 self._keep(piece, data[start:end])
-                start = end + size
+                start = end
+
+    def _alone(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
+
+
+def _parts(piece: str) -> list[str]:
+    """A piece cut before each line feed between two other than white space, and its lines before their final marks that follow a letter or digit."""
+    lines = piece.split("\n")
+    if len(lines) > 1 and any(not a or not b or a[-1].isspace() or b[0].isspace() for a, b in zip(lines, lines[1:])):
+        return [piece]
+    out = []
+    for i, line in enumerate(lines):
+        line = "\n" + line if i else line
+        stem = line.rstrip(_MARKS)
+        if len(stem) < len(line) and stem[-1:].isalnum():
+            out += [stem, line[len(stem) :]]
+        else:
+            out.append(line)
+    return out
 
 
 def encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
@@ -252,12 +298,15 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0,
                 sinks = [store.open_output_stream(f"{root}/{name}{end_}") for end_ in (".arrow", ".docs.arrow")]
                 seqs, index = SequenceWriter(sinks[0], enc.dtype, length), pa.ipc.new_file(sinks[1], doc_schema)
             ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(texts), 500):
-                got = [x + end for x in enc.encode(texts[at : at + 500].to_pylist())]
+            # Texts of some 8 MB at a time.
+            size = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+            cuts = [*np.flatnonzero(np.diff(size // AT_ONCE, prepend=-1)).tolist(), len(texts)]
+            for at, to in zip(cuts, cuts[1:]):
+                got = [x + end for x in enc.encode(texts[at:to])]
                 n = np.array([len(x) for x in got], dtype=np.int64) // enc.dtype.itemsize
                 start = seqs.n + np.concatenate([[0], np.cumsum(n)[:-1]])
                 seqs.add(b"".join(got))
-                index.write_batch(pa.record_batch([ids[at : at + 500].cast(pa.int64()), pa.array(start.astype(np.int64)), pa.array(n)], schema=doc_schema))
+                index.write_batch(pa.record_batch([ids[at:to].cast(pa.int64()), pa.array(start.astype(np.int64)), pa.array(n)], schema=doc_schema))
                 n_docs += len(n)
         if store is not None:
             seqs.close()

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,3 +96,45 @@ def test_a_doc_id_of_many_rows_lies_in_several_parts(spark):
     before = pa.total_allocated_bytes()
     ids, mask = f.mapped(1)
     assert pa.total_allocated_bytes() == before and len(ids) == len(mask) == 16 and mask.true_count == 16
+
+
+class Counting(dict):
+    asked = 0
+
+    def get(self, *a):
+        self.asked += 1
+        return super().get(*a)
+
+
+def test_distinct_words_are_looked_up_and_parts_encoded_once():
+    enc = token_files.PieceEncoder(PATH)
+    enc.cache, enc.spaced = Counting(), Counting()
+    given, tokenizer = [], enc.tokenizer
+
+    class Recorder:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    enc.tokenizer = Recorder()
+    texts = ["zzqx qqvw, qqvw.\nWxyq qqvw###  zzqx!\n\nqqvw's 4.5% " * 50 + str(i) for i in range(40)]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype=enc.dtype).tobytes() for t in texts]
+    assert enc.encode(texts) == want == enc.encode(pa.array(["", *texts]))[1:] == enc.encode(pa.array([*texts[:3], *texts]).slice(3))
+    assert enc.spaced.asked + enc.cache.asked < 500
+    assert sum(x.count("qqvw") for x in given) <= 4 and len("".join(given)) < 400
+
+
+def test_a_full_cache_keeps_the_present_words(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED", 20)
+    enc = token_files.PieceEncoder(PATH)
+    for k in range(30):
+        texts = [f"ab{i}, cd{i * k}.\nEf{k}  <|endoftext|> x" if i % 5 == 0 else f" ab{i}; cd{i * k}.\nEf{k}   gh \n {i}" for i in range(k)]
+        assert enc.encode(texts) == [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, dtype=enc.dtype).tobytes() for t in texts]
+    assert len(enc.spaced) + len(enc.cache) < 300
+
+
+def test_a_letter_or_digit_ends_a_token_before_a_mark():
+    t = Tokenizer.from_file(PATH)
+    every = pa.array([chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+    own = every.filter(pa.compute.utf8_is_alnum(every)).to_pylist() + [c for c in every.to_pylist() if c.isalnum()]
+    assert all(len(t.pre_tokenizer.pre_tokenize_str(c + ".")) == 2 for c in set(own))
