@@ -9,7 +9,7 @@ the last sequence of a part is padded; its mask is false there. A part's files g
 own in each attempt, and the table of parts, which Spark commits, names those of the attempt that
 ended; an attempt that is lost leaves files that nothing names.
 
-A byte-level BPE never merges across the start of a word, so a text is cut before single spaces. Arrow tells the words of some 8 MB
+A byte-level BPE never merges across the start of a word, so a text is cut before single spaces. Arrow tells the words of some 4 MB
 of texts apart, each distinct one is looked up once, without its final marks, and its ids are taken to each place. What is
 new to a cache of a million pieces is encoded by the library, a thousand pieces as one text: each ends with an id, which the lengths of the ids' texts
 show. A full cache keeps what the present texts use.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import new_path, settle, table
 
-LENGTH, SEQUENCES_A_BATCH, CACHED, AT_ONCE = 2048, 256, 1_000_000, 1 << 23
+LENGTH, SEQUENCES_A_BATCH, CACHED, AT_ONCE = 2048, 256, 1_000_000, 1 << 22
 MANIFEST = "part int, ids_file string, docs_file string, n_docs long, n_tokens long"
 _INSIDE_SPACE = re.compile(r"(?:^|\s) (?:\s|$)")
 #: The same for RE2; it may find more, as each text that it finds is cut by the other.
@@ -298,7 +298,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0,
                 sinks = [store.open_output_stream(f"{root}/{name}{end_}") for end_ in (".arrow", ".docs.arrow")]
                 seqs, index = SequenceWriter(sinks[0], enc.dtype, length), pa.ipc.new_file(sinks[1], doc_schema)
             ids, texts = batch.column(0), batch.column(1)
-            # Texts of some 8 MB at a time.
+            # Texts of some 4 MB at a time.
             size = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
             cuts = [*np.flatnonzero(np.diff(size // AT_ONCE, prepend=-1)).tolist(), len(texts)]
             for at, to in zip(cuts, cuts[1:]):
