@@ -101,6 +101,16 @@ def test_conflict_baseline_moves_on_equality(spark):
     assert [(r.i, r.against) for r in got] == [(3, 2), (5, 4)]
 
 
+def test_a_load_stores_what_is_valid(spark):
+    nodes = spark.createDataFrame([("a", "A", True), ("b", "B", True), ("c", "C", True), ("x", "X", False)], "key string, canonical_name string, valid boolean")
+    edges = [("b", "uses", "a", True), ("a", "uses", "b", True), ("a", "includes", "c", True), ("a", "includes", "b", True), ("c", "includes", "a", True), ("b", "includes", "a", True), ("a", "owns", "x", False), ("a", "a first", "a", False)]
+    edges = spark.createDataFrame(edges, "source_key string, relation_type string, target_key string, valid boolean").repartition(3)
+    r = graph.load_stats(nodes, edges).first()
+    assert (r.node_count, r.edge_count, r.relation_types, r.stored_node_count, r.stored_edge_count, r.stored_relation_types) == (4, 8, 4, 3, 6, 2)
+    assert r.first_edges == "A|includes|B;A|includes|C;A|uses|B;B|includes|A;B|uses|A"
+    assert graph.load_stats(nodes.limit(0), edges.limit(0)).first().first_edges == ""
+
+
 def test_hops(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y"), ("d", "d")], "source_key string, target_key string")
     got = {r.key: r.hops for r in graph.hop_distance(edges, spark.createDataFrame([("a",)], "key string")).collect()}
